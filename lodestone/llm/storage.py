@@ -1,0 +1,36 @@
+"""Cutting lineage with tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without one gets a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return "/tmp/checkpoints"
+
+
+class Cuts:
+    """Tables written by one run of an operator.  Losing an executor loses none of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}", []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.made)}"
+        self.made.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, which: int) -> None:
+        """Deletes the table of that number; only once nothing reads it any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.made[which])
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
