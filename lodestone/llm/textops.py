@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1_500_000
 
@@ -77,7 +78,7 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int =
     """Row slices of about limit bytes of text each; one long text stays whole."""
     if batch.num_rows == 0:
         return
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > limit:
