@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import find_leaks
 from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.lm_scoring import score_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.near_join import near_join
 from lodestone.llm.quality import quality_rules
@@ -33,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_url_filters": op5_url_filters,
     "op6_secret_scans": op6_secret_scans,
     "op7_license_scans": op7_license_scans,
