@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,16 +95,19 @@ class _Parser:
     def run(self) -> Node | None:
         if not self.starts():
             raise QueryError("a term is missing")
-        left = self.primary()
-        while self.starts():
-            right = self.primary()
+        left, group = self.primary()
+        # groups in parentheses need an operator between them and what stands beside them
+        while not group and self.starts():
+            right, inner = self.primary()
+            if inner:
+                raise QueryError("an operator is missing")
             left = right if left is None else left if right is None else Node("and", (left, right))
         return left
 
     def starts(self) -> bool:
         return self.peek() in ("string", "bare", "(", "^", "{", "-")
 
-    def primary(self) -> Node | None:
+    def primary(self) -> tuple[Node | None, bool]:
         if self.peek() == "-":
             raise QueryError("no such column")
         if self.peek() == "{":
@@ -125,12 +129,13 @@ class _Parser:
         if any(n.lower() != COLUMN for n in names):
             raise QueryError("no such column")
 
-    def primary_after_column(self) -> Node | None:
+    def primary_after_column(self) -> tuple[Node | None, bool]:
+        """(node, whether it was a group in parentheses)."""
         if self.peek() == "(":
             self.take()
             node = self.parse_inner()
             self.take(")")
-            return node
+            return node, True
         if self.peek() == "bare" and self.t[self.at][1] == "NEAR" and self.peek(1) == "(":
             self.take()
             self.take("(")
@@ -145,9 +150,9 @@ class _Parser:
                 gap = int(n)
             self.take(")")
             parts = [p for p in parts if p.words]
-            return Node("near", tuple(parts), gap) if len(parts) > 1 else Node("phrase", tuple(parts)) if parts else None
+            return (Node("near", tuple(parts), gap) if len(parts) > 1 else Node("phrase", tuple(parts)) if parts else None), False
         p = self.phrase()
-        return Node("phrase", (p,)) if p.words else None
+        return (Node("phrase", (p,)) if p.words else None), False
 
     def parse_inner(self) -> Node | None:
         return self.binary("OR", lambda: self.binary("AND", lambda: self.binary("NOT", self.run)))
@@ -236,15 +241,22 @@ def frequency(tokens: Column, p: Phrase, near: Node | None) -> Column:
     return occurrences(tokens, p) if near is None else F.size(near_positions(tokens, near, p))
 
 
-def condition(node: Node, present: dict[int, Column], counter: list[int] | None = None) -> Column:
-    """The boolean match, given for each leaf (by its number) whether it is present."""
-    counter = [0] if counter is None else counter
-    if node.kind in ("phrase", "near"):
-        out = F.lit(True)
-        for _ in node.parts:
-            out = out & present[counter[0]]
-            counter[0] += 1
-        return out
-    left = condition(node.parts[0], present, counter)
-    right = condition(node.parts[1], present, counter)
-    return {"and": lambda: left & right, "or": lambda: left | right, "not": lambda: left & ~right}[node.kind]()
+def match(node: Node, present: dict[int, Column]) -> tuple[Column, list[Column]]:
+    """(whether a row matches, for each leaf whether it counts in the row's score).
+
+    present: for each leaf, by its number, whether it is in the row.  A leaf counts
+    where it is present and every node above it matches the row.
+    """
+    numbers = iter(range(len(leaves(node))))
+
+    def walk(n: Node) -> tuple[Column, list[Column]]:
+        if n.kind in ("phrase", "near"):
+            own = [present[next(numbers)] for _ in n.parts]
+            return reduce(lambda a, b: a & b, own), own
+        (left, counts_l), (right, counts_r) = walk(n.parts[0]), walk(n.parts[1])
+        both = {"and": lambda: left & right, "or": lambda: left | right, "not": lambda: left & ~right}[n.kind]()
+        if n.kind == "or":
+            return both, counts_l + counts_r
+        return both, [both & c for c in counts_l + counts_r]
+
+    return walk(node)

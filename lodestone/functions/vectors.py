@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 UNROLLED = 256
 
@@ -44,7 +45,7 @@ def pack_embedding(v: list[float], dim: int) -> bytes:
     return struct.pack(f"<{dim}f", *v)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def unpack_embedding(blobs: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats; null for a length that is no multiple of four."""
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
@@ -68,7 +69,7 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 def embed_udf(make: Callable[[], Callable[[list[str]], np.ndarray]]):
     """An Arrow-batched embedding function; make() loads the model once a task."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for texts in batches:

@@ -54,8 +54,9 @@ def cosine(atoms: DataFrame, query: list[float], top_k: int | None = 10) -> Data
 def bm25_scores(atoms: DataFrame, query: str, strict: bool = True) -> DataFrame:
     """Matching records with score; corpus statistics are those of the given records.
 
-    The sum runs over all phrases of the query, those of an OR branch that doesn't
-    match included; a phrase in more than half of the records weighs 1e-6.
+    The sum runs over the query's phrases that are in the record, save those below a
+    part of the query that the record doesn't match; a phrase in more than half of
+    the records weighs 1e-6.
     """
     node = fts.parse(query, strict)
     if node is None:
@@ -80,8 +81,9 @@ def bm25_scores(atoms: DataFrame, query: str, strict: bool = True) -> DataFrame:
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
 
-    matched = wide.where(fts.condition(node, present)).crossJoin(F.broadcast(stats))
-    return matched.withColumn("score", reduce(lambda a, b: a + b, [part(i) for i in present])).select(*atoms.columns, "score")
+    matches, counting = fts.match(node, present)
+    matched = wide.where(matches).crossJoin(F.broadcast(stats))
+    return matched.withColumn("score", reduce(lambda a, b: a + b, [F.when(counting[i], part(i)).otherwise(0.0) for i in present])).select(*atoms.columns, "score")
 
 
 def bm25(atoms: DataFrame, query: str, top_k: int | None = 10, strict: bool = True) -> DataFrame:
