@@ -54,10 +54,10 @@ def sessions(rows: DataFrame, at: str, gap: str = "30 minutes", delay: str = "1
     return rows.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def rate_limited(requests: DataFrame, limit: int = 1000, window_s: int = 3600) -> DataFrame:
+def rate_limited(requests: DataFrame, limit: int = 1000, window_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """Each request (token_hash, project, at) with accepted: a window begins with a key's first request.
 
-    State is two numbers a key and goes when its window has passed.
+    State is two numbers a key and goes when the watermark has passed its window.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,7 +74,11 @@ def rate_limited(requests: DataFrame, limit: int = 1000, window_s: int = 3600) -
                 count += 1
                 accepted.append(count <= limit)
             yield pdf.assign(accepted=accepted)[["token_hash", "project", "at", "accepted"]]
-        state.update((start, count))
-        state.setTimeoutDuration(window_s * 1000)
+        ends = (start + window_s) * 1000
+        if ends > state.getCurrentWatermarkMs():
+            state.update((start, count))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
 
-    return requests.groupBy("token_hash", "project").applyInPandasWithState(step, "token_hash string, project string, at timestamp, accepted boolean", "start long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("at", delay).groupBy("token_hash", "project").applyInPandasWithState(step, "token_hash string, project string, at timestamp, accepted boolean", "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
