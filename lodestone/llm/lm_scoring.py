@@ -37,7 +37,7 @@ from lodestone.llm import textops as T
 from lodestone.llm.linear import held_out
 
 PRIOR = 100.0
-BLOCK_BYTES, BUCKET_BYTES = 3_000_000, 16_000_000
+BLOCK_BYTES, BUCKET_BYTES = 3_000_000, 8_000_000
 _U = np.uint64
 _END = _U(0x0123456789ABCDEF)
 _BEGIN = _U(0xFEDCBA9876543210)
