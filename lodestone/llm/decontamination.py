@@ -195,7 +195,7 @@ class Index:
         c[1], c[0] = p, items[p] if p < n else _END
 
     def leaks(self, column: pa.Array, stride: int, threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
-        """(row, item, first word, score, question and answer overlap): the best passage of each leaking pair."""
+        """(row, item, first word, score, question and answer overlap): of each leaking pair the passage that holds most of it."""
         if not len(self.terms):
             return []
         t = T.tokenize(column, T.ALNUM, True)
@@ -228,9 +228,11 @@ class Index:
                     if n not in has:
                         has[n] = runs(words, n)
                 q, a = (float(np.isin(g, has[n]).mean()) if n else 1.0 for g, n in ((q, qn), (a, an)))
-                if q >= overlap and a >= overlap and ((r, item) not in best or score > best[r, item][3]):
-                    best[r, item] = (r, item, first, score, q, a)
-        return sorted(best.values())
+                if q >= overlap and a >= overlap:
+                    rank = (min(q, a), score, -first)
+                    if (r, item) not in best or rank > best[r, item][0]:
+                        best[r, item] = rank, (r, item, first, score, q, a)
+        return sorted(x for _, x in best.values())
 
 
 def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[list[Index], int]:
@@ -287,7 +289,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for k, index in enumerate(indexes):
         part = over(spark.sparkContext.broadcast(index))
         out = part if k == 0 else out.unionAll(part)
-    return out.groupBy("k", "i").agg(*[F.max_by(c, F.struct("score", -F.col("first_word"))).alias(c) for c in ("first_word", "score", "question_overlap", "answer_overlap")]).withColumnsRenamed({"k": key, "i": item_key})
+    return out.groupBy("k", "i").agg(*[F.max_by(c, F.struct(F.least("question_overlap", "answer_overlap"), "score", -F.col("first_word"))).alias(c) for c in ("first_word", "score", "question_overlap", "answer_overlap")]).withColumnsRenamed({"k": key, "i": item_key})
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
