@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.decontamination import find_leaks
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.lm_scoring import score_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.near_join import near_join
+from lodestone.llm.oracles import ORACLES
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.secrets import scan_secrets
 from lodestone.llm.token_counts import token_counts
@@ -35,7 +37,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(_read(spark, sf_dir, "documents"))
+    scored = score_texts(_read(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
