@@ -13,11 +13,11 @@ A text is read once from left to right; reading w leads to the state of w.
 
 No automaton of the whole corpus is ever built in one place.  Texts are dealt
 into blocks of a bounded size.  Every block asks for the counts of its distinct
-words and bigrams (one entry each, with the block's own training counts, so a
-frequent word is pre-aggregated); buckets of the key space add the counts up and
-answer each block; a block then compiles the part of the automaton that it needs,
-N and V included, and traverses its texts.  Keys are 64-bit hashes, shuffled as
-packed arrays.
+words and bigrams: one entry each, with the block's own training counts, so a
+frequent word is pre-aggregated, and no row for a bucket that a block has no key
+in.  Buckets of the key space add the counts up and answer each block.  A block
+then compiles the part of the automaton that it needs, N and V included, and
+traverses its texts.  Keys are 64-bit hashes, shuffled as packed arrays.
 
 Edge cases: a null text is an empty one, whose only token is the end; texts whose
 id is null are learnt from and not held out; repeated rows count each; without
@@ -114,7 +114,7 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 REQUEST = "bucket int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
-ANSWER = "block long, bucket int, word_counts binary, pair_counts binary, n long, v long"
+ANSWER = "block long, bucket int, word_counts binary, pair_counts binary"
 
 
 def _ask(buckets: int):
@@ -127,29 +127,29 @@ def _ask(buckets: int):
             at = _edges(keys, buckets).tolist()
             cols[f"{name}s"] = [pack(keys[a:b]) for a, b in zip(at, at[1:], strict=False)]
             cols[f"{name}_counts"] = [pack_counts(c[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        some = [b for b in range(buckets) if cols["words"][b] or cols["pairs"][b]]  # no row for an empty bucket
         number = table.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "block": pa.array([number] * buckets, pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in cols.items()}})
+        return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array([number] * len(some), pa.int64()), **{n: pa.array([x[b] for b in some], pa.binary()) for n, x in cols.items()}})
 
     return run
 
 
+def _totals(table: pa.Table) -> pa.Table:
+    """Training tokens and distinct training words of a bucket."""
+    keys, counts = (np.concatenate([f(x) for x in table.column(c).to_pylist()]) for c, f in (("words", unpack), ("word_counts", unpack_counts)))
+    return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(np.unique(keys[counts > 0]))], pa.int64())})
+
+
 def _answer(table: pa.Table) -> pa.Table:
     out = {"block": table.column("block").to_pylist(), "bucket": table.column("bucket").to_pylist()}
-    totals = {}
     for name in ("word", "pair"):
         keys = [unpack(x) for x in table.column(f"{name}s").to_pylist()]
         ends = np.cumsum([len(k) for k in keys])
         own = np.concatenate([unpack_counts(x) for x in table.column(f"{name}_counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, weights=own).astype(np.int64)
-        totals[name] = sums
         out[f"{name}_counts"] = [pack_counts(x) for x in np.split(sums[inverse], ends[:-1])]
-    rows = len(out["block"])
-    return pa.table({
-        "block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()),
-        "word_counts": pa.array(out["word_counts"], pa.binary()), "pair_counts": pa.array(out["pair_counts"], pa.binary()),
-        "n": pa.array([int(totals["word"].sum())] * rows, pa.int64()), "v": pa.array([int((totals["word"] > 0).sum())] * rows, pa.int64()),
-    })
+    return pa.table({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("word_counts", "pair_counts")}})
 
 
 def _score(prior: float, schema: pa.Schema):
@@ -161,7 +161,7 @@ def _score(prior: float, schema: pa.Schema):
         c_word, c_pair = (np.concatenate([unpack_counts(x) for x in answers.column(c).to_pylist()]) for c in ("word_counts", "pair_counts"))
         if len(c_word) != len(block.words) or len(c_pair) != len(block.pairs):
             raise RuntimeError("a block's answers don't fit its texts")
-        n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
+        n, v = answers.column("n")[0].as_py(), answers.column("v")[0].as_py()
         known, base, score = block.score(c_word, c_pair, n, v, prior)
         tokens = np.bincount(block.row, minlength=block.rows)
         return pa.Table.from_arrays([texts.column("k"), pc.invert(texts.column("learn")), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(block.rows, n), pa.int64()), pa.array(base), pa.array(score)], schema=schema)
@@ -179,7 +179,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
     dealt = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~held_out(key, folds)).alias("learn"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(_ask(buckets), REQUEST)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
+    # N and V reach every block beside its answers, as a broadcast of one row; both branches read one shuffle
+    totals = asked.groupBy("bucket").applyInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWER).crossJoin(F.broadcast(totals))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     arrow = pa.schema([("k", _ARROW.get(kind, pa.string())), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
