@@ -1,8 +1,9 @@
 """Distributed connected components by alternating large-star and small-star rounds.
 
-Every round is a grouped minimum (combined before the shuffle) joined back on the
-same key; a vertex with very many edges is a skewed key of a plain sort-merge
-join, which adaptive execution splits.  Edges and labels never go to the driver.
+Every step is a grouped minimum (combined before the shuffle), written, and joined
+back on the same key.  As both sides of that join are plain shuffles, adaptive
+execution can split a vertex with very many edges over several tasks.  Edges and
+labels never go to the driver.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.storage import Cuts
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, cuts: Cuts) -> DataFrame:
     """edges (a, b): for each vertex its neighbours' minimum, to which they are linked."""
     if large:
         near = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = cuts.cut(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     joined = near.join(least, "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -36,11 +37,12 @@ def connected_components(edges: DataFrame, cuts: Cuts, a: str = "a", b: str = "b
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
     e = cuts.cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last, before = len(cuts.made) - 1, None
+    first, before = len(cuts.made) - 1, None
     for _ in range(most_rounds):
-        e = cuts.cut(_star(_star(e, True), False))
-        cuts.drop(last)
-        last = len(cuts.made) - 1
+        e = cuts.cut(_star(_star(e, True, cuts), False, cuts))
+        for old in range(first, len(cuts.made) - 1):  # what only this round has read
+            cuts.drop(old)
+        first = len(cuts.made) - 1
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             break

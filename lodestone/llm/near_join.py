@@ -206,13 +206,16 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     classes = cuts.cut(sigs.groupBy("fp").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("chars").alias("chars"), F.first("sig").alias("sig")))
     node = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (4 * d) + 1, F.lit(4 * d)))))
     met = classes.where("n > 0").select("fp", node.alias("node"))
-    heads = met.groupBy("node").agg(F.min("fp").alias("head"), F.count("*").alias("met")).where("met > 1")
+    # what is joined back on a skewed key is written first, so that the join's sides are plain shuffles, which can be split
+    heads = cuts.cut(met.groupBy("node").agg(F.min("fp").alias("head"), F.count("*").alias("met")).where("met > 1"))
     edges = met.join(heads, "node").where(F.col("fp") != F.col("head")).select(F.col("fp").alias("a"), F.col("head").alias("b"))
     comps = cuts.cut(connected_components(edges, cuts).select(F.col("node").alias("fp"), F.col("component").alias("comp")))
-    members = comps.join(classes.select("fp", "rep", "copies", "chars"), "fp")
+    members = cuts.cut(comps.join(classes.select("fp", "rep", "copies", "chars"), "fp"))
     sizes = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("chars").alias("total"))
     tiles = F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("total") / TILE_CHARS)).cast("int")
-    members = cuts.cut(members.join(sizes.select("comp", tiles.alias("q")), "comp").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("q")).cast("int")))
+    large = cuts.cut(sizes.select("comp", tiles.alias("q")).where("q > 1"))
+    members = members.join(large, "comp", "left").withColumn("q", F.coalesce("q", F.lit(1)))
+    members = cuts.cut(members.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("q")).cast("int")))
     bundles = max(1, -(-members.count() // tile_rows))
     texts = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("text")).where(F.col("rep").isNotNull())
     pairs = F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other")
@@ -224,7 +227,8 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     linked = labels.withColumnRenamed("node", "fp").join(sums, "fp")
     infos = classes.select("fp", "rep", "copies").join(linked, "fp", "left")
     infos = infos.withColumn("component", F.coalesce("component", "fp"))
-    least = infos.groupBy("component").agg(F.min("rep").alias("class_id"))
+    infos = cuts.cut(infos)
+    least = cuts.cut(infos.groupBy("component").agg(F.min("rep").alias("class_id")))
     infos = infos.join(least, "component").select("fp", F.col("rep").alias("copy_id"), "class_id", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).cast("long").alias("n_class_links"))
     out = sigs.select(F.col("k").alias(key), "fp").join(cuts.cut(infos), "fp").drop("fp")
     without = docs.where(F.col(key).isNull()).select(F.col(key), F.col(key).alias("copy_id"), F.col(key).alias("class_id"), *[F.lit(0).cast("long").alias(c) for c in ("n_copies", "n_links", "n_class_links")])
