@@ -85,7 +85,8 @@ def filter_urls(pages: DataFrame, edges: DataFrame | None = None, key: str = "pa
     # what each component holds: first by URL (an alias outside the table is judged by its own rule too)
     action = match_rules(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
     held = found.groupBy("component").agg(F.max((action == "allow").cast("int")).alias("allow"), F.max((action == "block").cast("int")).alias("block"))
-    passed = found.join(held.where("allow = 1 or block = 1"), "component").select(F.col("node").alias("u"), F.when(F.col("allow") == 1, "allow").otherwise("block").alias("alias"))
+    held = cuts.cut(held.where("allow = 1 or block = 1"))  # written, so that a large component's rows can be split in the join
+    passed = found.join(held, "component").select(F.col("node").alias("u"), F.when(F.col("allow") == 1, "allow").otherwise("block").alias("alias"))
     open_urls = judged.where(F.col("action").isNull())
     verdicts = judged.where(F.col("action").isNotNull()).withColumn("alias", F.lit(None).cast("string")).unionByName(open_urls.join(passed, "u", "left"))
     verdict = F.coalesce("action", "alias", F.lit("allow"))
