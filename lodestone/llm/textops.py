@@ -209,18 +209,25 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return points, offsets
 
 
-def char_ngrams(points: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size the (start position, hashed bucket) of every run of characters in one row."""
-    m, n = multipliers(max(sizes), seed), len(points)
-    wide = points.astype(_U) + _U(1)
-    left = np.zeros(n, dtype=np.int64)  # characters of the row from here on
-    lens = np.diff(offsets)
-    left = np.repeat(offsets[1:], lens) - np.arange(n)
-    acc = np.zeros(n, dtype=_U)
-    for k in range(max(sizes)):
-        if n - k <= 0:
-            return
-        acc[: n - k] += wide[k:] * m[k]
-        if k + 1 in sizes:
-            at = np.flatnonzero(left >= k + 1)
-            yield at, (mix(acc[at] + _U(k + 1)) >> _U(64 - bits)).astype(np.int64)
+def char_ngrams(points: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int, seed: int, chunk: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start positions, hashed buckets) of every run of characters in one row, for each size and chunk of characters.
+
+    Chunks bound the memory, whatever the length of a text; a run that crosses into
+    the next chunk belongs to the one that it begins in.
+    """
+    top = max(sizes)
+    m = multipliers(top, seed)
+    for lo in range(0, len(points), chunk):
+        own = min(chunk, len(points) - lo)
+        wide = points[lo : lo + own + top - 1].astype(_U) + _U(1)
+        place = np.arange(lo, lo + own)
+        left = offsets[np.searchsorted(offsets, place, side="right")] - place  # characters of the row from here on
+        acc = np.zeros(own, dtype=_U)
+        for k in range(top):
+            n = min(own, len(wide) - k)
+            if n <= 0:
+                break
+            acc[:n] += wide[k : k + n] * m[k]
+            if k + 1 in sizes:
+                at = np.flatnonzero(left >= k + 1)
+                yield at + lo, (mix(acc[at] + _U(k + 1)) >> _U(64 - bits)).astype(np.int64)

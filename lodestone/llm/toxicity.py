@@ -29,22 +29,22 @@ from lodestone.llm import textops as T
 from lodestone.llm.linear import collect_rows, fit_logistic, held_out, labelled_sample, sampled, sigmoid
 
 BITS, SIZES, SEED = 20, (4, 5, 6, 7), 5
+SLICE = 300_000  # bytes of text at once: a text's characters are held several times over, for each size
 THRESHOLD = 0.7
 
 
 def _distinct(column: pa.Array, table: np.ndarray | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, row offsets): each row's distinct buckets; table, if given, maps a bucket to a column or -1."""
     points, offsets = T.code_points(column.to_pylist())
-    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    keys = [np.zeros(0, np.int64)]
+    of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for at, bucket in T.char_ngrams(points, offsets, SIZES, bits, SEED):
         if table is not None:
             bucket = table[bucket]
             on = bucket >= 0
             at, bucket = at[on], bucket[on]
-        rows.append(of[at])
-        cols.append(bucket)
-    key = np.unique(np.concatenate(rows) << 32 | np.concatenate(cols))
+        keys.append(np.unique(of[at].astype(np.int64) << 32 | bucket))
+    key = np.unique(np.concatenate(keys))
     return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(offsets)))
 
 
@@ -54,7 +54,7 @@ def _ngram_counts(docs: DataFrame, key: str, text: str, sample: DataFrame) -> tu
     def run(batches):
         counts = np.zeros((2, 1 << BITS), dtype=np.int64)
         for batch in batches:
-            for part in T.slices(batch):
+            for part in T.slices(batch, limit=SLICE):
                 cols, offsets = _distinct(part.column("text"), None)
                 y = part.column("_y").to_numpy(zero_copy_only=False) > 0
                 counts[1] += np.bincount(cols, minlength=1 << BITS)
@@ -104,7 +104,7 @@ def score_toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            for part in T.slices(batch):
+            for part in T.slices(batch, limit=SLICE):
                 cols, offsets = _distinct(part.column("text"), table)
                 sums = np.concatenate([[0.0], np.cumsum(weights[cols])]) if len(weights) else np.zeros(1)
                 z = sums[offsets[1:]] - sums[offsets[:-1]] if len(weights) else np.zeros(part.num_rows)
@@ -131,7 +131,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     def run(batches):
         for batch in batches:
             batch = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(batch.num_columns)])
-            for part in T.slices(batch, f"c{text_at}"):
+            for part in T.slices(batch, f"c{text_at}", SLICE):
                 cols, offsets = _distinct(part.column(text_at), table)
                 sums = np.concatenate([[0.0], np.cumsum(weights[cols])]) if len(weights) else np.zeros(1)
                 z = sums[offsets[1:]] - sums[offsets[:-1]] if len(weights) else np.zeros(part.num_rows)
