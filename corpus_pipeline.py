@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.decontamination import drop_leaking
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.near_join import keep_one_of_each
-from lodestone.llm.secrets import mask_secrets
+from lodestone.llm.secrets import ALPHABETS, mask_secrets
 from lodestone.llm.storage import Cuts
 from lodestone.llm.toxicity import drop_toxic
 
@@ -35,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mask_secrets(docs)
+    return mask_secrets(docs, alphabets=ALPHABETS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

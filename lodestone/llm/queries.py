@@ -14,7 +14,7 @@ from lodestone.llm.mixing import mix_sources
 from lodestone.llm.near_join import near_join
 from lodestone.llm.oracles import ORACLES
 from lodestone.llm.quality import quality_rules
-from lodestone.llm.secrets import scan_secrets
+from lodestone.llm.secrets import ALPHABETS, scan_secrets
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.url_filters import filter_urls
@@ -46,7 +46,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(_read(spark, sf_dir, "documents"))
+    return scan_secrets(_read(spark, sf_dir, "documents"), alphabets=ALPHABETS)
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

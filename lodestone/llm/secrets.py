@@ -9,6 +9,12 @@ by those two counts alone; the sums are whole numbers (units of 2**-20), so
 results are exact and repeatable.  Runs that an allow-list pattern fits, or that
 lie within a base span, are left out.
 
+With alphabets (as the query and the pipeline ask), a run is also a span when some
+window reaches what nearly all random windows of its own alphabet have, and half
+of its neighbouring characters or more are unlike words: letter pairs that are
+rare in English, German, French and Spanish, a letter beside a digit, a capital
+after a small letter.  The second test keeps words, paths and names out.
+
 Spans are kind:start:end in code points from 0, end exclusive.
 
 Edge cases: a null text is an empty one, without spans; repeated rows are scanned
@@ -33,6 +39,16 @@ WINDOW, PIECE = 20, 1000
 LIMITS = {"hex": 3.0, "letters": 4.15, "mixed": 3.9}
 #: runs that are no secrets: UUIDs, examples, alphabets, one character over and over
 ALLOW = (r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"(?i)example|placeholder|your[_-]", r"(?i)abcdefghij|0123456789", r"^(.)\1+$")
+#: alphabets of a window, first that fits, and the bits a character that 99.5 % of its random windows have
+ALPHABETS = ((r"^([a-z]+|[A-Z]+)$", 3.16), (r"^[A-Z2-7]+$", 3.28), (r"^([a-z0-9]+|[A-Z0-9]+)$", 3.34), (r"^[A-Za-z]+$", 3.52), (r"^.", 3.58))
+#: the commonest letter pairs of words; of a window's 19 pairs so many are unlike words at least
+PAIRS = (
+    "th er in on re he en an ti nt le es at or nd st se de te ne ea ha el ng ed ch io ou it et me no is ar as ue na to ie ra ei al ro ly sh tr co of lf bl "
+    "ta wh ee li un au be ge ns ai ci la pa ur ec ri ho di if rt ve ll ac do rn hi fo am qu ic ni os rr il si tu ct ex ht fi od ot rs pe nc ad ss ef ma ce "
+    "sc lo ux ts ke om im eo da ut tt ul ca po pr nn em nh mp ls hh op mo ep cl oi wi hs va nl us pt rg so hn eu oc mi fr pl ck su ae vi wa gs ty sa lu ir"
+).split()
+UNLIKE = r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])|(?!(?i:" + "|".join(PAIRS) + r"))[A-Za-z](?=[A-Za-z])"
+LEAST_UNLIKE = 10
 _UNIT = 1 << 20
 
 
@@ -88,6 +104,23 @@ def _least_sum(run: Column) -> Column:
     return F.array_min(F.transform(at, lambda i: slide(F.substr(run, i, F.lit(PIECE)))))
 
 
+def _random_window(run: Column, alphabets) -> Column:
+    """Whether some window is unlike words and has the entropy of random characters of its alphabet."""
+
+    def found(piece: Column) -> Column:
+        marks = F.regexp_replace(piece, UNLIKE, "!")
+
+        def random(i: Column) -> Column:
+            window, pairs = F.substr(piece, i, F.lit(WINDOW)), F.substr(marks, i, F.lit(WINDOW - 1))
+            most = F.coalesce(*[F.when(window.rlike(pattern), limit_units(bits)) for pattern, bits in alphabets])
+            return (F.length(pairs) - F.length(F.replace(pairs, F.lit("!"), F.lit(""))) >= LEAST_UNLIKE) & (_least_sum(window) <= most)
+
+        return F.exists(F.sequence(F.lit(1), F.length(piece) - WINDOW + 1), random)
+
+    at = F.sequence(F.lit(1), F.length(run) - WINDOW + 1, F.lit(PIECE - WINDOW + 1))
+    return F.exists(at, lambda i: found(F.substr(run, i, F.lit(PIECE))))
+
+
 def base_spans(text: Column) -> Column:
     return F.concat(
         _spans(text, 0, ASSIGN, text.rlike(ASSIGN), 2, 12),
@@ -96,7 +129,7 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def entropy_spans(text: Column, base: Column, limits=LIMITS, allow=ALLOW) -> Column:
+def entropy_spans(text: Column, base: Column, limits=LIMITS, allow=ALLOW, alphabets=None) -> Column:
     """Spans of runs with a window of high entropy, without allowed ones and those within a base span."""
     runs = _spans(text, 3, RUN, text.rlike(RUN), 0, WINDOW)
     run_of = lambda x: F.substr(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int"))
@@ -108,7 +141,10 @@ def entropy_spans(text: Column, base: Column, limits=LIMITS, allow=ALLOW) -> Col
         for pattern in allow:
             allowed = allowed | run.rlike(pattern)
         within = F.exists(base, lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
-        return ~within & ~allowed & (_least_sum(run) <= most)
+        high = _least_sum(run) <= most
+        if alphabets:
+            high = high | _random_window(run, alphabets)
+        return ~within & ~allowed & high
 
     return F.filter(runs, secret)
 
@@ -119,10 +155,10 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"], x["e"])), ",")
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", limits=LIMITS, allow=ALLOW) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", limits=LIMITS, allow=ALLOW, alphabets=None) -> DataFrame:
     """(key, n_assign, n_access, n_hex, n_entropy, base_sha256, spans) of every document; no shuffle."""
     t = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    t = t.withColumn("_base", base_spans(F.col("_t"))).withColumn("_more", entropy_spans(F.col("_t"), F.col("_base"), limits, allow))
+    t = t.withColumn("_base", base_spans(F.col("_t"))).withColumn("_more", entropy_spans(F.col("_t"), F.col("_base"), limits, allow, alphabets))
     n = lambda c, k: F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long")
     return t.select(
         key, *[n(F.col("_base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], F.size("_more").cast("long").alias("n_entropy"),
@@ -130,13 +166,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
     )
 
 
-def mask_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", limits=LIMITS, allow=ALLOW) -> DataFrame:
+def mask_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", limits=LIMITS, allow=ALLOW, alphabets=None) -> DataFrame:
     """The documents with every span masked (overlapping spans as one) and n_chars, if there, brought up to date."""
     names, size = docs.columns, "n_chars"
     t = docs.toDF(*[f"c{i}" for i in range(len(names))])
     c = F.col(f"c{names.index(text)}")
     whole = F.coalesce(c, F.lit(""))
-    t = t.withColumn("_base", base_spans(whole)).withColumn("_more", entropy_spans(whole, F.col("_base"), limits, allow))
+    t = t.withColumn("_base", base_spans(whole)).withColumn("_more", entropy_spans(whole, F.col("_base"), limits, allow, alphabets))
     ordered = F.array_sort(F.transform(F.concat("_base", "_more"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     part = lambda a, b: F.substr(c, (a + 1).cast("int"), (b - a).cast("int"))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

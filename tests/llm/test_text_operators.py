@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from collections import Counter
 
 import pyarrow as pa
@@ -194,6 +195,34 @@ def test_secret_scan_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
+ALPHABETS = {"lower": string.ascii_lowercase, "letters": string.ascii_letters, "base32": string.ascii_uppercase + "234567", "alphanumeric": string.ascii_lowercase + string.digits, "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+WORDY = ["thereistionandtheotherlongword", "tests/retrieval/test_search_planner", "Donaudampfschifffahrtsgesellschaft", "docs/2024-01-15/release-notes-for-users", "=" * 40, "some_rather_long_function_name_here", "anticonstitutionnellement"]
+
+
+def test_random_keys_of_every_alphabet_are_found_and_masked(spark):
+    rnd = random.Random(5)
+    keys = [(name, "".join(rnd.choices(chars, k=n))) for name, chars in ALPHABETS.items() for n in (20, 32, 40) for _ in range(100)]
+    rows = [(i, f"see {k} here") for i, (_, k) in enumerate(keys)] + [(100_000 + i, f"see {w} here") for i, w in enumerate(WORDY)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = {r.doc_id: r.spans for r in S.scan_secrets(df, alphabets=S.ALPHABETS).collect()}
+    masked = {r.doc_id: r.text for r in S.mask_secrets(df, alphabets=S.ALPHABETS).collect()}
+    for name in ALPHABETS:
+        of = [i for i, (kind, _) in enumerate(keys) if kind == name]
+        assert sum(hit[i] != "" for i in of) >= 0.98 * len(of), name
+        assert all((masked[i] == "see [SECRET] here") == (hit[i] != "") for i in of)
+    assert [hit[100_000 + i] for i in range(len(WORDY))] == [""] * len(WORDY)
+
+
+def test_query_and_pipeline_ask_for_alphabets(spark, tmp_path):
+    import corpus_pipeline
+    from lodestone.llm.queries import QUERIES
+
+    df = spark.createDataFrame([(1, "see qzkxwvjhpbtfmgdyxqkz here")], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op6_secret_scans"](spark, str(tmp_path)).first().spans == "entropy:4:24"
+    assert corpus_pipeline.secret_scans(spark, df, str(tmp_path)).first().text == "see [SECRET] here"
+
+
 def test_masking(spark):
     df = edge_docs(spark, extra=False).unionByName(spark.createDataFrame([(50, "é token=0123456789abcdef0123 end", "en", "s", 9), (51, "clean text", "en", "s", 10)], edge_docs(spark, extra=False).schema))
     out = S.mask_secrets(df)
