@@ -2,7 +2,10 @@
 
 Small collections are scanned exactly; from a threshold on an index may be built.  A
 query reads only the partitions of its nearest cells and ranks their vectors
-exactly.  The index is derived data: it may be dropped and built again at any time,
+exactly.  How many cells a query reads is measured by the build: held-out vectors are
+looked up with more and more cells until at least RECALL of their true neighbours are
+found.  A query that asks for one project reads all cells, since its vectors may lie
+in any.  The index is derived data: it may be dropped and built again at any time,
 and a build that breaks off leaves no ready index, since its description is
 written last.
 """
@@ -14,13 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lodestone.functions.vectors import dot_literal
 
 THRESHOLD, SAMPLE_ROWS = 30_000, 20_000
+#: share of the true NEIGHBOURS that a query's cells hold at least, as measured on HELD_OUT vectors
+RECALL, NEIGHBOURS, HELD_OUT = 0.95, 10, 200
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -37,6 +42,15 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarra
     return c
 
 
+def probes_for(cells: list[list[int]], order: np.ndarray, recall: float = RECALL) -> int:
+    """The least number of cells, nearest first, that hold that share of the neighbours; order is queries x all cells."""
+    if not any(cells):
+        return order.shape[1]
+    place = np.argsort(order, axis=1)
+    depth = np.sort(np.concatenate([place[i][c] for i, c in enumerate(cells) if c]))
+    return int(depth[max(0, int(np.ceil(recall * len(depth))) - 1)]) + 1
+
+
 @dataclass
 class VectorIndex:
     spark: SparkSession
@@ -64,8 +78,9 @@ class VectorIndex:
         if len(dims) != 1:
             raise ValueError("vectors must be of one length")
         n = rows.count()
-        share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / n))
-        x = np.array([r[0] for r in rows.where(share).select("embedding").collect()], dtype=np.float64)
+        share = lambda most, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / n)) + 1
+        held = [r[0] for r in rows.where(share(HELD_OUT, 1)).select("embedding").limit(4 * HELD_OUT).collect()]
+        x = np.array([r[0] for r in rows.where(share(sample_rows, 0) & ~(share(HELD_OUT, 1) & F.lit(n > 2 * HELD_OUT))).select("embedding").collect()], dtype=np.float64)
         k = cells or max(1, min(len(x), int(n**0.5), 4096))
         c = cluster(x, min(k, len(x)))
 
@@ -75,24 +90,57 @@ class VectorIndex:
 
         self.drop()
         rows.withColumn("cell", nearest("embedding")).write.partitionBy("cell").parquet(f"{self.path}/cells")
-        text = json.dumps({"dim": dims[0], "rows": n, "centroids": c.tolist()})
+        text = json.dumps({"dim": dims[0], "rows": n, "centroids": c.tolist(), "probes": self._probes(np.array(held, dtype=np.float64).reshape(len(held), -1), c)})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.path}/meta")
 
+    def _probes(self, held: np.ndarray, c: np.ndarray) -> int:
+        """Measured against brute force over the written cells: a pass that keeps each partition's best for each held-out vector, itself left out."""
+        if not len(held):
+            return len(c)
+
+        def best(batches):
+            kept = None
+            for pdf in batches:
+                if len(pdf):
+                    score = held @ np.array(pdf["embedding"].tolist(), dtype=np.float64).reshape(len(pdf), -1).T
+                    cell = np.broadcast_to(pdf["cell"].to_numpy(), score.shape)
+                    if kept is not None:
+                        score, cell = np.concatenate([kept[0], score], 1), np.concatenate([kept[1], cell], 1)
+                    top = np.argsort(-score, axis=1, kind="stable")[:, : NEIGHBOURS + 1]
+                    kept = np.take_along_axis(score, top, 1), np.take_along_axis(cell, top, 1)
+            if kept is not None:
+                q = np.repeat(np.arange(len(held)), kept[0].shape[1])
+                yield pd.DataFrame({"q": q, "score": kept[0].ravel(), "cell": kept[1].ravel()})
+
+        rows = self.spark.read.parquet(f"{self.path}/cells").where(~F.col("invalidated")).select("embedding", "cell")
+        found = rows.mapInPandas(best, "q int, score double, cell int")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "cell"))
+        top: list[list[int]] = [[] for _ in held]
+        for r in found.withColumn("rank", rank).where(F.col("rank").between(2, NEIGHBOURS + 1)).collect():
+            top[r["q"]].append(r["cell"])
+        return probes_for(top, np.argsort(-(held @ c.T), axis=1))
+
     def drop(self) -> None:
         fs = self.spark._jvm.org.apache.hadoop.fs
         for part in ("meta", "cells"):
             p = fs.Path(f"{self.path}/{part}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def nearest(self, vector: list[float], top_k: int = 10, probes: int = 8, project_id: str | None = None) -> DataFrame:
-        """The best of the nearest cells, filtered before they are ranked."""
+    def nearest(self, vector: list[float], top_k: int = 10, probes: int | None = None, project_id: str | None = None) -> DataFrame:
+        """The best of the nearest cells, filtered before they are ranked; probes: the measured number.
+
+        With a project, and for more neighbours than were measured, all cells are read unless probes is given.
+        """
         meta = self.meta()
         if meta is None:
             raise ValueError("there is no index")
         if len(vector) != meta["dim"]:
             raise ValueError(f"the index has vectors of {meta['dim']} numbers, the query has {len(vector)}")
-        order = np.argsort(-(np.array(meta["centroids"]) @ np.array(vector)))[:probes].tolist()
-        rows = self.spark.read.parquet(f"{self.path}/cells").where(F.col("cell").isin(*order) & ~F.col("invalidated"))
-        rows = rows if project_id is None else rows.where(F.col("project_id") == project_id)
+        rows = self.spark.read.parquet(f"{self.path}/cells").where(~F.col("invalidated"))
+        if project_id is not None:
+            rows = rows.where(F.col("project_id") == project_id)
+        if probes is not None or (project_id is None and top_k <= NEIGHBOURS):
+            order = np.argsort(-(np.array(meta["centroids"]) @ np.array(vector)))[: probes or meta.get("probes")].tolist()
+            rows = rows.where(F.col("cell").isin(*order))
         scored = rows.withColumns({"score": dot_literal(F.col("embedding"), vector), "tier": F.lit("R1")}).drop("cell")
         return scored.orderBy(F.col("score").desc(), F.col("created_at").desc(), F.col("row_seq").desc(), "id").limit(top_k)

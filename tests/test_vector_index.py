@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from lodestone.operators.retrieval import cosine
-from lodestone.operators.vector_index import VectorIndex
+from lodestone.operators.vector_index import VectorIndex, probes_for
 from tests.test_retrieval import atom, atoms, ids
 
 
@@ -31,3 +33,27 @@ def test_index_recall_and_guards(spark, tmp_path):
         index.build(atoms(spark, [atom("x", embedding=[1.0]), atom("y", embedding=[1.0, 0.0])]))
     index.drop()
     assert index.meta() is None
+
+
+def test_defaults_find_the_neighbours_of_the_sample_embeddings(spark, tmp_path):
+    path = Path("/root/testdata/sf0.1/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("sample tables are missing")
+    vectors = {r.vec_id: list(map(float, r.embedding)) for r in spark.read.parquet(str(path)).collect()}
+    a = atoms(spark, [atom(f"a{i}", embedding=v, row_seq=i, project_id=f"p{i % 40}") for i, v in vectors.items()]).cache()
+    index = VectorIndex(spark, str(tmp_path))
+    index.build(a)
+    queries = [v for i, v in vectors.items() if i % 50 == 0]
+    names, x = [f"a{i}" for i in vectors], np.array(list(vectors.values()))
+    true = lambda v: {names[i] for i in np.argsort(-(x @ np.array(v)))[:10]}
+    hits = [len(set(ids(index.nearest(v))) & true(v)) for v in queries]
+    assert sum(hits) / (10 * len(queries)) >= 0.9
+    for v in queries[:2]:
+        one = ids(index.nearest(v, 10, project_id="p3"))
+        assert len(one) == 10 and one == ids(cosine(a.where("project_id = 'p3'"), v, 10))
+
+
+def test_probes_grow_until_the_recall_is_met():
+    order = np.array([[2, 0, 1], [1, 2, 0]])
+    assert probes_for([[2, 2], [1, 1]], order, 0.9) == 1
+    assert probes_for([[2, 1], [1, 1]], order, 0.75) == 1 and probes_for([[2, 1], [1, 1]], order, 0.9) == 3
