@@ -189,7 +189,7 @@ _RANK = f"SELECT id, round(s, 6) AS score, '{{}}' AS tier FROM (SELECT c.id, {{}
 @query("r0", f"WITH {ATOMS} SELECT id, 1.0::DOUBLE AS score, 'R0' AS tier FROM atoms WHERE content = (SELECT text FROM documents WHERE doc_id = 3)")
 def r0(spark, d):
     text = S.read(spark, d, "documents").where("doc_id = 3").first()["text"]
-    return _scored(retrieval.exact(S.atoms(spark, d), text, 1000))
+    return _scored(retrieval.exact(S.atoms(spark, d), text, None))
 
 
 @query("r1", f"WITH {ATOMS}, {CAND}, {COS} " + _RANK.format("R1", "x.s", "cos", 10))

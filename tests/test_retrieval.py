@@ -165,3 +165,12 @@ def test_scores_need_only_the_columns_they_use(spark, data):
 
     best = retrieval.bm25(retrieval.candidates(tables.atoms(spark, data), "src1"), "the").select("id", "score")
     assert "embedding:array" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_r0_returns_every_copy(spark, tmp_path):
+    from lodestone.queries import QUERIES
+
+    spark.range(1200).selectExpr("id as doc_id", "'same text' as text", "'en' as lang", "'s' as source", "9L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["r0"](spark, str(tmp_path)).count() == 1200
