@@ -13,7 +13,8 @@ With alphabets (as the query and the pipeline ask), a run is also a span when so
 window reaches what nearly all random windows of its own alphabet have, and half
 of its neighbouring characters or more are unlike words: letter pairs that are
 rare in English, German, French and Spanish, a letter beside a digit, a capital
-after a small letter.  The second test keeps words, paths and names out.
+after a small letter.  The second test keeps words, paths and names out.  There,
+an allow-list pattern that isn't anchored only takes out the windows on its piece.
 
 Spans are kind:start:end in code points from 0, end exclusive.
 
@@ -49,6 +50,8 @@ PAIRS = (
 ).split()
 UNLIKE = r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])|(?!(?i:" + "|".join(PAIRS) + r"))[A-Za-z](?=[A-Za-z])"
 LEAST_UNLIKE = 10
+#: stands for an allowed piece of a run; no window goes across it
+_CUT = "~"
 _UNIT = 1 << 20
 
 
@@ -113,11 +116,11 @@ def _random_window(run: Column, alphabets) -> Column:
         def random(i: Column) -> Column:
             window, pairs = F.substr(piece, i, F.lit(WINDOW)), F.substr(marks, i, F.lit(WINDOW - 1))
             most = F.coalesce(*[F.when(window.rlike(pattern), limit_units(bits)) for pattern, bits in alphabets])
-            return (F.length(pairs) - F.length(F.replace(pairs, F.lit("!"), F.lit(""))) >= LEAST_UNLIKE) & (_least_sum(window) <= most)
+            return (F.length(pairs) - F.length(F.replace(pairs, F.lit("!"), F.lit(""))) >= LEAST_UNLIKE) & ~F.contains(window, F.lit(_CUT)) & (_least_sum(window) <= most)
 
-        return F.exists(F.sequence(F.lit(1), F.length(piece) - WINDOW + 1), random)
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - WINDOW + 1)), random)
 
-    at = F.sequence(F.lit(1), F.length(run) - WINDOW + 1, F.lit(PIECE - WINDOW + 1))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - WINDOW + 1), F.lit(PIECE - WINDOW + 1))
     return F.exists(at, lambda i: found(F.substr(run, i, F.lit(PIECE))))
 
 
@@ -141,10 +144,16 @@ def entropy_spans(text: Column, base: Column, limits=LIMITS, allow=ALLOW, alphab
         for pattern in allow:
             allowed = allowed | run.rlike(pattern)
         within = F.exists(base, lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
-        high = _least_sum(run) <= most
+        high = ~allowed & (_least_sum(run) <= most)
         if alphabets:
-            high = high | _random_window(run, alphabets)
-        return ~within & ~allowed & high
+            rest, fits = run, F.lit(False)
+            for pattern in allow:
+                if pattern.startswith("^"):
+                    fits = fits | run.rlike(pattern)
+                else:
+                    rest = F.regexp_replace(rest, pattern, _CUT)
+            high = high | (~fits & _random_window(rest, alphabets))
+        return ~within & high
 
     return F.filter(runs, secret)
 

@@ -223,6 +223,14 @@ def test_query_and_pipeline_ask_for_alphabets(spark, tmp_path):
     assert corpus_pipeline.secret_scans(spark, df, str(tmp_path)).first().text == "see [SECRET] here"
 
 
+def test_an_allowed_piece_hides_its_own_windows_alone(spark):
+    key = "".join(random.Random(9).choices(string.ascii_letters + string.digits, k=40))
+    texts = [f"docs/example/{key}", f"{key}/0123456789", f"your_{key[:12]}", "example/placeholder/your_key", "abcdefghijklmnopqrstuvwxyz0123456789", "123e4567-e89b-12d3-a456-426614174000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    hit = {r.doc_id: r.n_entropy for r in S.scan_secrets(df, alphabets=S.ALPHABETS).collect()}
+    assert [hit[i] for i in range(len(texts))] == [1, 1, 0, 0, 0, 0]
+
+
 def test_masking(spark):
     df = edge_docs(spark, extra=False).unionByName(spark.createDataFrame([(50, "é token=0123456789abcdef0123 end", "en", "s", 9), (51, "clean text", "en", "s", 10)], edge_docs(spark, extra=False).schema))
     out = S.mask_secrets(df)
