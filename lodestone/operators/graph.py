@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.scratch import Cuts
+
 
 def _both_ways(edges: DataFrame, edge_types: list[str] | None) -> DataFrame:
     e = edges.where(F.col("edge_type").isin(*edge_types)) if edge_types else edges
-    return e.select(F.col("from_atom_id").alias("a"), F.col("to_atom_id").alias("b")).unionAll(e.select(F.col("to_atom_id").alias("a"), F.col("from_atom_id").alias("b"))).distinct()
+    return e.select(F.col("from_atom_id").alias("a"), F.col("to_atom_id").alias("b")).unionAll(e.select(F.col("to_atom_id").alias("a"), F.col("from_atom_id").alias("b")))
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 2, edge_types: list[str] | None = None) -> DataFrame:
@@ -60,10 +62,12 @@ def valid_at(triples: DataFrame, at: str) -> DataFrame:
 def expand(results: DataFrame, atoms: DataFrame, edges: DataFrame, top_k: int, depth: int = 1, seeds: int = 3, decay: float = 0.7) -> DataFrame:
     """Results and what is connected to the best few of them, at a decayed score; best score by record, then top-k.
 
-    Seeds are a top-k of three rows; their neighbourhoods are joined, not looked up one by one.
+    Seeds are a top-k of three rows; their neighbourhoods are joined, not looked up one
+    by one.  The results are written first, so that the search below them runs once.
     """
     from lodestone.operators.retrieval import ranked
 
+    results = Cuts(atoms.sparkSession).cut(results)
     best = ranked(results, seeds).select(F.col("id").alias("root"), F.col("score").alias("_s"), F.col("tier").alias("_t"))
     near = reach(edges, best.select("root"), depth).where("depth > 0").join(best, "root")
     extra = near.groupBy("id").agg(F.max(F.col("_s") * decay).alias("score"), F.first("_t").alias("tier"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.ids import decrypt, encrypt, entry_id, record_hash
 from lodestone.functions.text import one_line
+from lodestone.scratch import Cuts
 
 WIRE = ("entry_id", "client_id", "sequence_no", "op", "record_id", "blinded_project_id", "ts", "payload")
 PAYLOAD_FIELDS = ("content", "id", "invalidated", "metadata", "project_id", "refs", "scope", "tags", "type")
@@ -25,8 +26,8 @@ def next_sequence(log: DataFrame) -> DataFrame:
 def emit(atoms: DataFrame, log: DataFrame, client_id: str, blinded_project_id: str, key: Column | None = None) -> DataFrame:
     """New log rows for records, numbered on from the client's last one.
 
-    Numbers are dealt by a running count within range partitions plus the counts of
-    those before, so no task holds the whole batch.
+    The batch is written once while its numbers are dealt (numbered), so no task holds
+    all of it and every reader sees the same numbers.
     """
     base = log.where(F.col("client_id") == client_id).agg(F.coalesce(F.max("sequence_no"), F.lit(0))).first()[0]
     rows = numbered(atoms, ["created_at", "id"], base + 1, "sequence_no")
@@ -43,10 +44,12 @@ def emit(atoms: DataFrame, log: DataFrame, client_id: str, blinded_project_id: s
 def numbered(df: DataFrame, order: list[str], start: int, name: str) -> DataFrame:
     """Consecutive numbers in a global order, without gathering the rows in one task.
 
-    Range partitions are counted first (one number each goes to the driver), then each
-    numbers its own rows.
+    The rows are dealt into ranges and written with their range; the written table is
+    counted (one number for each range goes to the driver) and numbered.  Counting
+    and numbering the plan itself would sample other bounds each time.  Rows that are
+    equal in all of the order's columns get their numbers in any order.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = Cuts(df.sparkSession).cut(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
     before, total = {}, start
     for p in sorted(counts):

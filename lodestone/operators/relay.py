@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.oplog import WIRE, numbered
-from lodestone.schema import MAX_BATCH_ENTRIES, MAX_PAYLOAD_BYTES, OPS, valid_blinded_id
+from lodestone.schema import MAX_BATCH_ENTRIES, MAX_PAYLOAD_BYTES, OPS, check_cursor, valid_blinded_id
 
 
 def append(relay: DataFrame, batch: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def read_page(relay: DataFrame, blinded_project_id: str, cursor: str | None = No
 
     Takes limit + 1 rows (a top-k, not a sort of the log) to know whether more follow.
     """
-    rows = relay.where((F.col("blinded_project_id") == blinded_project_id) & (F.col("ingest_seq") > int(cursor or 0))).orderBy("ingest_seq").limit(limit + 1)
+    after = check_cursor(cursor)
+    rows = relay.where((F.col("blinded_project_id") == blinded_project_id) & (F.col("ingest_seq") > after)).orderBy("ingest_seq").limit(limit + 1)
     w = Window.orderBy("ingest_seq")  # over a page only
     page = rows.withColumn("_n", F.row_number().over(w)).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit)
     page = page.where(F.col("_n") <= limit)

@@ -53,7 +53,7 @@ atoms AS (
 EDGES = f"""
 n AS (SELECT count(*) AS n FROM documents),
 edges AS (SELECT o_orderkey AS id, 'd' || (o_orderkey % n) AS a, 'd' || (o_custkey % n) AS b, {_list(EDGE_TYPES)}[1 + o_orderkey % {len(EDGE_TYPES)}] AS edge_type
-  FROM orders, n WHERE o_orderkey < n * 1.5),
+  FROM orders, n),
 pairs AS (SELECT a, b, edge_type FROM edges UNION ALL SELECT b, a, edge_type FROM edges)"""
 LOG = """
 log AS (

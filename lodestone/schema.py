@@ -23,10 +23,11 @@ EDGE_TYPES = ("supersedes", "blocks", "touches_file", "decided_by", "depends_on"
 OPS = ("upsert", "invalidate")
 DIRECTIONS = ("push", "pull")
 
+#: The limits of the data model.
 MAX_CONTENT_CHARS, MAX_TOP_K, MAX_TOPIC_CHARS = 100_000, 1000, 1000
 MAX_LINE_BYTES, MAX_PAYLOAD_BYTES, MAX_BATCH_ENTRIES, PAGE_ENTRIES = 1 << 20, 1 << 20, 1000, 500
 
-ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"
+ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
 
 def one_of(c: Column, values: tuple[str, ...]) -> Column:
@@ -43,6 +44,14 @@ def valid_cursor(c: Column) -> Column:
     return c.isNull() | (c == "") | c.rlike("^[0-9]{1,19}$")
 
 
+def check_cursor(cursor: str | None) -> int:
+    """The number of a cursor; null and empty are 0."""
+    text = cursor or "0"
+    if not (isinstance(text, str) and text.isascii() and text.isdigit() and len(text) <= 19):
+        raise ValueError(f"a cursor is up to 19 digits, got {cursor!r}")
+    return int(text)
+
+
 def valid_blinded_id(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
 

@@ -40,9 +40,9 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as typed edges between records: about one and a half for each record."""
+    """orders as typed edges between records."""
     n = read(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    o = read(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).where(F.col("o_orderkey") < F.col("n") * 1.5)
+    o = read(spark, sf_dir, "orders").crossJoin(F.broadcast(n))
     d = lambda c: F.concat(F.lit("d"), (F.col(c) % F.col("n")).cast("string"))
     return o.select(F.col("o_orderkey").alias("id"), d("o_orderkey").alias("from_atom_id"), d("o_custkey").alias("to_atom_id"), pick(EDGE_TYPES, F.col("o_orderkey")).alias("edge_type"), F.lit(None).cast("string").alias("project_id"), F.lit(None).cast("string").alias("metadata"), F.date_format("o_orderdate", _ISO).alias("created_at"))
 

@@ -73,6 +73,33 @@ def test_sequence_numbers_go_on(spark):
     assert oplog.next_sequence(log(spark, [entry("me", 7), entry("x", 1)])).orderBy("client_id").collect()[0].next_seq == 8
 
 
+@pytest.mark.parametrize("many", [1_000_000])
+def test_numbers_are_distinct_at_size(spark, many):
+    """As many numbers as rows, the same for every reader, for all that deal numbers."""
+    rows = spark.range(many).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("p").alias("project_id"), F.concat(F.lit("t"), (F.col("id") % 97).cast("string")).alias("created_at"))
+    out = oplog.numbered(rows, ["created_at", "id"], 5, "n")
+    assert out.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n")).first() == (many, many, 5, many + 4)
+    again = oplog.numbered(rows, ["created_at", "id"], 5, "m")
+    assert out.join(again, "id").where("n <> m").count() == 0
+
+
+def test_emitted_and_appended_numbers_are_distinct(spark):
+    many = 200_000
+    fields = [F.lit(None).cast(k).alias(n) for n, k in (x.split(" ", 1) for x in S.ATOMS.split(", ")) if n not in ("id", "project_id", "created_at", "invalidated")]
+    made = spark.range(many).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("p").alias("project_id"), F.lit("2024").alias("created_at"), F.lit(False).alias("invalidated"), *fields)
+    for out in (oplog.emit(made, log(spark, []), "me", BP), oplog.backfill(made, log(spark, []), "p", "me", BP)):
+        assert out.agg(F.count("*"), F.countDistinct("sequence_no"), F.countDistinct("entry_id")).first() == (many, many, many)
+    batch = oplog.emit(made, log(spark, []), "me", BP).select(*oplog.WIRE)
+    added = relay.append(spark.createDataFrame([], S.RELAY), batch)
+    assert added.agg(F.count("*"), F.countDistinct("ingest_seq"), F.max("ingest_seq")).first() == (many, many, many)
+
+
+@pytest.mark.parametrize("cursor", ["abc", "-1", "1" * 20, "١"])
+def test_a_page_wants_a_number_as_its_cursor(spark, cursor):
+    with pytest.raises(ValueError):
+        relay.read_page(spark.createDataFrame([], S.RELAY), BP, cursor)
+
+
 def test_encrypted_payload_round_trip(spark):
     from tests.test_retrieval import atom, atoms
 
