@@ -3,8 +3,10 @@
 toxicity drops the documents it rejects; the n-gram Jaccard join keeps one
 document of each group of near copies; decontamination drops documents in which a
 benchmark item leaks; secret scans mask the secrets; mixing decides how often each
-document is taken and returns the taken ones (doc_id, source, size, source_size,
-target, repeats, taken), whose texts are those of the stage before.
+document is taken and returns the taken ones, with their masked texts and all other
+columns of documents, and size, source_size, target, repeats and taken.
+
+Edge cases: those of the operators; a stage that keeps nothing hands an empty table on.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import drop_leaking
-from lodestone.llm.mixing import mix_sources
+from lodestone.llm.mixing import take_mix
 from lodestone.llm.near_join import keep_one_of_each
 from lodestone.llm.secrets import ALPHABETS, mask_secrets
-from lodestone.llm.storage import Cuts
 from lodestone.llm.toxicity import drop_toxic
+from lodestone.scratch import Cuts, released
 
 #: The last stage fits targets to the sizes kept and picks by a hash: tested against a brute-force version instead.
 ORACLE_SQL = None
@@ -39,7 +41,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs).where("repeats > 0")
+    return take_mix(docs)
 
 
 STAGES = [
@@ -52,10 +54,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what a stage keeps is written and read again by the next."""
+    """All stages over the documents of sf_dir; what a stage keeps is written and read again by the next.
+
+    A stage's intermediate tables are deleted once its result is written, and that
+    result once the next one is; only what the last stage reads from stays.
+    """
     docs, cuts = spark.read.parquet(f"{sf_dir}/documents.parquet"), Cuts(spark)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cuts.cut(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with released():
+            docs = cuts.cut(stage(spark, docs, sf_dir))
+        if k:
+            cuts.drop(k - 1)
+    return STAGES[-1][1](spark, docs, sf_dir)
