@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +52,6 @@ def multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _BASE + _U(seed)) | _U(1)
 
 
-_POWERS = [np.ones(1, dtype=_U)]
-
-
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        p = np.full(max(n, 1 << 12), _BASE, dtype=_U)
-        p[0] = 1
-        _POWERS[0] = np.multiply.accumulate(p)
-    return _POWERS[0]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,32 +130,41 @@ def tokenize(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False)
     return Tokens(data, offsets, starts, ends, row, first)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum((data.astype(_U) + _U(1)) * _powers(len(data) + 1)[: len(data)], out=sums[1:])
-    return sums
+#: ranges above so many bytes are hashed one by one
+LONG_RANGE = 256
 
 
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
+    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand.
+
+    A range is read in words of 8 bytes, each mixed into all bits of the state before
+    the next, so no regular text makes two ranges meet; long ranges get a BLAKE2 hash.
+    """
     if not len(starts):
         return np.zeros(0, dtype=_U)
-    sums, top = prefix_sums(data), len(data)
-    # scaled back by the power of its start, so that the place of a range doesn't matter
-    raw = (sums[ends] - sums[starts]) * _inverse(starts, top)
-    return mix(raw + (ends - starts).astype(_U) * _LEN)
-
-
-_INVERSE = [np.ones(1, dtype=_U)]
-
-
-def _inverse(starts: np.ndarray, top: int) -> np.ndarray:
-    """The inverse of the base, to the power of each start (the base is odd)."""
-    if len(_INVERSE[0]) < top + 1:
-        p = np.full(max(top + 1, 1 << 12), _U(pow(int(_BASE), -1, 1 << 64)), dtype=_U)
-        p[0] = 1
-        _INVERSE[0] = np.multiply.accumulate(p)
-    return _INVERSE[0][starts]
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    # every byte position read as the 8 bytes from there on
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    sizes = (ends - starts).astype(np.int64)
+    out = sizes.astype(_U) * _LEN + _BASE
+    live = np.flatnonzero(sizes <= LONG_RANGE)
+    at, left = starts[live], sizes[live]
+    while True:
+        on = left > 0
+        if not on.all():
+            live, at, left = live[on], at[on], left[on]
+        if not len(live):
+            break
+        word = eight[at]
+        short = left < 8
+        if short.any():
+            word[short] &= (_U(1) << (left[short] * 8).astype(_U)) - _U(1)
+        out[live] = mix(out[live] ^ word) + _BASE
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(sizes > LONG_RANGE).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out)
 
 
 def shingles(tokens: Tokens, hashes: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

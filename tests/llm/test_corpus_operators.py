@@ -16,7 +16,7 @@ from lodestone.llm import near_join as N
 from lodestone.llm import toxicity as O
 from lodestone.llm import url_filters as U
 from lodestone.llm.components import connected_components
-from lodestone.llm.storage import Cuts
+from lodestone.scratch import Cuts
 from tests.llm.helpers import ALNUM, EDGE_TEXTS, SPACED, UPPER, edge_docs, words
 
 DOCS = "doc_id long, text string, source string"
@@ -92,6 +92,41 @@ def test_other_budgets(spark):
 def test_mixing_edges(spark):
     assert X.mix_sources(edge_docs(spark)).count() == len(EDGE_TEXTS) + 2
     assert X.mix_sources(edge_docs(spark).limit(0)).count() == 0
+    docs = edge_docs(spark)
+    taken = X.take_mix(docs)
+    assert taken.columns == [*docs.columns, "mix_size", "source_size", "mix_target", "repeats", "taken"]
+    assert X.take_mix(docs.limit(0)).count() == 0
+
+
+def test_the_mix_keeps_texts_and_repeated_rows(spark):
+    rnd = random.Random(8)
+    rows = [(i, words(rnd, rnd.choice([1, 9, 80])), rnd.choice(["a", "b", "c", None])) for i in range(120)] + [(7, "the same row", "a")] * 700 + [(None, "no id", "b"), (2**60 + 1, "large id", "b")]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed, taken = X.mix_sources(docs, group_rows=50).collect(), X.take_mix(docs, group_rows=50).collect()
+    assert len(mixed) == len(rows) and {r.doc_id for r in mixed} == {r[0] for r in rows}
+    total, kept = Counter(), Counter()
+    for r in mixed:
+        total[r.doc_id, r["size"]] += r.repeats
+    for r in taken:
+        kept[r.doc_id, r["size"]] += r.repeats
+        assert (r.doc_id, r.text, r.source) in rows and r.taken == r.repeats * r["size"] > 0
+    assert +total == +kept and len({(r.doc_id, r.text) for r in taken}) == len(taken)
+    copies = [r.repeats for r in mixed if r.doc_id == 7 and r["size"] == 3]
+    assert len(copies) == 700 and max(copies) - min(copies) <= 1
+
+
+def test_every_document_may_be_taken(spark):
+    """The longest document too, where the others can make up for it, under some seed; and targets are met under each."""
+    rows = [(0, "w " * 60, "a")] + [(i, "w " * (i % 7 + 1), "a") for i in range(1, 200)] + [(200 + i, "w w", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    longest = []
+    for seed in range(8):
+        out = X.mix_sources(docs, seed=seed).collect()
+        longest.append(next(r.repeats for r in out if r.doc_id == 0))
+        for source in ("a", "b"):
+            mine = [r for r in out if (r.doc_id < 200) == (source == "a")]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2
+    assert len(set(longest)) == 2
 
 
 # near join
@@ -146,13 +181,63 @@ def near_rows(seed=3, groups=12, size=6, hot=40):
     return rows
 
 
-@pytest.mark.parametrize("tile_rows", [256, 5])
-def test_join_agrees_with_all_pairs(spark, tile_rows):
+@pytest.mark.parametrize("how", [{}, {"tile_rows": 5}, {"tile_rows": 5, "crowded": 4, "large": 1}], ids=["whole", "tiles", "nodes"])
+def test_join_agrees_with_all_pairs(spark, how):
     rows = near_rows()
-    got = {r.doc_id: tuple(r)[1:] for r in N.near_join(spark.createDataFrame(rows, "doc_id long, text string"), tile_rows=tile_rows).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in N.near_join(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
     assert got == plain_join(rows)
 
 
+def test_prefixes_differ_between_documents(spark):
+    """Where many share a prefix it stays long, as far as the target allows; elsewhere it is the shortest."""
+    rows = near_rows()
+    cuts = Cuts(spark)
+    sigs = N.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, N.TREES, N.DEPTH)
+    classes = cuts.cut(sigs.groupBy("fp").agg(F.max("n").alias("n"), F.first("sig").alias("sig")))
+    shared, _ = N.ask_forest(classes, cuts, N.TREES, N.DEPTH, 0.8, N.RECALL, 4)
+    low, found = N.prefix_length(), defaultdict(dict)
+    for r in shared.collect():
+        found[bytes(r.fp)][r.t] = r.d
+        assert low <= r.d <= N.DEPTH and (r.d == low or r.m > 4)
+    assert {d for x in found.values() for d in x.values()} > {low}
+    for lengths in found.values():
+        miss = math.prod(1 - 0.8 ** lengths.get(t, low) for t in range(N.TREES))
+        assert miss <= 1 - N.RECALL + 1e-12
+
+
+@pytest.mark.parametrize("trees, depth, recall", [(16, 8, 0.999), (8, 6, 0.9), (24, 10, 0.99)])
+def test_recall_of_the_forest(spark, trees, depth, recall):
+    rnd = random.Random(trees)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(4):
+            w = list(base)
+            w[rnd.randrange(10, 100)] = f"e{rnd.randrange(10**9)}"
+            w[rnd.randrange(10, 100)] = f"e{rnd.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    got = N.near_join(spark.createDataFrame(rows, "doc_id long, text string"), trees=trees, depth=depth, recall=recall, crowded=2)
+    want = plain_join(rows)
+    assert got.agg(F.sum("n_class_links")).first()[0] >= recall * sum(x[4] for x in want.values()) - 6
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (5, a), (7, a), (3, b + " end"), (9, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in N.keep_one_of_each(docs).collect()) == [(3, b + " end"), (5, a), (9, "other words")]
+    alone = spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")
+    assert N.keep_one_of_each(alone).count() == 2
+
+
+def test_long_common_texts(spark):
+    """A third of the rows are one text, and a long text with wide characters has a near copy."""
+    long = " ".join(f"é{i % 5000}x{i}" for i in range(60_000))
+    rows = [(i, "the same text in all of these rows") for i in range(1500)] + [(2000, long), (2001, long + " more"), (2002, "x")]
+    out = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in N.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 1503 and out[1499] == (0, 1500, 1499) and out[2001] == (2000, 1, 1) and out[2002] == (2002, 1, 0)
+
+
 def test_prefix_length_reaches_the_target():
     d = N.prefix_length()
     assert 1 - (1 - 0.8**d) ** N.TREES >= N.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** N.TREES
