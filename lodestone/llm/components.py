@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, cuts: Cuts, a: str = "a", b: str = "b
     """(node, component): the least node of each component, for every node of an edge.
 
     Edges with a null end or from a node to itself are left out, so a node with no
-    other edge has no row.  No edges: no rows.
+    other edge has no row.  No edges: no rows.  Rounds grow with the logarithm of the
+    longest path; a graph that hasn't settled after most_rounds fails the run.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
     e = cuts.cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -49,4 +50,6 @@ def connected_components(edges: DataFrame, cuts: Cuts, a: str = "a", b: str = "b
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    # dealt evenly, whatever the sizes of components
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+    return e.select(F.inline(ends)).distinct()

@@ -104,13 +104,14 @@ def held_out(key: str, folds: int):
 def labelled_sample(labels: DataFrame, key: str, label: str, folds: int | None, limit: int) -> DataFrame:
     """(key, y) of at most about limit learnable ids, chosen by a hash of the id.
 
-    Repeated labels of one id count as their largest; null ids and null labels are left out.
+    Ids are compared as texts, so they may be of any type.  Repeated labels of one id
+    count as their largest; null ids and null labels are left out.
     """
     if folds:
         labels = labels.where(~held_out(key, folds))
     one = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(key).cast("long").alias("_key"))
+        .groupBy(F.col(key).cast("string").alias("_key"))
         .agg(F.max(F.col(label).cast("int")).alias("_y"))
     )
     total = one.count()
@@ -125,7 +126,7 @@ def sampled(docs: DataFrame, key: str, text: str, sample: DataFrame) -> DataFram
     sample is bounded (labelled_sample), so the join is a broadcast of that bounded
     table and no text is shuffled.
     """
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_key")
+    return docs.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_key")
 
 
 def collect_rows(docs: DataFrame, key: str, text: str, sample: DataFrame, features) -> tuple[Rows, np.ndarray]:
@@ -146,7 +147,7 @@ def collect_rows(docs: DataFrame, key: str, text: str, sample: DataFrame, featur
                     "vals": pa.array([vals[a:b].astype(np.float32).tobytes() for a, b in zip(bits, bits[1:], strict=False)], pa.binary()),
                 })
 
-    rows = sampled(docs, key, text, sample).mapInArrow(run, "id long, y int, cols binary, vals binary").collect()
+    rows = sampled(docs, key, text, sample).mapInArrow(run, "id string, y int, cols binary, vals binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.cols)))
     cols = [np.frombuffer(r.cols, np.int32) for r in rows]
     vals = [np.frombuffer(r.vals, np.float32) for r in rows]

@@ -1,32 +1,42 @@
-"""LM scoring: a bigram model as a weighted backoff automaton, one traversal per text.
-
-The model is a bigram model with Dirichlet smoothing over the unigrams:
-
-    P(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))
-    P(w | v) = (c(v w) + m * P(w)) / (c(v) + m)
-
-which is normalised for every context v.  As an automaton: a root state, whose
-arcs are the words with P(w), and a state for each word v (and the beginning of a
-text), with an arc for each seen bigram weighing P(w | v) and a failure arc to
-the root weighing m / (c(v) + m), which gives unseen bigrams just their P(w | v).
-A text is read once from left to right; reading w leads to the state of w.
-
-No automaton of the whole corpus is ever built in one place.  Texts are dealt
-into blocks of a bounded size.  Every block asks for the counts of its distinct
-words and bigrams: one entry each, with the block's own training counts, so a
-frequent word is pre-aggregated, and no row for a bucket that a block has no key
-in.  Buckets of the key space add the counts up and answer each block.  A block
-then compiles the part of the automaton that it needs, N and V included, and
-traverses its texts.  Keys are 64-bit hashes, shuffled as packed arrays.
+"""LM scoring: a trigram model as a weighted backoff automaton, one traversal per text.
+
+The model has Dirichlet smoothing from each order to the one below:
+
+    P(w)       = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    P(w | v)   = (c(v w) + m2 * P(w)) / (c(v) + m2)
+    P(w | u v) = (c(u v w) + m3 * P(w | v)) / (c(u v) + m3)
+
+which is normalised for every context.  As an automaton: a root state, whose arcs
+are the words with P(w); a state for each word seen (and the beginning of a text),
+with an arc for each bigram seen and a failure arc to the root weighing
+m2 / (c(v) + m2); a state for each bigram seen, with an arc for each trigram seen and
+a failure arc to its last word's state weighing m3 / (c(u v) + m3).  Reading a word
+follows failure arcs until a state has an arc for it; the arc leads to the state of
+the longest suffix that is a state.  A text is read once from left to right,
+carrying the state and adding up the arcs' logarithms (Automaton.traverse).
+
+No automaton of the whole corpus is ever built in one place.  Texts are dealt into
+blocks of a bounded size.  A block asks for the corpus counts of its n-grams in three
+rounds, words, bigrams, trigrams: an n-gram is asked for only if its parts occur in
+other blocks too, since otherwise no other block can have it and the block's own
+count is all there is.  Requests carry the block's own training counts, so a
+frequent n-gram is pre-aggregated, and go to buckets of the key space, which add the
+counts up and answer with the sum and whether several blocks asked.  With more than FAN buckets requests go through a level between: groups of
+blocks merge theirs, ask the buckets and hand the answers down, so that neither a
+bucket hears of all blocks nor a block of all buckets.  A block then compiles the
+part of the automaton that its texts can reach and traverses them.  Keys are 64-bit
+hashes, shuffled as packed arrays.
 
 Edge cases: a null text is an empty one, whose only token is the end; texts whose
-id is null are learnt from and not held out; repeated rows count each; without
-training tokens N and V are 0 and P(w) is 1; an empty table gives no rows; other
-columns are ignored, whatever their names.
+id is null are learnt from and not held out; repeated rows count each; keys may be
+of any type; without training tokens N and V are 0 and P(w) is 1; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,8 +46,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import textops as T
 from lodestone.llm.linear import held_out
 
-PRIOR = 100.0
-BLOCK_BYTES, BUCKET_BYTES = 3_000_000, 8_000_000
+#: m2 and m3
+PRIORS = (30.0, 5.0)
+BLOCK_BYTES, BUCKET_BYTES, FAN = 3_000_000, 2_000_000, 4096
+MERGED_BYTES = 64_000_000
 _U = np.uint64
 _END = _U(0x0123456789ABCDEF)
 _BEGIN = _U(0xFEDCBA9876543210)
@@ -62,10 +74,27 @@ def unpack_counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
 
 
+@dataclass
+class Grams:
+    """Distinct n-grams of a block: their keys, own training counts, and the two (n-1)-grams that each is made of."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    at: np.ndarray  # for each token the n-gram that ends in it; -1: none
+    left: np.ndarray
+    right: np.ndarray
+
+    def ask(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted keys, own counts doubled, place of each wanted n-gram among them)."""
+        keys, place = np.unique(self.keys[wanted], return_inverse=True)
+        return keys, np.bincount(place, weights=self.own[wanted], minlength=len(keys)).astype(np.int64) * 2, place
+
+
 class Block:
-    """The token sequences of a block's texts as indices into its distinct words and bigrams."""
+    """The token sequences of a block's texts, and their words, bigrams and trigrams."""
 
     def __init__(self, table: pa.Table):
+        self.learn = table.column("learn").to_numpy(zero_copy_only=False).astype(bool)
         words, rows, base = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
         for part in T.slices(table.select(["text"])):
             t = T.tokenize(part.column("text"), T.SPACED, True)
@@ -80,96 +109,259 @@ class Block:
         word, self.row, self.rows = np.concatenate(words), np.concatenate(rows), base
         self.first = np.ones(len(word), dtype=bool)
         self.first[1:] = self.row[1:] != self.row[:-1]
-        before = np.concatenate([[_BEGIN], word[:-1]]) if len(word) else word
-        before[self.first] = _BEGIN
-        m = T.multipliers(2, 77)
-        self.words, self.word = np.unique(word, return_inverse=True)
-        self.pairs, self.pair = np.unique(T.mix(before * m[0] + word * m[1]), return_inverse=True)
-        self.end = int(np.searchsorted(self.words, _END)) if len(word) else -1
-
-    def counts(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        on = learn[self.row]
-        return np.bincount(self.word[on], minlength=len(self.words)), np.bincount(self.pair[on], minlength=len(self.pairs))
-
-    def score(self, c_word: np.ndarray, c_pair: np.ndarray, n: int, v: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, score) of each text: the compiled automaton's arcs, then one traversal."""
-        total = n + 0.5 * (v + 1)
-        root = np.log10((c_word + 0.5) / total)  # arcs of the root
-        state = np.empty_like(self.word)  # the state in which a token is read: that of the word before
-        state[1:] = self.word[:-1]
-        state[self.first] = self.end  # a text begins as often as it ends
-        fail = np.log10(prior / (c_word + prior))
-        first_use = np.full(len(self.pairs), -1)
-        first_use[self.pair] = np.arange(len(self.pair))
-        v_of, w_of = state[first_use], self.word[first_use]
-        arc = np.where(c_pair > 0, np.log10((c_pair + prior * (c_word[w_of] + 0.5) / total) / (c_word[v_of] + prior)), fail[v_of] + root[w_of])
-        per_row = lambda x: np.bincount(self.row, weights=x, minlength=self.rows)
-        return per_row(c_word[self.word] > 0).astype(np.int64), per_row(root[self.word]), per_row(arc[self.pair])
-
-
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the sorted keys of each bucket begin: equal ranges of the key space."""
-    bounds = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, dtype=_U)), [len(keys)]]).astype(np.int64)
-
-
-REQUEST = "bucket int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
-ANSWER = "block long, bucket int, word_counts binary, pair_counts binary"
+        self.on = self.learn[self.row]
+        keys, at = np.unique(word, return_inverse=True)
+        none = np.zeros(len(keys), np.int64)
+        self.words = Grams(keys, np.bincount(at[self.on], minlength=len(keys)), at, none, none)
+        self.end = int(np.searchsorted(keys, _END)) if len(keys) else -1
+
+    def pairs(self) -> Grams:
+        """Bigrams; the word before a text's first one is the beginning, which has the number of words as its own."""
+        n, at = len(self.words.keys), self.words.at
+        before = np.full(len(at), n)
+        before[1:] = at[:-1]
+        before[self.first] = n
+        codes, pair = np.unique(before * (n + 1) + at, return_inverse=True)
+        left, right, m = codes // (n + 1), codes % (n + 1), T.multipliers(2, 77)
+        known = np.append(self.words.keys, _BEGIN)
+        return Grams(T.mix(known[left] * m[0] + known[right] * m[1]), np.bincount(pair[self.on], minlength=len(codes)), pair, left, right)
+
+    def triples(self, pairs: Grams) -> Grams:
+        """Trigrams: of each token but a text's first, with the bigrams that end before it and in it."""
+        at = np.flatnonzero(~self.first)
+        codes, triple = np.unique(pairs.at[at - 1] * max(1, len(pairs.keys)) + pairs.at[at], return_inverse=True)
+        left, right, m = codes // max(1, len(pairs.keys)), codes % max(1, len(pairs.keys)), T.multipliers(3, 78)
+        known = np.append(self.words.keys, _BEGIN)
+        keys = T.mix(known[pairs.left[left]] * m[0] + known[pairs.left[right]] * m[1] + known[pairs.right[right]] * m[2])
+        whole = np.full(len(self.row), -1)
+        whole[at] = triple
+        return Grams(keys, np.bincount(triple[self.on[at]], minlength=len(codes)), whole, left, right)
+
+    def known(self, answers: dict[int, np.ndarray]) -> tuple[list[Grams], list[np.ndarray], np.ndarray | None]:
+        """(n-grams of each order, corpus counts of those orders that are answered, what of the next order to ask for)."""
+        grams, counts = [self.words], []
+        wanted = np.ones(len(self.words.keys), dtype=bool)
+        for order in (1, 2, 3):
+            if order > 1:
+                grams.append(self.pairs() if order == 2 else self.triples(grams[1]))
+                if order == 2:
+                    elsewhere = np.append(elsewhere, True)  # the beginning
+                wanted = elsewhere[grams[-1].left] & elsewhere[grams[-1].right]
+            if order not in answers:
+                return grams, counts, wanted
+            _, _, place = grams[-1].ask(wanted)
+            if len(place) and place.max() >= len(answers[order]):
+                raise RuntimeError("a block's answers don't fit its texts")
+            total, elsewhere = grams[-1].own.copy(), np.zeros(len(wanted), dtype=bool)
+            total[wanted], elsewhere[wanted] = answers[order][place] >> 1, answers[order][place] & 1
+            counts.append(total)
+        return grams, counts, None
+
+
+@dataclass
+class Automaton:
+    """States are numbers, 0 the root; arcs are sorted by state * words + word."""
+
+    words: int
+    arcs: np.ndarray
+    weight: np.ndarray
+    leads: np.ndarray
+    fails: np.ndarray  # by state: where its failure arc leads
+    fail_weight: np.ndarray
+    start: int
+
+    def traverse(self, word: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """The summed log10 weights of each row's words, read from left to right; all rows advance together by a word."""
+        length = np.bincount(row, minlength=rows)
+        begin = np.cumsum(length) - length
+        order = np.argsort(-length, kind="stable")
+        begin, length = begin[order], length[order]
+        state, total = np.full(rows, self.start), np.zeros(rows)
+        live = np.searchsorted(-length, -np.arange(1, (int(length[0]) if rows else 0) + 1), side="right")
+        for j, n in enumerate(live.tolist()):
+            w, s, add = word[begin[:n] + j], state[:n].copy(), np.zeros(n)
+            arc = np.searchsorted(self.arcs, s * self.words + w)
+            lost = self._lost(arc, s, w)
+            while len(lost):
+                add[lost] += self.fail_weight[s[lost]]
+                s[lost] = self.fails[s[lost]]
+                arc[lost] = np.searchsorted(self.arcs, s[lost] * self.words + w[lost])
+                lost = lost[self._lost(arc[lost], s[lost], w[lost])]
+            total[:n] += add + self.weight[arc]
+            state[:n] = self.leads[arc]
+        out = np.zeros(rows)
+        out[order] = total
+        return out
+
+    def _lost(self, arc: np.ndarray, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which of them found no arc."""
+        return np.flatnonzero(self.arcs[np.minimum(arc, len(self.arcs) - 1)] != state * self.words + word)
+
+
+def root_weights(c: np.ndarray, n: int, v: int) -> np.ndarray:
+    return np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+
+
+def compiled(block: Block, grams: list[Grams], counts: list[np.ndarray], n: int, v: int, priors: tuple[float, float]) -> Automaton:
+    """The states and arcs that the block's texts can reach."""
+    (_, pairs, triples), (c1, c2, c3), (m2, m3) = grams, counts, priors
+    words = len(c1)
+    # the beginning counts as often as the end; nothing follows the end
+    context = np.append(c1, c1[block.end] if block.end >= 0 else 0)
+    number = np.arange(words + 1)
+    word_state = np.where((context > 0) & (number != block.end), 1 + number, 0)
+    pair_state = np.where((c2 > 0) & (pairs.right != block.end), 2 + words + np.arange(len(c2)), 0)
+    size = 2 + words + len(c2)
+    fails, fail_weight = np.zeros(size, dtype=np.int64), np.zeros(size)
+    fail_weight[1 : words + 2] = np.log10(m2 / (context + m2))
+    fails[words + 2 :] = word_state[pairs.right]
+    fail_weight[words + 2 :] = np.log10(m3 / (c2 + m3))
+    p1 = (c1 + 0.5) / (n + 0.5 * (v + 1))
+    p2 = (c2 + m2 * p1[pairs.right]) / (context[pairs.left] + m2)
+    p3 = (c3 + m3 * p2[triples.right]) / (c2[triples.left] + m3)
+    two, three = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
+    arcs = np.concatenate([np.arange(words), word_state[pairs.left[two]] * words + pairs.right[two], pair_state[triples.left[three]] * words + pairs.right[triples.right[three]]])
+    leads = np.concatenate([word_state[:words], pair_state[two], pair_state[triples.right[three]]])
+    weight = np.log10(np.concatenate([p1, p2[two], p3[three]]))
+    order = np.argsort(arcs, kind="stable")
+    return Automaton(words, arcs[order], weight[order], leads[order], fails, fail_weight, int(word_state[words]))
+
+
+REQUEST = "dest long, block long, level int, bucket int, keys binary, counts binary"
+ANSWER = "block long, level int, bucket int, counts binary"
+
+
+def _rows(block: int, level: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
+    """Requests for sorted keys, one for each bucket (equal ranges of the key space) that has some."""
+    of = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    at = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]).tolist() if len(of) else [0]
+    return [(int(of[a]), block, level, int(of[a]), pack(keys[a:b]), pack_counts(counts[a:b])) for a, b in zip(at, at[1:], strict=False)]
+
+
+_REQUEST = pa.schema([("dest", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([_REQUEST.field(n) for n in ("block", "level", "bucket", "counts")])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _answered(answers: pa.Table) -> dict[int, np.ndarray]:
+    """Answers by order, in the order of the keys asked for: twice the count, and one more if several blocks asked."""
+    answers = answers.sort_by([("level", "ascending"), ("bucket", "ascending")])
+    found: dict[int, list[np.ndarray]] = {}
+    for level, counts in zip(answers.column("level").to_pylist(), answers.column("counts").to_pylist(), strict=True):
+        found.setdefault(level, []).append(unpack_counts(counts))
+    return {k: np.concatenate(x) for k, x in found.items()}
 
 
 def _ask(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        block = Block(table)
-        counts = block.counts(table.column("learn").to_numpy(zero_copy_only=False).astype(bool))
-        cols: dict[str, list] = {n: [] for n in ("words", "word_counts", "pairs", "pair_counts")}
-        for (name, keys), c in zip((("word", block.words), ("pair", block.pairs)), counts, strict=True):
-            at = _edges(keys, buckets).tolist()
-            cols[f"{name}s"] = [pack(keys[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            cols[f"{name}_counts"] = [pack_counts(c[a:b]) for a, b in zip(at, at[1:], strict=False)]
-        some = [b for b in range(buckets) if cols["words"][b] or cols["pairs"][b]]  # no row for an empty bucket
-        number = table.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array([number] * len(some), pa.int64()), **{n: pa.array([x[b] for b in some], pa.binary()) for n, x in cols.items()}})
+    """A block's next requests; what it knows already goes to itself (dest < 0), to come back beside the answers."""
 
-    return run
+    def first(texts: pa.Table) -> pa.Table:
+        return after(texts, None)
+
+    def after(texts: pa.Table, answers: pa.Table | None) -> pa.Table:
+        if not texts.num_rows:
+            raise RuntimeError("answers for a block without texts")
+        texts = texts.combine_chunks()
+        number, block = texts.column("block")[0].as_py(), Block(texts)
+        got = _answered(answers) if answers is not None else {}
+        grams, _, wanted = block.known(got)
+        keys, own, _ = grams[-1].ask(wanted)
+        rows = [(-1 - number, number, level, 0, b"", pack_counts(c)) for level, c in got.items()]
+        if not len(keys):
+            rows.append((-1 - number, number, len(grams), 0, b"", b""))
+        return _table(rows + _rows(number, len(grams), keys, own, buckets), _REQUEST)
+
+    return first, after
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their answers, each row's places among them, where each row begins) of requests."""
+    keys = [unpack(x) for x in table.column("keys").to_pylist()]
+    own = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(place, weights=own >> 1, minlength=len(distinct)).astype(np.int64)
+    asked = np.bincount(place, weights=1 + (own & 1), minlength=len(distinct))
+    return distinct, count * 2 + (asked > 1), place, np.cumsum([0, *map(len, keys)])
+
+
+def _echo(table: pa.Table) -> bool:
+    return table.column("dest")[0].as_py() < 0
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """Training tokens and distinct training words of a bucket."""
-    keys, counts = (np.concatenate([f(x) for x in table.column(c).to_pylist()]) for c, f in (("words", unpack), ("word_counts", unpack_counts)))
-    return pa.table({"n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(np.unique(keys[counts > 0]))], pa.int64())})
+    """Training tokens and distinct training words of a bucket of words."""
+    if _echo(table):
+        return pa.table({"n": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    _, sums, _, _ = _summed(table)
+    return pa.table({"n": pa.array([int((sums >> 1).sum())], pa.int64()), "v": pa.array([int((sums > 1).sum())], pa.int64())})
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    out = {"block": table.column("block").to_pylist(), "bucket": table.column("bucket").to_pylist()}
-    for name in ("word", "pair"):
-        keys = [unpack(x) for x in table.column(f"{name}s").to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])
-        own = np.concatenate([unpack_counts(x) for x in table.column(f"{name}_counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=own).astype(np.int64)
-        out[f"{name}_counts"] = [pack_counts(x) for x in np.split(sums[inverse], ends[:-1])]
-    return pa.table({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("word_counts", "pair_counts")}})
-
-
-def _score(prior: float, schema: pa.Schema):
+    table = table.combine_chunks()
+    kept = table.select(["block", "level", "bucket"])
+    if _echo(table):
+        return kept.append_column("counts", table.column("counts"))
+    _, sums, place, at = _summed(table)
+    return kept.append_column("counts", pa.array([pack_counts(sums[place[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+
+
+def _merge(buckets: int, parts: int):
+    """The requests of a group of blocks as one, to the buckets themselves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if _echo(table):
+            return _REQUEST.empty_table()
+        keys, sums, _, _ = _summed(table)
+        number = table.column("dest")[0].as_py() * parts + table.column("part")[0].as_py()
+        return _table(_rows(number, table.column("level")[0].as_py(), keys, sums, buckets), _REQUEST)
+
+    return run
+
+
+def _hand_down(table: pa.Table, answers: pa.Table) -> pa.Table:
+    table = table.combine_chunks()
+    kept = table.select(["block", "level", "bucket"])
+    if _echo(table):
+        return kept.append_column("counts", table.column("counts"))
+    _, _, place, at = _summed(table)
+    (sums,) = _answered(answers).values()
+    return kept.append_column("counts", pa.array([pack_counts(sums[place[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+
+
+def _resolve(asked: DataFrame, buckets: int, fan: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(answers, the requests as the buckets got them)."""
+    if buckets <= fan:
+        return asked.groupBy("dest").applyInArrow(_answer, ANSWER), asked
+    parts = max(2, -(-2 * size // (fan * MERGED_BYTES)))
+    dealt = asked.withColumn("part", F.when(F.col("dest") < 0, 0).otherwise(F.pmod(F.xxhash64("block"), F.lit(parts))).cast("long"))
+    merged = dealt.groupBy("dest", "part").applyInArrow(_merge(buckets, parts), REQUEST)
+    up = merged.groupBy("dest").applyInArrow(_answer, ANSWER)
+    up = up.select(F.floor(F.col("block") / parts).cast("long").alias("dest"), F.pmod("block", F.lit(parts)).cast("long").alias("part"), "level", "bucket", "counts")
+    return dealt.groupBy("dest", "part").cogroup(up.groupBy("dest", "part")).applyInArrow(_hand_down, ANSWER), merged
+
+
+def _score(priors: tuple[float, float]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return schema.empty_table()
-        texts, answers = texts.combine_chunks(), answers.sort_by("bucket")
+            raise RuntimeError("answers for a block without texts")
+        texts = texts.combine_chunks()
         block = Block(texts)
-        c_word, c_pair = (np.concatenate([unpack_counts(x) for x in answers.column(c).to_pylist()]) for c in ("word_counts", "pair_counts"))
-        if len(c_word) != len(block.words) or len(c_pair) != len(block.pairs):
-            raise RuntimeError("a block's answers don't fit its texts")
+        grams, counts, _ = block.known(_answered(answers.select(["level", "bucket", "counts"])))
         n, v = answers.column("n")[0].as_py(), answers.column("v")[0].as_py()
-        known, base, score = block.score(c_word, c_pair, n, v, prior)
+        score = compiled(block, grams, counts, n, v, priors).traverse(block.words.at, block.row, block.rows)
+        per_row = lambda x: np.bincount(block.row, weights=x, minlength=block.rows)
+        known, base = per_row(counts[0][block.words.at] > 0).astype(np.int64), per_row(root_weights(counts[0], n, v)[block.words.at])
         tokens = np.bincount(block.row, minlength=block.rows)
-        return pa.Table.from_arrays([texts.column("k"), pc.invert(texts.column("learn")), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(block.rows, n), pa.int64()), pa.array(base), pa.array(score)], schema=schema)
+        names = ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([texts.column("k"), pc.invert(texts.column("learn")), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(block.rows, n), pa.int64()), pa.array(base), pa.array(score)], names=names)
 
     return run
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, priors: tuple[float, float] = PRIORS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Learns from the documents whose crc32 of the id as text leaves another remainder
@@ -177,15 +369,22 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
-    dealt = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~held_out(key, folds)).alias("learn"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(buckets), REQUEST)
-    # N and V reach every block beside its answers, as a broadcast of one row; both branches read one shuffle
-    totals = asked.groupBy("bucket").applyInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-    answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWER).crossJoin(F.broadcast(totals))
+    # rows that are equal are spread too, by where they stand in their file
+    block = F.pmod(F.xxhash64(key, text, F.shiftright(F.monotonically_increasing_id(), 6)), F.lit(blocks))
+    dealt = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~held_out(key, folds)).alias("learn"), block.alias("block"))
+    first, after = _ask(min(buckets, fan))
+    answers, totals = None, None
+    for order in (1, 2, 3):
+        if order == 1:
+            asked = dealt.groupBy("block").applyInArrow(first, REQUEST)
+        else:
+            asked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(after, REQUEST)
+        answers, final = _resolve(asked, buckets, fan, size)
+        if order == 1:
+            # N and V reach every block beside its answers, as a broadcast of one row
+            sums = final.groupBy("dest").applyInArrow(_totals, "n long, v long")
+            totals = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    answers = answers.crossJoin(F.broadcast(totals))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    arrow = pa.schema([("k", _ARROW.get(kind, pa.string())), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
-    return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(prior, arrow), schema).withColumnRenamed("k", key)
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(priors), schema).withColumnRenamed("k", key)

@@ -325,7 +325,7 @@ def _near(docs: DataFrame, key: str, text: str, words: int, similarity: float, t
     rows, chars = wide.agg(F.count("*"), F.sum("chars")).first()
     bundles = max(1, -(-rows // tile_rows), -(-(chars or 0) // TILE_CHARS))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(_text(text)).alias("th"), _text(text).alias("text"))
-    texts = marked(texts, ["k", "th"], cuts.cut(bitmap(wide, ["k", "th"])), "may").where("may").drop("may")
+    texts = marked(texts, ["k", "th"], bitmap(wide.select("k", "th").distinct(), ["k", "th"], cuts), "may").where("may").drop("may")
     pairs = F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("other")
     dealt = texts.join(wide.hint("shuffle_hash"), ["k", "th"]).select("*", pairs)
     ti, tj = F.least("tile", "other"), F.greatest("tile", "other")
@@ -366,7 +366,7 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     found, cuts = _near(docs, key, text, words, similarity, trees, depth, recall, tile_rows, crowded, large)
     rows = cuts.cut(found.select("k", "th", ((F.col("k") == F.col("class_id")) & (F.col("th") == F.col("class_th"))).alias("chosen")))
     repeated = rows.groupBy("k", "th").count().where("count > 1").select("k", "th")
-    doubtful = cuts.cut(bitmap(rows.where(~F.col("chosen")).select("k", "th").unionAll(repeated), ["k", "th"]))
+    doubtful = bitmap(rows.where(~F.col("chosen")).select("k", "th").unionAll(repeated), ["k", "th"], cuts)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at, body = f"c{names.index(key)}", f"c{names.index(text)}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm.lm_scoring import PRIOR
+from lodestone.llm.lm_scoring import PRIORS
 from lodestone.llm.secrets import ALLOW, KINDS, LIMITS, WINDOW, _units, limit_units
 from lodestone.llm.url_filters import RULES
 
@@ -91,14 +91,17 @@ _CRC = (
 LM = rf"""
 WITH crc AS (SELECT doc_id, {_CRC} % 5 = 1 AS held FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents)),
 d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w, coalesce(crc.held, false) AS held FROM documents JOIN crc USING (doc_id)),
-t AS (SELECT doc_id, held, unnest(list_transform(w, lambda x: 'w' || x) || ['end']) AS w, unnest(['begin'] || list_transform(w, lambda x: 'w' || x)) AS v FROM d),
+t AS (SELECT doc_id, held, unnest(list_transform(w, lambda x: 'w' || x) || ['end']) AS w, unnest(['begin'] || list_transform(w, lambda x: 'w' || x)) AS v, unnest([NULL] || (['begin'] || list_transform(w, lambda x: 'w' || x))[:-2]) AS u FROM d),
 one AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY 1),
 two AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held GROUP BY 1, 2),
+three AS (SELECT u, v, w, count(*) AS c FROM t WHERE NOT held AND u IS NOT NULL GROUP BY 1, 2, 3),
 ctx AS (SELECT v, count(*) AS c FROM t WHERE NOT held GROUP BY 1),
-z AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM one)
-SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(one.c) AS n_known, any_value(z.n) AS train_tokens,
-  round(sum(log10((coalesce(one.c, 0) + 0.5e0) / (z.n + 0.5e0 * (z.v + 1)))), 6) AS base_score,
-  round(sum(log10((coalesce(two.c, 0) + {PRIOR}::DOUBLE * (coalesce(one.c, 0) + 0.5e0) / (z.n + 0.5e0 * (z.v + 1))) / (coalesce(ctx.c, 0) + {PRIOR}::DOUBLE))), 6) AS score
-FROM t CROSS JOIN z LEFT JOIN one USING (w) LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN ctx ON ctx.v = t.v GROUP BY doc_id"""
+z AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM one),
+p AS (SELECT doc_id, t.u, held, one.c AS seen, (coalesce(one.c, 0) + 0.5e0) / (z.n + 0.5e0 * (z.v + 1)) AS p1, z.n, coalesce(two.c, 0) AS c2, coalesce(ctx.c, 0) AS x2, coalesce(three.c, 0) AS c3, coalesce(uv.c, 0) AS x3
+  FROM t CROSS JOIN z LEFT JOIN one USING (w) LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN ctx ON ctx.v = t.v LEFT JOIN three ON three.u = t.u AND three.v = t.v AND three.w = t.w LEFT JOIN two uv ON uv.v = t.u AND uv.w = t.v),
+q AS (SELECT *, (c2 + {PRIORS[0]}::DOUBLE * p1) / (x2 + {PRIORS[0]}::DOUBLE) AS p2 FROM p)
+SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(seen) AS n_known, any_value(n) AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
+  round(sum(log10(CASE WHEN u IS NULL THEN p2 ELSE (c3 + {PRIORS[1]}::DOUBLE * p2) / (x3 + {PRIORS[1]}::DOUBLE) END)), 6) AS score
+FROM q GROUP BY doc_id"""
 
 ORACLES = {"op2_ngram_jaccard_join": NEAR.strip(), "op4_lm_scoring": LM.strip(), "op5_url_filters": URLS.strip(), "op6_secret_scans": SECRETS.strip()}

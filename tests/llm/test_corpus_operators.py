@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import lm_scoring as M
 from lodestone.llm import mixing as X
 from lodestone.llm import near_join as N
+from lodestone.llm import quality as Q
+from lodestone.llm import textops as T
 from lodestone.llm import toxicity as O
 from lodestone.llm import url_filters as U
 from lodestone.llm.components import connected_components
@@ -258,38 +260,85 @@ def test_near_edges(spark):
 # language model
 
 
-def test_scores_agree_with_plain_counts(spark):
+@pytest.mark.parametrize("how", [{}, {"fan": 2}], ids=["one level", "two levels"])
+def test_scores_agree_with_plain_counts(spark, how):
     rnd = random.Random(9)
     rows = [(i, words(rnd, rnd.choice([0, 1, 5, 60]), 50), "s") for i in range(150)]
+    rows += [(i + 150, t, "s") for i, t, _ in rows[:20]] + [(400 + i, f"only{i} here{i} only{i} here{i} the the", "s") for i in range(30)]
     token = {i: [*SPACED.findall(t.translate(UPPER)), None] for i, t, _ in rows}
-    one, two, context = Counter(), Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in token}
     for i, w in token.items():
         if not held[i]:
             one.update(w)
-            two.update(zip(["^", *w[:-1]], w, strict=True))
-            context.update(["^", *w[:-1]])
+            two.update(zip(["^", *w], w, strict=False))
+            three.update(zip(["^", *w], w, w[1:], strict=False))
     n, v = sum(one.values()), len(one)
-    p = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
-    for r in M.score_texts(spark.createDataFrame(rows, DOCS), prior=7.0, block_bytes=900, bucket_bytes=2000).collect():
+    context = one | {"^": one[None]}
+    p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda a, x: (two[a, x] + 7 * p1(x)) / (context.get(a, 0) + 7)
+    p3 = lambda a, b, x: (three[a, b, x] + 3 * p2(b, x)) / (two[a, b] + 3)
+    out = M.score_texts(spark.createDataFrame(rows, DOCS), priors=(7.0, 3.0), block_bytes=900, bucket_bytes=2000, **how).collect()
+    assert len(out) == len(rows)
+    for r in out:
         w = token[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(one[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10(p(x)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10((two[a, b] + 7 * p(b)) / (context[a] + 7)) for a, b in zip(["^", *w[:-1]], w, strict=True)))
+        assert r.base_score == pytest.approx(sum(math.log10(p1(x)) for x in w))
+        assert r.score == pytest.approx(math.log10(p2("^", w[0])) + sum(math.log10(p3(a, b, x)) for a, b, x in zip(["^", *w], w, w[1:], strict=False)))
+
 
+def test_every_state_adds_up_to_one():
+    """Over the known words, the end and one unknown word, from every state, following failure arcs."""
+    import numpy as np
+    import pyarrow as pa
 
-def test_every_context_adds_up_to_one():
-    """Over the known words, the end and one unknown word, from a seen and an unseen context."""
+    block = M.Block(pa.table({"text": ["a b a", "b b", "a z a b a", "q a b z", "q z"], "learn": [True, True, True, False, False]}))
+    grams = [block.words, block.pairs()]
+    grams.append(block.triples(grams[1]))
+    counts = [g.own for g in grams]
+    n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
+    a = M.compiled(block, grams, counts, n, v, (3.0, 2.0))
+    states = {0, a.start, *a.leads.tolist()}
+    assert len(states) > 8
+    for state in states:
+        total = 0.0
+        for w in range(a.words):
+            one = M.Automaton(a.words, a.arcs, a.weight, a.leads, a.fails, a.fail_weight, state)
+            total += 10 ** one.traverse(np.array([w]), np.array([0]), 1)[0]  # q is the unknown word
+        assert total == pytest.approx(1)
+    assert a.fail_weight[0] == 0 and (a.fails[a.leads] != a.leads)[a.leads > 0].all()
+
+
+def test_ngrams_known_here_alone_are_not_asked_for():
     import numpy as np
     import pyarrow as pa
 
-    block = M.Block(pa.table({"text": ["a b a", "b b", "a z", "q a b z", "q z"]}))
-    c_word, c_pair = block.counts(np.array([True, True, True, False, False]))
-    n, v, m = int(c_word.sum()), int((c_word > 0).sum()), 3.0
-    p = {int(w): (c + 0.5) / (n + 0.5 * (v + 1)) for w, c in zip(block.words, c_word, strict=True) if c > 0}
-    assert sum(p.values()) + 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1)
-    _, base, score = block.score(c_word, c_pair, n, v, m)
-    assert (score < 0).all() and (base < 0).all()
+    block = M.Block(pa.table({"text": ["here alone", "the word"], "learn": [True, True]}))
+    the, word = (int(np.flatnonzero(block.words.keys == T.tokenize(pa.array([x])).hashes()[0])[0]) for x in ("the", "word"))
+    answer = block.words.own * 2
+    answer[[the, word, block.end]] += 1
+    grams, _, wanted = block.known({1: answer})
+    asked = {(int(grams[1].left[i]), int(grams[1].right[i])) for i in np.flatnonzero(wanted)}
+    begin = len(block.words.keys)
+    assert asked == {(begin, the), (the, word), (word, block.end)}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,2)", "string", "date", "int"])
+def test_keys_of_any_type(spark, kind):
+    make = "date_add(date'2024-01-01', cast(id as int))" if kind == "date" else f"cast(id as {kind})"
+    docs = spark.range(30).selectExpr(f"{make} as doc_id", "concat('the text ', id % 4, ' of some words and more, of the same kind') as text", "'s' as source")
+    labels = docs.selectExpr("doc_id", "cast(substr(text, 10, 1) as int) % 2 as toxic", "cast(substr(text, 10, 1) as int) % 2 as quality")
+    want = {r[0] for r in docs.select("doc_id").collect()}
+    for out in (M.score_texts(docs), O.toxicity(docs, labels), Q.quality_rules(docs, labels), N.near_join(docs), X.mix_sources(docs)):
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        assert {r.doc_id for r in out.collect()} == want
+
+
+def test_a_very_long_text(spark):
+    """A text of a million characters and a word of a million, beside short ones."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 3000}" for i in range(160_000)), "s"), (2, "x" * 1_000_000, "s"), (3, "w1 w2 w3", "s")], DOCS)
+    out = {r.doc_id: r for r in M.score_texts(docs).collect()}
+    assert [out[i].n_tokens for i in (1, 2, 3)] == [160_001, 2, 4] and all(r.score < 0 for r in out.values())
 
 
 def test_lm_edges(spark):
