@@ -47,7 +47,7 @@ from lodestone.llm import textops as T
 from lodestone.llm.linear import held_out
 
 #: m2 and m3
-PRIORS = (30.0, 5.0)
+PRIORS = (300.0, 10.0)
 BLOCK_BYTES, BUCKET_BYTES, FAN = 3_000_000, 2_000_000, 4096
 MERGED_BYTES = 64_000_000
 _U = np.uint64
