@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.lm_scoring import PRIORS
 from lodestone.llm.secrets import ALLOW, KINDS, LIMITS, WINDOW, _units, limit_units
-from lodestone.llm.url_filters import RULES
+from lodestone.llm.url_filters import ATTRIBUTE, ENTITIES, LINK_TAG, META_TAG, REFRESH, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -34,13 +34,44 @@ def _rule(field: int, host: str = "host", path: str = "path") -> str:
     return f"CASE{cases} END"
 
 
-_CANONICAL = "'canonical:' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|/index\\.html?|\\.html?)$', '')"
+_CANONICAL = "'canonical:' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|/index\\.html?|\\.html?)$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attribute(tag: str, name: str) -> str:
+    pattern = _quoted(rf"(?i)[\s\"'/]{name}\s*=\s*{ATTRIBUTE}")
+    return "(" + " || ".join(f"regexp_extract({tag}, {pattern}, {g})" for g in (1, 2, 3)) + ")"
+
+
+def _decoded(c: str) -> str:
+    for written, sign in ENTITIES:
+        c = f"regexp_replace({c}, '(?i){written}', '{sign}', 'g')"
+    return c
+
+
+def _flat(path: str) -> str:
+    """Without . and .. segments: a list of one-element lists, reduced from an empty one."""
+    return f"""(CASE WHEN {path} = '' THEN '' ELSE '/' || array_to_string(list_reduce([[]::VARCHAR[]] || list_transform(string_split({path}, '/')[2:], lambda x: [x]), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[:-2] WHEN x[1] = '.' THEN acc ELSE acc || x END), '/')
+      || CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') AND len(list_reduce([[]::VARCHAR[]] || list_transform(string_split({path}, '/')[2:], lambda x: [x]), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[:-2] WHEN x[1] = '.' THEN acc ELSE acc || x END)) > 0 THEN '/' ELSE '' END END)"""
+
+
+_T = _decoded("regexp_replace(x, '^\\s+|\\s+$', '', 'g')")
+_FOLDER = "CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END"
 URLS = rf"""
-WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.format("url")}, '') AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.format("url")}, '') AS path FROM pages),
 j AS (SELECT *, {_rule(0)} AS rule, {_rule(1)} AS action FROM p),
-t AS (SELECT url, host, regexp_extract(regexp_extract(html, '(?i)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS l,
-  regexp_extract(regexp_extract(html, '(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS r FROM p WHERE host <> ''),
-e AS (SELECT url AS a, {_CANONICAL} AS b FROM p WHERE host <> '' UNION SELECT url, x FROM (SELECT url, unnest([l, r]) AS x FROM t) WHERE regexp_matches(x, '(?i)^https?://')),
+tags AS (SELECT url, path, unnest(list_filter(regexp_extract_all(html, {_quoted(LINK_TAG)}), lambda t: list_contains(regexp_split_to_array(lower({_attribute("t", "rel")}), '\s+'), 'canonical'))) AS t, true AS link FROM p WHERE url LIKE '%://%'
+  UNION ALL SELECT url, path, unnest(list_filter(regexp_extract_all(html, {_quoted(META_TAG)}), lambda t: lower({_attribute("t", "http-equiv")}) = 'refresh')), false FROM p WHERE url LIKE '%://%'),
+raw AS (SELECT url, path, CASE WHEN link THEN {_attribute("t", "href")} ELSE regexp_extract({_attribute("t", "content")}, {_quoted(REFRESH)}, 1) END AS x FROM tags),
+told AS (SELECT url, path, {_T} AS t, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS origin FROM raw),
+split AS (SELECT *, regexp_extract(t, '^([^?#]*)', 1) AS own, regexp_extract(t, '^[^?#]*(.*)$', 1) AS rest, {_FOLDER} AS folder, regexp_extract(t, '^[^:]*://[^/?#]*([^?#]*)', 1) AS beyond, regexp_extract(t, '^//[^/?#]*([^?#]*)', 1) AS across FROM told),
+links AS (SELECT url AS a, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '(?i)^https?://') THEN regexp_extract(t, '^([^:]*://[^/?#]*)', 1) || {_flat("beyond")} || rest WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || regexp_extract(t, '^(//[^/?#]*)', 1) || {_flat("across")} || rest WHEN starts_with(t, '/') THEN origin || {_flat("own")} || rest
+  WHEN starts_with(t, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || t ELSE origin || {_flat("(folder || own)")} || rest END AS b FROM split),
+e AS (SELECT url AS a, {_CANONICAL} AS b FROM p WHERE host <> '' UNION SELECT a, b FROM links WHERE b IS NOT NULL),
 both AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
 """
 URLS = (

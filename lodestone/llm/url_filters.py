@@ -10,7 +10,12 @@ member and no allowed one is blocked, any other is allowed.
 Hosts: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased;
 paths: from there up to "?", "#" or the end.
 
-Edge cases: a URL of null or without "://" has an empty host and path, fits no
+Edges are read from the markup: every link tag with canonical among its rel values
+and every meta refresh, their targets in any form (absolute, protocol-relative, from
+the root, relative, query only, with entities) resolved against the page's URL; and
+each URL is linked to its canonical form (canonical_form), its query included.
+
+Edge cases: null markup has no links; other schemes (mailto and so on) make no edge; a URL of null or without "://" has an empty host and path, fits no
 rule, has no aliases and is allowed; repeated rows are judged each; of two rules
 with equal writing and different actions allow wins; no edges or an empty table
 work as usual; other columns are ignored, whatever their names.
@@ -27,6 +32,12 @@ from lodestone.scratch import Cuts
 #: (host, path, action)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
+#: how the signs of a URL may be written in markup; the ampersand's comes last
+ENTITIES = (("&(quot|#34|#x22);", '"'), ("&(#47|#x2f);", "/"), ("&(#58|#x3a);", ":"), ("&(#63|#x3f);", "?"), ("&(#61|#x3d);", "="), ("&(amp|#38|#x26);", "&"))
+LINK_TAG, META_TAG = r"(?i)<link\s[^>]*>", r"(?i)<meta\s[^>]*>"
+ATTRIBUTE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REFRESH = r"""(?i)\burl\s*=\s*["']?([^"'\s]+)"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,19 +59,60 @@ def path_of(url: Column) -> Column:
 
 
 def canonical_form(url: Column) -> Column:
-    """host/path under which usual variants of one page meet: no scheme, www. or m., query, fragment, last slash or .html."""
+    """host/path?query under which usual variants of one page meet: no scheme, www. or m., fragment, last slash or .html."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     path = F.regexp_replace(path_of(url), r"(/|/index\.html?|\.html?)$", "")
-    return F.when(host_of(url) != "", F.concat(host, path))
+    return F.when(host_of(url) != "", F.concat(host, path, F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)))
+
+
+def decoded(c: Column) -> Column:
+    for written, sign in ENTITIES:
+        c = F.regexp_replace(c, f"(?i){written}", sign)
+    return c
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments carried out."""
+    parts = F.split(path, "/", -1)
+    inner, end = F.slice(parts, F.lit(2), F.size(parts) - 1), F.element_at(parts, -1)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(inner, F.array().cast("array<string>"), step)
+    open_end = F.when(end.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), open_end)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """What a link on the page base leads to: an http(s) URL, or null for other schemes and places on the same page."""
+    t = F.trim(decoded(F.regexp_replace(target, r"^[\s]+|[\s]+$", "")))
+    origin, here = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([^?#]*)", 1)
+    path = path_of(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    own, rest = F.regexp_extract(t, r"^([^?#]*)", 1), F.regexp_extract(t, r"^[^?#]*(.*)$", 1)
+    there, beyond = F.regexp_extract(t, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(t, r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    flat = lambda p: F.when(p == "", "").otherwise(without_dots(p))
+    return (
+        F.when((t == "") | t.startswith("#"), None)
+        .when(t.rlike("(?i)^https?://"), F.concat(there, flat(beyond), rest))
+        .when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(t.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), F.regexp_extract(t, "^(//[^/?#]*)", 1), flat(F.regexp_extract(t, "^//[^/?#]*([^?#]*)", 1)), rest))
+        .when(t.startswith("/"), F.concat(origin, without_dots(own), rest))
+        .when(t.startswith("?"), F.concat(here, t))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, own)), rest))
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; empty if the tag has none."""
+    return F.concat(*[F.regexp_extract(tag, rf"(?i)[\s\"'/]{name}\s*=\s*{ATTRIBUTE}", g) for g in (1, 2, 3)])
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (a, b) between URLs: canonical links and meta refreshes in the markup, and each URL's canonical form."""
-    u, h = F.col(url), F.col(html)
-    link = F.regexp_extract(F.regexp_extract(h, r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(h, r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    absolute = lambda t: F.when(t.rlike("(?i)^https?://"), t).when(t.startswith("/") & ~t.startswith("//"), F.concat(F.regexp_extract(u, r"^([^:]*://[^/?#]*)", 1), t))
-    targets = F.array_compact(F.array(F.concat(F.lit("canonical:"), canonical_form(u)), absolute(link), absolute(refresh)))
+    u, h = F.col(url), F.coalesce(F.col(html), F.lit(""))
+    links = F.filter(F.regexp_extract_all(h, F.lit(LINK_TAG), F.lit(0)), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(F.regexp_extract_all(h, F.lit(META_TAG), F.lit(0)), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
+    to = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, lambda t: F.regexp_extract(attribute(t, "content"), REFRESH, 1)))
+    targets = F.array_compact(F.concat(F.array(F.concat(F.lit("canonical:"), canonical_form(u))), F.transform(to, lambda t: resolved(u, t))))
     return pages.where(F.instr(u, "://") > 0).select(u.alias("a"), F.explode(targets).alias("b"))
 
 

@@ -377,6 +377,78 @@ def test_urls(spark):
     assert U.filter_urls(df.limit(0)).count() == 0
 
 
+LINKS = [
+    ("//example.com/de/2", "http://example.com/de/2"), ("../de/2", "http://example.com/de/2"), ("2", "http://example.com/en/2"), ("./2?x#y", "http://example.com/en/2?x#y"), ("/a/./b/../c", "http://example.com/a/c"), ("../../../x", "http://example.com/x"),
+    ("?q=1", "http://example.com/en/1?q=1"), ("#top", None), ("", None), ("mailto:a@example.com", None), ("HTTPS://Other.org/x/..", "HTTPS://Other.org/"), ("  /s  ", "http://example.com/s"), ("/a&#47;b?c=1&amp;d=2", "http://example.com/a/b?c=1&d=2"), ("x/..", "http://example.com/en/"), ("http://h.org", "http://h.org"),
+]
+
+
+def test_links_are_resolved(spark):
+    df = spark.createDataFrame([(t,) for t, _ in LINKS], "t string").select("t", U.resolved(F.lit("http://example.com/en/1?old#here"), F.col("t")).alias("u"))
+    assert {r.t: r.u for r in df.collect()} == dict(LINKS)
+
+
+def link_pages(seed, n=160):
+    rnd = random.Random(seed)
+    hosts = ["a.net", "example.net", "example.com", "m.site.org", "www.site.org", "else.info", "b.info", "c.info"]
+    url = lambda: f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'de', 'fr'])}/{rnd.randrange(40)}"
+    pages = []
+    for i in range(n):
+        u = url()
+        to = rnd.choice([url(), url()[5:], f"../{rnd.choice(['de', 'fr'])}/{rnd.randrange(40)}", f"{rnd.randrange(40)}", f"/de/{rnd.randrange(40)}", "#x", ""])
+        markup = rnd.choice([f'<html><link href="{to}" rel="alternate Canonical">', f"<link rel=canonical href={to or 'x'}><link rel=next href=/de/1>", f"<meta content='3; URL={to or 'x'}' http-equiv=Refresh>", "<p>none</p>", f'<link rel="non-canonical" href="{to}">'])
+        pages.append((i, u, markup if rnd.random() < 0.7 else None))
+    return pages
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_alias_verdicts_agree_with_plain_ones_and_sql(spark, seed):
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    duckdb = pytest.importorskip("duckdb")
+    from lodestone.llm.oracles import ORACLES
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = {k: v or "" for k, v in attrs}
+            if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+                self.to.append(a.get("href", ""))
+            if tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+                self.to.append(a["content"].split("=", 1)[1])
+
+    pages = link_pages(seed)
+    near = defaultdict(set)
+    rule = lambda u: next((r for r in sorted(U.RULES, key=lambda r: -len(r[0] + r[1])) if (h := u.split("/")[2]) and (h == r[0] or h.endswith("." + r[0])) and ("/" + u.split("/", 3)[3]).startswith(r[1])), None)
+    for _, u, markup in pages:
+        reader = Reader()
+        reader.to = []
+        reader.feed(markup or "")
+        host, path = u.split("/", 3)[2:]
+        for t in [urljoin(u, x) for x in reader.to if x and not x.startswith("#")] + [("canonical", host.removeprefix("www.").removeprefix("m.") + "/" + path)]:
+            near[u].add(t)
+            near[t].add(u)
+    got = {r.page_id: (r.verdict, r.aliased) for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, u, _ in pages:
+        if rule(u):
+            assert got[i] == (rule(u)[2], False)
+            continue
+        seen, todo = {u}, [u]
+        while todo:
+            for t in near[todo.pop()] - seen:
+                seen.add(t)
+                todo.append(t)
+        actions = {rule(x)[2] for x in seen if isinstance(x, str) and rule(x)}
+        want = "allow" if "allow" in actions else "block" if actions else None
+        assert got[i] == (want or "allow", want is not None)
+    assert sum(a for _, a in got.values()) >= 3
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert {r[0]: (r[4], r[5]) for r in db.sql(ORACLES["op5_url_filters"]).fetchall()} == got
+
+
 def test_longest_rule_wins(spark):
     rules = (("b.a", "/", "block"), ("a", "/long/path/", "allow"), ("a", "/", "allow"), ("a", "/", "block"))
     df = spark.createDataFrame([("x.b.a", "/long/path/1"), ("x.b.a", "/l"), ("a", "/"), ("ba", "/")], "h string, p string")
