@@ -10,8 +10,9 @@ Words: after lower-casing A-Z, runs of a-z, 0-9 and characters outside ASCII.
 Beside the templates, fixed phrases are counted (the base): n_base places in
 all, first_word and last_word their smallest and largest word index, base_labels
 their labels.  labels has the templates' too.  score: 1 if a template accepts,
-else 0.5 if a phrase stands in the text, else half the largest share of a
-template's mandatory words that match from its start (at least two words).
+else 0.5 if a phrase stands in the text, else 0.25 if the opening of a template (its
+first six mandatory words) stands, as in a licence whose later wording was altered,
+else 0.
 
 Edge cases: a null or empty text has no words, empty label strings, score 0 and
 null first_word and last_word; repeated rows are judged each; an empty table
@@ -32,22 +33,37 @@ from lodestone.llm import textops as T
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: The wording of well-known licences and notices.
+_BSD_START = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_ONE = "[1|a] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_TWO = "[2|b] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_THREE = "[3|c] neither the name of <1-12> nor the names of [its|the] contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = (
+    "this software is provided by <1-12> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <1-12> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: The wording of well-known licences, from their first mandatory word to their last, and of short notices.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <1-3> software and associated documentation files [the software] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <1-3> software and associated documentation files [the software] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <1-8> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-2-clause", f"{_BSD_START} {_BSD_ONE} {_BSD_TWO} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD_START} {_BSD_ONE} {_BSD_TWO} {_BSD_THREE} {_BSD_END}"),
+    ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <1-8> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <1-8> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("apache-notice", "licensed under the apache license version 2 0 [the license] you may not use this file except in compliance with the license you may obtain a copy of the license at [http|https] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-notice", "free software you can redistribute it and or modify it under the terms of the gnu [lesser|affero] general public license as published by the free software foundation either version <1-2> of the license or [at your option] any later version <2-4> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [lesser|affero] general public license for more details"),
     ("mit", "[released|licensed|distributed] under the [terms of the] mit license"),
-    ("apache", "licensed under the apache license version 2 0 [the license]"),
-    ("apache", "[released|distributed] under the [terms of the] apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted [<0-6>] provided that the following conditions are met"),
+    ("apache", "[released|licensed|distributed] under the [terms of the] apache license version 2 0"),
     ("bsd", "[released|licensed|distributed] under the [terms of the] [2 clause|3 clause|new|simplified] bsd license"),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu [lesser|affero] general public license as published by the free software foundation either version <1-2> of the license or [at your option] any later version"),
     ("gpl", "licensed under the [terms of the] gnu general public license [as published by the free software foundation] [version <1-2>]"),
     ("cc-by-nc", "licensed under [a|the] [creative commons] cc by nc 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial <1-4> license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
 
 
+#: mandatory words of a template's opening
+OPENING = 6
+
+
 def word_hash(word: str) -> int:
     t = T.tokenize(pa.array([word]), T.ALNUM, True)
     if len(t.starts) != 1:
@@ -148,6 +164,24 @@ def compile_template(label: str, markup: str) -> Automaton:
     return automaton
 
 
+def template_pattern(markup: str, opening: int | None = None) -> str:
+    """A template as a regular expression over words that each have a space behind; opening: up to that mandatory word."""
+    out, n, inside = "", 0, False
+    for token in re.findall(r"\[|\]|\||<\d+-\d+>|\w+", markup):
+        if token in "[]|":
+            inside = token != "]"
+            out += {"[": "(?:", "|": "|", "]": ")?"}[token]
+        elif token[0] == "<":
+            low, high = token[1:-1].split("-")
+            out += f"(?:[^ ]+ ){{{low},{high}}}"
+        else:
+            out += token + " "
+            n += not inside
+            if n == opening and not inside:
+                break
+    return out
+
+
 def scan_column(column: pa.Array, automata: list[Automaton], phrases: list[tuple[list[int], str]]) -> dict[str, list]:
     t = T.tokenize(column, T.ALNUM, True)
     h, rows = t.hashes(), t.rows
@@ -180,8 +214,8 @@ def scan_column(column: pa.Array, automata: list[Automaton], phrases: list[tuple
             if ok:
                 found[r].add(a.label)
                 score[r] = 1.0
-            elif deepest >= 2:
-                score[r] = max(score[r], 0.5 * deepest / a.total)
+            elif deepest >= OPENING:
+                score[r] = max(score[r], 0.25)
     join = lambda x: ",".join(sorted(x))
     return {
         "n_words": t.counts.tolist(), "n_base": n_base.tolist(),

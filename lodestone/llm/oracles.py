@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.licenses import OPENING, PHRASES, TEMPLATES, template_pattern
 from lodestone.llm.lm_scoring import PRIORS
 from lodestone.llm.secrets import ALLOW, KINDS, LIMITS, WINDOW, _units, limit_units
 from lodestone.llm.url_filters import ATTRIBUTE, ENTITIES, LINK_TAG, META_TAG, REFRESH, RULES
@@ -135,4 +136,21 @@ SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(seen) AS
   round(sum(log10(CASE WHEN u IS NULL THEN p2 ELSE (c3 + {PRIORS[1]}::DOUBLE * p2) / (x3 + {PRIORS[1]}::DOUBLE) END)), 6) AS score
 FROM q GROUP BY doc_id"""
 
-ORACLES = {"op2_ngram_jaccard_join": NEAR.strip(), "op4_lm_scoring": LM.strip(), "op5_url_filters": URLS.strip(), "op6_secret_scans": SECRETS.strip()}
+# licences: phrases by place, templates as regular expressions over the words
+
+
+def _places(phrase: str) -> str:
+    return "list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + ")"
+
+
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(s, ' {template_pattern(m)}') THEN '{label}' END" for label, m in TEMPLATES)
+_OPENED = " OR ".join(f"regexp_matches(s, ' {template_pattern(m, OPENING)}')" for _, m in TEMPLATES)
+_JOINED = "array_to_string(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), ',')"
+LICENSES = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, {", ".join(f"{_places(x)} AS p{i}" for i, (x, _) in enumerate(PHRASES))} FROM t),
+q AS (SELECT *, {" || ".join(f"p{i}" for i in range(len(PHRASES)))} AS every, [{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))}] AS base, [{_FOUND}] AS found FROM p)
+SELECT doc_id, n_words, len(every) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word, {_JOINED.format("base")} AS base_labels, {_JOINED.format("(base || found)")} AS labels,
+  CASE WHEN len(list_filter(found, lambda x: x IS NOT NULL)) > 0 THEN 1e0 WHEN len(every) > 0 THEN 0.5e0 WHEN {_OPENED} THEN 0.25e0 ELSE 0e0 END AS score FROM q"""
+
+ORACLES = {"op2_ngram_jaccard_join": NEAR.strip(), "op4_lm_scoring": LM.strip(), "op5_url_filters": URLS.strip(), "op6_secret_scans": SECRETS.strip(), "op7_license_scans": LICENSES.strip()}

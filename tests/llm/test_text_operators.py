@@ -119,6 +119,75 @@ def test_automaton_agrees_with_a_regular_expression(tokens):
             assert a.run(hashes, i, len(hashes))[0] == bool(p.match("".join(text[i:]))), (markup, tokens, i)
 
 
+MIT = """Copyright 2020 A B
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def example(markup: str, rnd) -> str:
+    """A text that a template must accept, with some choice of its regions."""
+    import re
+
+    out = re.sub(r"\[([^\]]*)\]", lambda m: rnd.choice(["", *m[1].split("|")]), markup)
+    return re.sub(r"<(\d+)-(\d+)>", lambda m: " ".join(["any"] * rnd.randint(int(m[1]), int(m[2]))), out)
+
+
+def labelled(texts):
+    automata = [L.compile_template(*t) for t in L.TEMPLATES]
+    phrases = [([L.word_hash(w) for w in p.split()], label) for p, label in L.PHRASES]
+    out = L.scan_column(pa.array(texts), automata, phrases)
+    return [set(x.split(",")) - {""} for x in out["labels"]], out["score"]
+
+
+def test_whole_licenses_are_found_and_altered_ones_not():
+    found, score = labelled([MIT, MIT.replace("OTHER DEALINGS", "SOME DEALINGS"), MIT.replace("substantial", "small"), "x " + MIT.replace("this software", "the Lodestone software") + " y"])
+    assert found == [{"mit"}, set(), set(), {"mit"}] and score == [1.0, 0.25, 0.25, 1.0]
+
+
+@pytest.mark.parametrize("label, markup", L.TEMPLATES)
+def test_the_last_mandatory_words_count(label, markup):
+    """Any choice of the regions is accepted; a change of one mandatory word, late ones too, isn't."""
+    import re
+
+    rnd = random.Random(len(markup))
+    for _ in range(4):
+        text = example(markup, rnd)
+        assert label in labelled([text])[0][0]
+    plain = re.sub(r"\[[^\]]*\]", "", markup)
+    plain = re.sub(r"<(\d+)-\d+>", lambda m: " ".join(["<>"] * int(m[1])), plain).split()
+    must = [i for i, w in enumerate(plain) if w != "<>"]
+    altered = [" ".join("any" if w == "<>" else "altered" if i == j else w for i, w in enumerate(plain)) for j in {must[-1], must[-2], must[len(must) // 2]}]
+    own = L.compile_template(label, markup)
+    for text in altered:
+        hashes = [L.word_hash(w) for w in text.split()]
+        assert not any(own.run(hashes, i, len(hashes))[0] for i in range(len(hashes)))
+
+
+def test_base_and_labels_agree_with_sql(spark, data):
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+    from lodestone.llm.oracles import ORACLES
+
+    rnd = random.Random(2)
+    texts = [*EDGE_TEXTS, MIT, MIT.replace("TORT", "TART"), "mit license apache license MIT-License general public license"]
+    for _, markup in L.TEMPLATES * 3:
+        w = ("so it is " + example(markup, rnd) + " mit license").split()
+        if rnd.random() < 0.5:
+            w[rnd.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in L.scan_licenses(docs).collect()}
+    assert got == {r[0]: r for r in db.sql(ORACLES["op7_license_scans"]).fetchall()}
+    assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
 def test_license_edges_and_base(spark):
     out = L.scan_licenses(edge_docs(spark)).collect()
     assert len(out) == len(EDGE_TEXTS) + 2 and {(r.labels, r.score, r.first_word) for r in out} == {("", 0.0, None)}
