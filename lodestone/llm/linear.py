@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textops as T
+from lodestone.scratch import Cuts
 
 
 class Rows:
@@ -80,20 +81,24 @@ def fit_logistic(x: Rows, y: np.ndarray, width: int, l2: float = 1e-4, balanced:
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) such that sigmoid(a * z + b) is calibrated on held-back scores (smoothed targets)."""
+    """(a, b) such that sigmoid(a * z + b) is calibrated on held-back scores (smoothed targets): Newton with step halving."""
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * z + b)
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - target) * z).sum(), (p - target).sum()])
-        h = np.array([[(w * z * z).sum() + 1e-6, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+    scale = max(1e-9, float(np.abs(z).max(initial=0.0)))
+    x = np.stack([z / scale, np.ones(len(z))], 1)
+    loss = lambda v: np.logaddexp(0, x @ v).sum() - target @ (x @ v)
+    v = np.zeros(2)
+    for _ in range(100):
+        p = sigmoid(x @ v)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - target))
+        for _ in range(40):
+            if loss(v - step) <= loss(v):
+                break
+            step /= 2
+        v = v - step
+        if np.abs(step).max() < 1e-10:
             break
-    return float(max(a, 1e-3)), float(b)
+    return float(max(v[0] / scale, 1e-3)), float(v[1])
 
 
 def held_out(key: str, folds: int):
@@ -120,17 +125,22 @@ def labelled_sample(labels: DataFrame, key: str, label: str, folds: int | None,
     return one
 
 
-def sampled(docs: DataFrame, key: str, text: str, sample: DataFrame) -> DataFrame:
-    """The sampled documents as (_key, text, _y).
+def sampled(docs: DataFrame, key: str, text: str, sample: DataFrame, max_bytes: int, cuts: Cuts) -> DataFrame:
+    """The sampled documents as (_key, text, _y), written once.
 
-    sample is bounded (labelled_sample), so the join is a broadcast of that bounded
-    table and no text is shuffled.
+    Where their texts exceed max_bytes a share of the distinct ones is taken, by a hash
+    of id and text.  sample is bounded (labelled_sample), so the join is a broadcast of
+    that bounded table.
     """
-    return docs.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_key")
+    rows = cuts.cut(docs.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_key"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > max_bytes:
+        rows = rows.where(F.pmod(F.xxhash64("_key", "text", F.lit(18)), F.lit(1 << 20)) < int((1 << 20) * max_bytes / total)).dropDuplicates(["_key", "text"])
+    return rows
 
 
-def collect_rows(docs: DataFrame, key: str, text: str, sample: DataFrame, features) -> tuple[Rows, np.ndarray]:
-    """Sparse features of the sampled documents, in a fixed order, on the driver.
+def collect_rows(rows: DataFrame, features) -> tuple[Rows, np.ndarray]:
+    """Sparse features of sampled documents, in a fixed order, on the driver: bounded as the sample is.
 
     features(column) gives (columns, values, row offsets).
     """
@@ -147,10 +157,10 @@ def collect_rows(docs: DataFrame, key: str, text: str, sample: DataFrame, featur
                     "vals": pa.array([vals[a:b].astype(np.float32).tobytes() for a, b in zip(bits, bits[1:], strict=False)], pa.binary()),
                 })
 
-    rows = sampled(docs, key, text, sample).mapInArrow(run, "id string, y int, cols binary, vals binary").collect()
-    rows.sort(key=lambda r: (r.id, bytes(r.cols)))
-    cols = [np.frombuffer(r.cols, np.int32) for r in rows]
-    vals = [np.frombuffer(r.vals, np.float32) for r in rows]
+    found = rows.mapInArrow(run, "id string, y int, cols binary, vals binary").collect()
+    found.sort(key=lambda r: (r.id, bytes(r.cols)))
+    cols = [np.frombuffer(r.cols, np.int32) for r in found]
+    vals = [np.frombuffer(r.vals, np.float32) for r in found]
     lens = np.array([len(c) for c in cols], dtype=np.int64)
     empty = np.zeros(0)
-    return Rows(lens, np.concatenate([*cols, empty]), np.concatenate([*vals, empty])), np.array([r.y for r in rows], dtype=np.float64)
+    return Rows(lens, np.concatenate([*cols, empty]), np.concatenate([*vals, empty])), np.array([r.y for r in found], dtype=np.float64)

@@ -6,12 +6,13 @@ equal an earlier line), n_repeat_words (words in 3-word windows that occur twice
 or more).  base_failed: fewer than 50 words, or more than half of the words in
 repeated windows.
 
-The model's features are hashed words and hashed runs of 1 to 3 characters, as
-shares of a text's words and runs; a logistic regression is fitted on at most
-max_train labelled rows (a documented bound), calibrated by Platt scaling on
-rows held back from it, and scored in Arrow batches against a fixed threshold.
+The model's features are hashed words, hashed pairs of words and hashed runs of 1
+to 3 characters, as shares of a text's words, pairs and runs; a logistic regression
+is fitted on at most max_train labelled rows of at most about max_bytes of text
+(documented bounds), calibrated by Platt scaling on rows held back from it, and
+scored in Arrow batches against a fixed threshold.
 
-Edge cases: a null text is an empty one (all statistics 0, base_failed); null or
+Edge cases: ids may be of any type; a null text is an empty one (all statistics 0, base_failed); null or
 absent labels aren't learnt from, repeated ones count as their largest; without
 both classes the probability is the share of label 1; an empty table gives no
 rows; other columns are ignored, whatever their names.
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textops as T
-from lodestone.llm.linear import Rows, collect_rows, fit_logistic, labelled_sample, platt, sigmoid
+from lodestone.llm.linear import Rows, collect_rows, fit_logistic, labelled_sample, platt, sampled, sigmoid
+from lodestone.scratch import Cuts
 
-WORD_BITS, CHAR_BITS, SIZES, SEED = 16, 16, (1, 2, 3), 9
+WORD_BITS, CHAR_BITS, SIZES, SEED = 17, 16, (1, 2, 3), 9
 WIDTH, SCALE = (1 << WORD_BITS) + (1 << CHAR_BITS), 20.0
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -81,8 +83,11 @@ def text_statistics(column: pa.Array) -> tuple[T.Tokens, np.ndarray, dict[str, n
 
 
 def _buckets(column: pa.Array, t: T.Tokens, h: np.ndarray):
-    """Yields (row, column, 1 / number of such runs in the row) of words, then of characters."""
+    """Yields (row, column, SCALE / number of such runs in the row) of words, of word pairs, then of characters."""
     yield t.row, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), np.repeat(SCALE / np.maximum(t.counts, 1), t.counts)
+    at, m = t.windows(2), T.multipliers(2, SEED)
+    pairs = T.mix(h[at] * m[0] + h[at + 1] * m[1])
+    yield t.row[at], (pairs >> np.uint64(64 - WORD_BITS)).astype(np.int64), SCALE / np.maximum(t.counts[t.row[at]] - 1, 1)
     points, offsets = T.code_points(column.to_pylist())
     lens = np.diff(offsets)
     of, share = np.repeat(np.arange(len(lens)), lens), np.repeat(SCALE / np.maximum(lens, 1), lens)
@@ -98,9 +103,11 @@ def _features(column: pa.Array):
     return key & 0xFFFFFFFF, np.bincount(inverse, weights=val, minlength=len(key)), np.searchsorted(key >> 32, np.arange(t.rows + 1))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 4000, l2: float = 1e-4) -> dict:
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = 4000, max_bytes: int = 50_000_000, l2: float = 1e-4) -> dict:
     """Weights by column, and the calibration: probability = sigmoid(a * z + b)."""
-    x, y = collect_rows(docs, key, text, labelled_sample(labels, key, label, None, max_train), _features)
+    cuts = Cuts(docs.sparkSession)
+    x, y = collect_rows(sampled(docs, key, text, labelled_sample(labels, key, label, None, max_train), max_bytes, cuts), _features)
+    cuts.drop_all()
     pos = float(y.sum())
     if pos == 0 or pos == len(y):
         return {"weights": np.zeros(WIDTH, np.float32), "intercept": 0.0, "a": 1.0, "b": float(np.log((pos + 0.5) / (len(y) - pos + 0.5)))}

@@ -7,11 +7,12 @@ toxic and other training rows; features with a small |r| or a small count carry
 no weight.  A logistic regression on the scaled features, in which
 both classes weigh the same, gives the score.
 
-Fitting uses at most max_train labelled rows (a documented bound), so the model
+Fitting uses at most max_train labelled rows of at most about max_bytes of text
+(documented bounds), so the model
 is a fixed 2**bits table; scoring is one pass over the documents without a
 shuffle.
 
-Edge cases: a null text is an empty one and scores as the intercept; labels that
+Edge cases: ids may be of any type; a null text is an empty one and scores as the intercept; labels that
 are null or whose id is null aren't learnt from; repeated labels of an id count
 as their largest; without both classes among the labels every score is the
 smoothed share of label 1; an empty table gives no rows; columns other than the
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textops as T
 from lodestone.llm.linear import collect_rows, fit_logistic, held_out, labelled_sample, sampled, sigmoid
+from lodestone.scratch import Cuts
 
 BITS, SIZES, SEED = 20, (4, 5, 6, 7), 5
 SLICE = 300_000  # bytes of text at once: a text's characters are held several times over, for each size
@@ -48,7 +50,7 @@ def _distinct(column: pa.Array, table: np.ndarray | None, bits: int = BITS) -> t
     return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(offsets)))
 
 
-def _ngram_counts(docs: DataFrame, key: str, text: str, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _ngram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Document counts of each bucket, among toxic rows and among all: two fixed tables of 2**BITS."""
 
     def run(batches):
@@ -64,21 +66,22 @@ def _ngram_counts(docs: DataFrame, key: str, text: str, sample: DataFrame) -> tu
             at = on[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["bucket", "p", "n"])
 
-    found = sampled(docs, key, text, sample).mapInArrow(run, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(run, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, 1 << BITS))
     at = found.column("bucket").to_numpy()
     out[0][at], out[1][at] = found.column("p").to_numpy(), found.column("n").to_numpy()
     return out[0], out[1]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, max_train: int = 20_000, min_ratio: float = 2.0, min_docs: int = 4, alpha: float = 1.0, l2: float = 1e-3) -> dict:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, max_train: int = 20_000, max_bytes: int = 200_000_000, min_ratio: float = 2.0, min_docs: int = 4, alpha: float = 1.0, l2: float = 1e-3) -> dict:
     """The model: table (bucket to column or -1), weights (scaled by r), intercept.
 
-    One pass over the sampled documents counts n-grams, a second collects only the
-    chosen features.
+    The sampled documents are written once; one pass over them counts n-grams, a
+    second collects only the chosen features.
     """
-    sample = labelled_sample(labels, key, label, folds, max_train)
-    p, n = _ngram_counts(docs, key, text, sample)
+    cuts = Cuts(docs.sparkSession)
+    rows = sampled(docs, key, text, labelled_sample(labels, key, label, folds, max_train), max_bytes, cuts)
+    p, n = _ngram_counts(rows)
     q = n - p
     r = np.log((p + alpha) / (p + alpha).sum()) - np.log((q + alpha) / (q + alpha).sum())
     chosen = np.flatnonzero((n >= min_docs) & (np.abs(r) >= min_ratio))
@@ -89,7 +92,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         cols, offsets = _distinct(column, table)
         return cols, r[chosen][cols], offsets
 
-    x, y = collect_rows(docs, key, text, sample, features)
+    x, y = collect_rows(rows, features)
+    cuts.drop_all()
     pos = float(y.sum())
     if pos == 0 or pos == len(y):
         table[:] = -1

@@ -8,6 +8,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -80,6 +81,131 @@ def test_quality_edges(spark):
     assert Q.quality_rules(edge_docs(spark).limit(0), labels.limit(0)).count() == 0
 
 
+# the classifiers against plain versions of themselves
+
+WORD64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & WORD64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & WORD64
+    return x ^ x >> 31
+
+
+def plain_runs(text, sizes, bits, seed):
+    """Buckets of all runs of characters, one by one."""
+    m = [plain_mix((k * 0x9E3779B97F4A7C15 + seed) & WORD64) | 1 for k in range(1, max(sizes) + 1)]
+    t = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in (text or "").translate(UPPER))
+    return [plain_mix((sum((ord(c) + 1) * m[k] for k, c in enumerate(t[i : i + n])) + n) & WORD64) >> (64 - bits) for n in sizes for i in range(len(t) - n + 1)]
+
+
+def labelled_texts(seed, n=80):
+    rnd = random.Random(seed)
+    texts = [" ".join(rnd.choices(["idiot", "hate", "you"] if i % 4 == 0 else ["nice", "day", "you", "Sun"], k=rnd.choice([2, 6, 15]))) for i in range(n)]
+    return [(i, t) for i, t in enumerate(texts)] + [(n, None), (n + 1, ""), (n + 2, "日本 you\x0bSUN é")], [(i, int(i % 4 == 0)) for i in range(n)] + [(1, None), (None, 1)]
+
+
+def test_toxicity_agrees_with_a_plain_version(spark):
+    """Counts, ratios, the fit's gradient and every score, computed run by run."""
+    import math
+    import zlib
+
+    from lodestone.llm import toxicity as O
+
+    rows, marks = labelled_texts(4)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    learn = {i: y for i, y in marks if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    sets = {i: set(plain_runs(t, O.SIZES, O.BITS, O.SEED)) for i, t in rows}
+    n, p = Counter(b for i in learn for b in sets[i]), Counter(b for i, y in learn.items() if y for b in sets[i])
+    space = 1 << O.BITS
+    total_p, total_q = sum(p.values()) + space, sum(n.values()) - sum(p.values()) + space
+    ratio = {b: math.log((p[b] + 1) / total_p) - math.log((n[b] - p[b] + 1) / total_q) for b in n}
+    chosen = {b: r for b, r in ratio.items() if n[b] >= 4 and abs(r) >= 2}
+    model = O.fit_toxicity(docs, labels)
+    assert {int(b) for b in np.flatnonzero(model["table"] >= 0)} == set(chosen) and len(chosen) > 10
+    weight = {b: float(model["weights"][model["table"][b]]) for b in chosen}
+    score = {i: 1 / (1 + math.exp(-(model["intercept"] + sum(weight[b] for b in s & set(chosen))))) for i, s in sets.items()}
+    got = {r.doc_id: r for r in O.toxicity(docs, labels).collect()}
+    for i in sets:
+        assert got[i].score == pytest.approx(score[i], abs=1e-9) and got[i].predicted == (got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    # both classes weigh the same; at the optimum the gradient of the penalised loss is nothing
+    share = {y: 0.5 / sum(v == y for v in learn.values()) for y in (0, 1)}
+    slope = {i: share[y] * (score[i] - y) for i, y in learn.items()}
+    assert abs(sum(slope.values())) < 1e-3
+    for b, r in chosen.items():
+        assert abs(sum(slope[i] * r for i in learn if b in sets[i]) + 1e-3 * weight[b] / r) < 1e-3
+
+
+def test_quality_agrees_with_a_plain_version(spark):
+    """Every probability, feature by feature, and the fit's and the calibration's gradients."""
+    import math
+
+    sure = lambda x: 1 / (1 + math.exp(-min(35, max(-35, x))))
+    rows, marks = labelled_texts(5, 120)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    model = Q.fit_quality(docs, labels)
+
+    def features(text):
+        out = Counter()
+        w = SPACED.findall(text or "")
+        h = [int(T.tokenize(pa.array([x])).hashes()[0]) for x in w]
+        m = [plain_mix((k * 0x9E3779B97F4A7C15 + Q.SEED) & WORD64) | 1 for k in (1, 2)]
+        for x in h:
+            out[x >> (64 - Q.WORD_BITS)] += Q.SCALE / len(h)
+        for x, y in zip(h, h[1:], strict=False):
+            out[plain_mix((x * m[0] + y * m[1]) & WORD64) >> (64 - Q.WORD_BITS)] += Q.SCALE / (len(h) - 1)
+        for b in plain_runs(text, Q.SIZES, Q.CHAR_BITS, Q.SEED):
+            out[b + (1 << Q.WORD_BITS)] += Q.SCALE / len(text)
+        return out
+
+    made = {i: features(t) for i, t in rows}
+    z = {i: model["intercept"] + sum(float(model["weights"][b]) * v for b, v in f.items()) for i, f in made.items()}
+    got = {r.doc_id: r for r in Q.quality_rules(docs, labels, threshold=0.5).collect()}
+    for i in made:
+        assert got[i].probability == pytest.approx(sure(model["a"] * z[i] + model["b"]), abs=1e-4)
+        assert got[i].kept == (not got[i].base_failed and got[i].probability >= 0.5)
+    learn = sorted(((str(i), i, y) for i, y in marks if i is not None and y is not None))
+    fitted = [(i, y) for k, (_, i, y) in enumerate(learn) if k % 4 != 3]
+    slope = {i: (sure(z[i]) - y) / len(fitted) for i, y in fitted}
+    assert abs(sum(slope.values())) < 1e-3
+    for b in {b for i, _ in fitted for b in made[i]}:
+        assert abs(sum(s * made[i][b] for i, s in slope.items()) + 1e-4 * float(model["weights"][b])) < 5e-3
+    back = [(i, y) for k, (_, i, y) in enumerate(learn) if k % 4 == 3]
+    pos = sum(y for _, y in back)
+    goal = {1: (pos + 1) / (pos + 2), 0: 1 / (len(back) - pos + 2)}
+    off = [sure(model["a"] * z[i] + model["b"]) - goal[y] for i, y in back]
+    assert abs(sum(off)) < 1e-2
+
+
+def test_a_sample_is_bounded_by_bytes(spark):
+    from lodestone.llm.linear import labelled_sample, sampled
+    from lodestone.scratch import Cuts
+
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('x ', 100) as text").unionAll(spark.range(3000).selectExpr("7L", "concat(id, repeat(' y', 100))")).unionAll(spark.range(3000).selectExpr("9L", "repeat('z ', 100)"))
+    labels = spark.range(2000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    rows = sampled(docs, "doc_id", "text", labelled_sample(labels, "doc_id", "toxic", None, 10_000), 200_000, Cuts(spark))
+    assert 0 < rows.selectExpr("sum(octet_length(text))").first()[0] < 300_000
+
+
+def test_different_lines_and_words_are_no_duplicates():
+    """Regular texts that a polynomial hash would confuse."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    _, h, stats = Q.text_statistics(pa.array([f"{a}\n{b}", f"{a}\n{a}"]))
+    assert stats["n_dup_lines"].tolist() == [0, 1] and h[0] != h[1] and h[2] == h[3] == h[0]
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=40), min_size=1, max_size=60), st.integers(0, 9))
+def test_hashes_tell_words_apart(found, pad):
+    t = T.tokenize(pa.array([" " * pad + " ".join(found)]))
+    h = t.hashes().tolist()
+    assert {(x == y) == (p == q) for x, p in zip(h, found, strict=True) for y, q in zip(h, found, strict=True)} == {True}
+
+
 # licences
 
 
