@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.licenses import OPENING, PHRASES, TEMPLATES, template_pattern
 from lodestone.llm.lm_scoring import PRIORS
-from lodestone.llm.secrets import ALLOW, KINDS, LIMITS, WINDOW, _units, limit_units
+from lodestone.llm.secrets import ALLOW, ALPHABETS, KINDS, LEAST_UNLIKE, LIMITS, PAIRS, WINDOW, _units, limit_units
 from lodestone.llm.url_filters import ATTRIBUTE, ENTITIES, LINK_TAG, META_TAG, REFRESH, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,6 +98,13 @@ _KIND = "[" + ", ".join(f"'{k}'" for k in KINDS) + "][kind + 1]"
 _WRITE = f"coalesce(string_agg({_KIND} || ':' || s || ':' || e, ',' ORDER BY s, kind), '')"
 _TABLE = "[" + ", ".join(str(_units(c)) for c in range(WINDOW + 1)) + "]"
 _ALLOWED = " OR ".join(f"regexp_matches(m, '{a}')" for a in ALLOW if "\\1" not in a)
+_FITS = " OR ".join(f"regexp_matches(m, '{a}')" for a in ALLOW if a.startswith("^") and "\\1" not in a) + " OR m = repeat(left(m, 1), len(m)::INT)"
+_REST = "m"
+for _piece in ALLOW:
+    _REST = _REST if _piece.startswith("^") else f"regexp_replace({_REST}, '{_piece}', '~', 'g')"
+_MOST = "CASE" + "".join(f" WHEN regexp_matches(x, '{a}') THEN {limit_units(bits)}" for a, bits in ALPHABETS) + " END"
+_PAIR = lambda a, b: f"regexp_full_match(substr(x, k, 2), '{a}{b}')"
+_UNLIKE = f"{_PAIR('[A-Za-z]', '[0-9]')} OR {_PAIR('[0-9]', '[A-Za-z]')} OR {_PAIR('[a-z]', '[A-Z]')} OR {_PAIR('[A-Za-z]', '[A-Za-z]')} AND NOT list_contains({PAIRS}, lower(substr(x, k, 2)))"
 SECRETS = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_spans(0, r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12)} UNION ALL {_spans(1, "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_spans(2, "[0-9a-f]+", 0, 16)}),
@@ -107,8 +114,13 @@ chars AS (SELECT doc_id, s, e, m, i, unnest(string_split(substr(m, i + 1, {WINDO
 counted AS (SELECT doc_id, s, e, m, i, ch, count(*) AS c FROM chars GROUP BY ALL),
 sums AS (SELECT doc_id, s, e, m, i, sum({_TABLE}[c + 1]) AS u FROM counted GROUP BY ALL),
 best AS (SELECT doc_id, 3 AS kind, s, e, m, min(u) AS u FROM sums GROUP BY doc_id, s, e, m),
-more AS (SELECT doc_id, kind, s, e, m FROM best b WHERE u <= CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {limit_units(LIMITS["hex"])} WHEN regexp_full_match(m, '[A-Za-z]+') THEN {limit_units(LIMITS["letters"])} ELSE {limit_units(LIMITS["mixed"])} END
-  AND NOT ({_ALLOWED}) AND m <> repeat(left(m, 1), len(m)::INT) AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.s <= b.s AND x.e >= b.e)),
+rest AS (SELECT doc_id, s, e, {_REST} AS r FROM runs WHERE NOT ({_FITS})),
+cut AS (SELECT doc_id, s, e, i, substr(r, i + 1, {WINDOW}) AS x FROM (SELECT *, unnest(range(0, len(r) - {WINDOW - 1})) AS i FROM rest)),
+odd AS (SELECT *, {_MOST} AS most FROM cut WHERE NOT contains(x, '~') AND len(list_filter(range(1, {WINDOW}), lambda k: {_UNLIKE})) >= {LEAST_UNLIKE}),
+signs AS (SELECT doc_id, s, e, i, most, ch, count(*) AS c FROM (SELECT doc_id, s, e, i, most, unnest(string_split(x, '')) AS ch FROM odd) GROUP BY ALL),
+random AS (SELECT DISTINCT doc_id, s, e FROM (SELECT doc_id, s, e, i, most, sum({_TABLE}[c + 1]) AS u FROM signs GROUP BY ALL) WHERE u <= most),
+more AS (SELECT doc_id, kind, s, e, m FROM best b WHERE (u <= CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {limit_units(LIMITS["hex"])} WHEN regexp_full_match(m, '[A-Za-z]+') THEN {limit_units(LIMITS["letters"])} ELSE {limit_units(LIMITS["mixed"])} END
+  AND NOT ({_ALLOWED}) AND NOT ({_FITS}) OR EXISTS (SELECT 1 FROM random r WHERE r.doc_id = b.doc_id AND r.s = b.s AND r.e = b.e)) AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.s <= b.s AND x.e >= b.e)),
 b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {_WRITE} AS spans FROM base GROUP BY 1),
 a AS (SELECT doc_id, count(*) FILTER (kind = 3) AS n_entropy, {_WRITE} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans

@@ -3,10 +3,10 @@
 Base: fixed patterns (assign, access, hex), leftmost and not overlapping within a
 kind.  The method adds entropy spans: runs of 20 or more of [A-Za-z0-9+/_=-] in
 which some window of 20 characters has a high Shannon entropy for the run's
-character class (hex digits, letters only, anything).  A window slides by taking
-one character out and one in, and the sum of c * log2(c) over its counts changes
-by those two counts alone; the sums are whole numbers (units of 2**-20), so
-results are exact and repeatable.  Runs that an allow-list pattern fits, or that
+character class (hex digits, letters only, anything).  The counts of the window's
+characters are carried along; it slides by taking one character out and one in, and
+the sum of c * log2(c) changes by those two counts alone.  The sums are whole numbers
+(units of 2**-20), so results are exact and repeatable.  Runs that an allow-list pattern fits, or that
 lie within a base span, are left out.
 
 With alphabets (as the query and the pipeline ask), a run is also a span when some
@@ -85,43 +85,63 @@ def _spans(text: Column, kind: int, pattern: str, guard: Column, value_group: in
     return F.when(guard, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_NONE))
 
 
-def _least_sum(run: Column) -> Column:
-    """Least sum of c * log2(c), in units, over the windows of a run of WINDOW or more characters."""
+#: the characters of runs, and digits for counts up to a window's length
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" + _CUT
+_DIGITS = "0123456789abcdefghijklmnop"
+
+
+def _window_sums(piece: Column) -> Column:
+    """Sum of c * log2(c), in units, of each window of a piece, in order.
+
+    The counts of the window's characters are carried along, a digit for each sign;
+    a step takes one character out and one in, and changes those two counts alone.
+    """
     table = F.array(*[F.lit(_units(c)).cast("long") for c in range(WINDOW + 2)])
     f = lambda c: F.get(table, c)
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, ch, F.lit("")))
+    sign = lambda i: F.instr(F.lit(SIGNS), F.substr(piece, i, F.lit(1)))
+    count = lambda counts, k: F.instr(F.lit(_DIGITS), F.substr(counts, k, F.lit(1))) - 1
+    put = lambda counts, k, c: F.overlay(counts, F.substr(F.lit(_DIGITS), c + 1, F.lit(1)), k, F.lit(1))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def step(acc: Column, i: Column) -> Column:
+        def out(k: Column) -> Column:  # the character that leaves
+            return F.when(i > WINDOW, F.struct(put(acc["counts"], k, count(acc["counts"], k) - 1).alias("counts"), (acc["s"] - f(count(acc["counts"], k)) + f(count(acc["counts"], k) - 1)).alias("s"))).otherwise(F.struct(acc["counts"].alias("counts"), acc["s"].alias("s")))
+
+        def come(x: Column) -> Column:  # the character that comes
+            k, had = sign(i), count(x["counts"], sign(i))
+            s = x["s"] + f(had + 1) - f(had)
+            return F.struct(put(x["counts"], k, had + 1).alias("counts"), s.alias("s"), F.when(i >= WINDOW, F.concat(acc["sums"], F.array(s))).otherwise(acc["sums"]).alias("sums"))
 
-    def slide(piece: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            old = F.substr(piece, F.greatest(F.lit(1), i - WINDOW), F.least(F.lit(WINDOW), i - 1))
-            mid = F.substr(piece, F.greatest(F.lit(1), i - WINDOW + 1), F.least(F.lit(WINDOW), i) - 1)
-            gone, come = count(old, F.substr(piece, i - WINDOW, F.lit(1))), count(mid, F.substr(piece, i, F.lit(1)))
-            s = acc["s"] - F.when(i > WINDOW, f(gone) - f(gone - 1)).otherwise(0) + f(come + 1) - f(come)
-            return F.struct(s.alias("s"), F.when(i >= WINDOW, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best"))
+        return bound(bound(sign(F.greatest(i - WINDOW, F.lit(1))), out), come)
 
-        zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(1 << 60).cast("long").alias("best"))
-        return F.aggregate(F.sequence(F.lit(1), F.length(piece)), zero, step, lambda acc: acc["best"])
+    zero = F.struct(F.lit("0" * len(SIGNS)).alias("counts"), F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("sums"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(piece)), zero, step, lambda acc: acc["sums"])
 
-    # pieces overlap by a window less one, so that every window lies in one of them
+
+def _pieces(run: Column) -> Column:
+    """A run in pieces that overlap by a window less one, so that every window lies in one of them."""
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - WINDOW + 1), F.lit(PIECE - WINDOW + 1))
-    return F.array_min(F.transform(at, lambda i: slide(F.substr(run, i, F.lit(PIECE)))))
+    return F.transform(at, lambda i: F.substr(run, i, F.lit(PIECE)))
+
+
+def _high_window(run: Column, most: Column) -> Column:
+    return F.exists(_pieces(run), lambda piece: F.coalesce(F.array_min(_window_sums(piece)) <= most, F.lit(False)))
 
 
 def _random_window(run: Column, alphabets) -> Column:
     """Whether some window is unlike words and has the entropy of random characters of its alphabet."""
 
-    def found(piece: Column) -> Column:
-        marks = F.regexp_replace(piece, UNLIKE, "!")
-
-        def random(i: Column) -> Column:
-            window, pairs = F.substr(piece, i, F.lit(WINDOW)), F.substr(marks, i, F.lit(WINDOW - 1))
+    def found(x: Column) -> Column:
+        def random(w: Column) -> Column:
+            window, pairs = F.substr(x["piece"], w["i"], F.lit(WINDOW)), F.substr(x["marks"], w["i"], F.lit(WINDOW - 1))
             most = F.coalesce(*[F.when(window.rlike(pattern), limit_units(bits)) for pattern, bits in alphabets])
-            return (F.length(pairs) - F.length(F.replace(pairs, F.lit("!"), F.lit(""))) >= LEAST_UNLIKE) & ~F.contains(window, F.lit(_CUT)) & (_least_sum(window) <= most)
+            return (F.length(pairs) - F.length(F.replace(pairs, F.lit("!"), F.lit(""))) >= LEAST_UNLIKE) & ~F.contains(window, F.lit(_CUT)) & (w["sum"] <= most)
 
-        return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(piece) - WINDOW + 1)), random)
+        return F.exists(F.transform(x["sums"], lambda s, i: F.struct(s.alias("sum"), (i + 1).alias("i"))), random)
 
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - WINDOW + 1), F.lit(PIECE - WINDOW + 1))
-    return F.exists(at, lambda i: found(F.substr(run, i, F.lit(PIECE))))
+    # what a piece's windows share is made once for the piece
+    made = F.transform(_pieces(run), lambda piece: F.struct(piece.alias("piece"), F.regexp_replace(piece, UNLIKE, "!").alias("marks"), _window_sums(piece).alias("sums")))
+    return F.exists(made, found)
 
 
 def base_spans(text: Column) -> Column:
@@ -144,7 +164,7 @@ def entropy_spans(text: Column, base: Column, limits=LIMITS, allow=ALLOW, alphab
         for pattern in allow:
             allowed = allowed | run.rlike(pattern)
         within = F.exists(base, lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
-        high = ~allowed & (_least_sum(run) <= most)
+        high = ~allowed & _high_window(run, most)
         if alphabets:
             rest, fits = run, F.lit(False)
             for pattern in allow:

@@ -408,6 +408,35 @@ def test_random_keys_of_every_alphabet_are_found_and_masked(spark):
     assert [hit[100_000 + i] for i in range(len(WORDY))] == [""] * len(WORDY)
 
 
+def test_all_spans_agree_with_sql(spark):
+    """Random keys of every alphabet, words, allowed pieces and base spans, through the query's settings."""
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+    from lodestone.llm.oracles import ORACLES
+
+    rnd = random.Random(6)
+    texts = [*EDGE_TEXTS, *SECRETS, *WORDY, "docs/example/" + "".join(rnd.choices(string.ascii_letters, k=40)), "1" * 50]
+    texts += [f"see {''.join(rnd.choices(chars, k=rnd.choice([19, 20, 21, 30])))} here" for chars in ALPHABETS.values() for _ in range(25)]
+    texts += ["".join(rnd.choices("theandofing0189AZ+/-_", k=60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in S.scan_secrets(docs, alphabets=S.ALPHABETS).collect()}
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert got == {r[0]: r for r in db.sql(ORACLES["op6_secret_scans"]).fetchall()}
+    assert sum("entropy" in r[6] for r in got.values()) > 60
+
+
+def test_secret_edges(spark):
+    """Nulls and empty texts have no spans; a run of a hundred thousand characters is one span; no rows give no rows."""
+    key = "".join(random.Random(3).choices(string.ascii_letters + string.digits, k=100_000))
+    docs = edge_docs(spark)
+    out = S.scan_secrets(docs, alphabets=S.ALPHABETS).collect()
+    assert len(out) == docs.count() and {(r.n_assign, r.n_access, r.n_hex, r.n_entropy, r.spans) for r in out} == {(0, 0, 0, 0, "")}
+    long = spark.createDataFrame([(1, f"x {key} y"), (2, "= " * 60_000 + key[:40])], "doc_id long, text string")
+    assert [r.spans for r in S.scan_secrets(long, alphabets=S.ALPHABETS).orderBy("doc_id").collect()] == ["entropy:2:100002", "entropy:120000:120040"]
+    assert S.scan_secrets(docs.limit(0), alphabets=S.ALPHABETS).count() == 0 == S.mask_secrets(docs.limit(0)).count()
+
+
 def test_query_and_pipeline_ask_for_alphabets(spark, tmp_path):
     import corpus_pipeline
     from lodestone.llm.queries import QUERIES
