@@ -24,8 +24,8 @@ frequent n-gram is pre-aggregated, and go to buckets of the key space, which add
 counts up and answer with the sum and whether several blocks asked.  With more than FAN buckets requests go through a level between: groups of
 blocks merge theirs, ask the buckets and hand the answers down, so that neither a
 bucket hears of all blocks nor a block of all buckets.  A block then compiles the
-part of the automaton that its texts can reach and traverses them.  Keys are 64-bit
-hashes, shuffled as packed arrays.
+part of the automaton that its texts can reach and traverses them.  Keys are hashes of
+64 bits, 56 for bigrams and trigrams, shuffled as packed arrays.
 
 Edge cases: a null text is an empty one, whose only token is the end; texts whose
 id is null are learnt from and not held out; repeated rows count each; keys may be
@@ -35,6 +35,7 @@ gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,11 +49,13 @@ from lodestone.llm.linear import held_out
 
 #: m2 and m3
 PRIORS = (300.0, 10.0)
-BLOCK_BYTES, BUCKET_BYTES, FAN = 3_000_000, 2_000_000, 4096
+BLOCK_BYTES, BUCKET_BYTES, FAN = 6_000_000, 2_000_000, 4096
 MERGED_BYTES = 64_000_000
 _U = np.uint64
 _END = _U(0x0123456789ABCDEF)
 _BEGIN = _U(0xFEDCBA9876543210)
+#: bigrams and trigrams keep 56 bits of their hash
+_KEPT = _U(0xFFFFFFFFFFFFFF00)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -66,12 +69,14 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Counts in the least width that holds them all, as byte planes, deflated: most of them are small."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 
 @dataclass
@@ -124,7 +129,7 @@ class Block:
         codes, pair = np.unique(before * (n + 1) + at, return_inverse=True)
         left, right, m = codes // (n + 1), codes % (n + 1), T.multipliers(2, 77)
         known = np.append(self.words.keys, _BEGIN)
-        return Grams(T.mix(known[left] * m[0] + known[right] * m[1]), np.bincount(pair[self.on], minlength=len(codes)), pair, left, right)
+        return Grams(T.mix(known[left] * m[0] + known[right] * m[1]) & _KEPT, np.bincount(pair[self.on], minlength=len(codes)), pair, left, right)
 
     def triples(self, pairs: Grams) -> Grams:
         """Trigrams: of each token but a text's first, with the bigrams that end before it and in it."""
@@ -132,7 +137,7 @@ class Block:
         codes, triple = np.unique(pairs.at[at - 1] * max(1, len(pairs.keys)) + pairs.at[at], return_inverse=True)
         left, right, m = codes // max(1, len(pairs.keys)), codes % max(1, len(pairs.keys)), T.multipliers(3, 78)
         known = np.append(self.words.keys, _BEGIN)
-        keys = T.mix(known[pairs.left[left]] * m[0] + known[pairs.left[right]] * m[1] + known[pairs.right[right]] * m[2])
+        keys = T.mix(known[pairs.left[left]] * m[0] + known[pairs.left[right]] * m[1] + known[pairs.right[right]] * m[2]) & _KEPT
         whole = np.full(len(self.row), -1)
         whole[at] = triple
         return Grams(keys, np.bincount(triple[self.on[at]], minlength=len(codes)), whole, left, right)
@@ -271,7 +276,7 @@ def _ask(buckets: int):
         keys, own, _ = grams[-1].ask(wanted)
         rows = [(-1 - number, number, level, 0, b"", pack_counts(c)) for level, c in got.items()]
         if not len(keys):
-            rows.append((-1 - number, number, len(grams), 0, b"", b""))
+            rows.append((-1 - number, number, len(grams), 0, b"", pack_counts(own)))
         return _table(rows + _rows(number, len(grams), keys, own, buckets), _REQUEST)
 
     return first, after
