@@ -163,44 +163,71 @@ class Block:
         return grams, counts, None
 
 
+#: below so many texts left, each is read by itself
+FEW = 24
+
+
 @dataclass
 class Automaton:
-    """States are numbers, 0 the root; arcs are sorted by state * words + word."""
+    """States are numbers, 0 the root; an arc goes from a state (source) on a word to another (leads)."""
 
-    words: int
-    arcs: np.ndarray
+    source: np.ndarray
+    word: np.ndarray
     weight: np.ndarray
     leads: np.ndarray
+    level: np.ndarray  # by state: how many words it stands for
     fails: np.ndarray  # by state: where its failure arc leads
     fail_weight: np.ndarray
     start: int
+    arcs: np.ndarray  # levels x tokens: the arc on the token from the state of that level that its text is in; -1: none
+
+    def read(self, state: int, word: int) -> tuple[float, int]:
+        """(weight, next state) of one word read in a state, its arc searched for."""
+        total = 0.0
+        while not len(arc := np.flatnonzero((self.source == state) & (self.word == word))):
+            total += float(self.fail_weight[state])
+            state = int(self.fails[state])
+        return total + float(self.weight[arc[0]]), int(self.leads[arc[0]])
+
+    def traverse(self, row: np.ndarray, rows: int) -> np.ndarray:
+        """The summed log10 weights of each row's words, read from left to right.
 
-    def traverse(self, word: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """The summed log10 weights of each row's words, read from left to right; all rows advance together by a word."""
+        All rows advance together by a word, each in its own state, until few are left.
+        """
         length = np.bincount(row, minlength=rows)
         begin = np.cumsum(length) - length
         order = np.argsort(-length, kind="stable")
         begin, length = begin[order], length[order]
         state, total = np.full(rows, self.start), np.zeros(rows)
-        live = np.searchsorted(-length, -np.arange(1, (int(length[0]) if rows else 0) + 1), side="right")
+        together = int(length[FEW - 1]) if rows >= FEW else 0
+        live = np.searchsorted(-length, -np.arange(1, together + 1), side="right")
         for j, n in enumerate(live.tolist()):
-            w, s, add = word[begin[:n] + j], state[:n].copy(), np.zeros(n)
-            arc = np.searchsorted(self.arcs, s * self.words + w)
-            lost = self._lost(arc, s, w)
+            s, at, add = state[:n].copy(), begin[:n] + j, total[:n]
+            arc = self.arcs[self.level[s], at]
+            lost = np.flatnonzero(arc < 0)
             while len(lost):
                 add[lost] += self.fail_weight[s[lost]]
                 s[lost] = self.fails[s[lost]]
-                arc[lost] = np.searchsorted(self.arcs, s[lost] * self.words + w[lost])
-                lost = lost[self._lost(arc[lost], s[lost], w[lost])]
-            total[:n] += add + self.weight[arc]
+                arc[lost] = self.arcs[self.level[s[lost]], at[lost]]
+                lost = lost[arc[lost] < 0]
+            add += self.weight[arc]
             state[:n] = self.leads[arc]
+        for k in range(min(rows, FEW)):
+            total[k] += self._rest(int(state[k]), int(begin[k]) + min(together, int(length[k])), int(begin[k] + length[k]))
         out = np.zeros(rows)
         out[order] = total
         return out
 
-    def _lost(self, arc: np.ndarray, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Which of them found no arc."""
-        return np.flatnonzero(self.arcs[np.minimum(arc, len(self.arcs) - 1)] != state * self.words + word)
+    def _rest(self, state: int, at: int, end: int) -> float:
+        level, fails, fail_weight, weight, leads = self.level.item, self.fails.item, self.fail_weight.item, self.weight.item, self.leads.item
+        total = 0.0
+        for by_level in zip(*self.arcs[:, at:end].tolist(), strict=True):
+            while (arc := by_level[level(state)]) < 0:
+                total += fail_weight(state)
+                state = fails(state)
+            total += weight(arc)
+            state = leads(arc)
+        return total
 
 
 def root_weights(c: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -225,11 +252,16 @@ def compiled(block: Block, grams: list[Grams], counts: list[np.ndarray], n: int,
     p2 = (c2 + m2 * p1[pairs.right]) / (context[pairs.left] + m2)
     p3 = (c3 + m3 * p2[triples.right]) / (c2[triples.left] + m3)
     two, three = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
-    arcs = np.concatenate([np.arange(words), word_state[pairs.left[two]] * words + pairs.right[two], pair_state[triples.left[three]] * words + pairs.right[triples.right[three]]])
+    source = np.concatenate([np.zeros(words, np.int64), word_state[pairs.left[two]], pair_state[triples.left[three]]])
+    word = np.concatenate([np.arange(words), pairs.right[two], pairs.right[triples.right[three]]])
     leads = np.concatenate([word_state[:words], pair_state[two], pair_state[triples.right[three]]])
     weight = np.log10(np.concatenate([p1, p2[two], p3[three]]))
-    order = np.argsort(arcs, kind="stable")
-    return Automaton(words, arcs[order], weight[order], leads[order], fails, fail_weight, int(word_state[words]))
+    level = np.zeros(size, dtype=np.int8)
+    level[1 : words + 2], level[words + 2 :] = 1, 2
+    of_pair, of_triple = np.full(len(c2), -1, np.int32), np.full(len(c3) + 1, -1, np.int32)  # the last one is for no trigram
+    of_pair[two], of_triple[three] = words + np.arange(len(two)), words + len(two) + np.arange(len(three))
+    arcs = np.stack([block.words.at.astype(np.int32), of_pair[pairs.at], of_triple[triples.at]])
+    return Automaton(source, word, weight, leads, level, fails, fail_weight, int(word_state[words]), arcs)
 
 
 REQUEST = "dest long, block long, level int, bucket int, keys binary, counts binary"
@@ -356,7 +388,7 @@ def _score(priors: tuple[float, float]):
         block = Block(texts)
         grams, counts, _ = block.known(_answered(answers.select(["level", "bucket", "counts"])))
         n, v = answers.column("n")[0].as_py(), answers.column("v")[0].as_py()
-        score = compiled(block, grams, counts, n, v, priors).traverse(block.words.at, block.row, block.rows)
+        score = compiled(block, grams, counts, n, v, priors).traverse(block.row, block.rows)
         per_row = lambda x: np.bincount(block.row, weights=x, minlength=block.rows)
         known, base = per_row(counts[0][block.words.at] > 0).astype(np.int64), per_row(root_weights(counts[0], n, v)[block.words.at])
         tokens = np.bincount(block.row, minlength=block.rows)

@@ -301,12 +301,24 @@ def test_every_state_adds_up_to_one():
     states = {0, a.start, *a.leads.tolist()}
     assert len(states) > 8
     for state in states:
-        total = 0.0
-        for w in range(a.words):
-            one = M.Automaton(a.words, a.arcs, a.weight, a.leads, a.fails, a.fail_weight, state)
-            total += 10 ** one.traverse(np.array([w]), np.array([0]), 1)[0]  # q is the unknown word
-        assert total == pytest.approx(1)
-    assert a.fail_weight[0] == 0 and (a.fails[a.leads] != a.leads)[a.leads > 0].all()
+        assert sum(10 ** a.read(state, w)[0] for w in range(len(block.words.keys))) == pytest.approx(1)  # q is the unknown word
+    assert (a.level[a.fails[a.leads]] < a.level[a.leads])[a.leads > 0].all()
+    # the traversal carries the state that reading word by word leads to
+    want = []
+    for r in range(block.rows):
+        state, total = a.start, 0.0
+        for w in block.words.at[block.row == r].tolist():
+            weight, state = a.read(state, w)
+            total += weight
+        want.append(total)
+    assert a.traverse(block.row, block.rows) == pytest.approx(want)
+    many = M.Block(pa.table({"text": ["a b a z"] * 9 + ["b b", ""] * 20 + ["a z a b a q"] * 9, "learn": [True] * 58}))
+    grams = [many.words, many.pairs()]
+    grams.append(many.triples(grams[1]))
+    b = M.compiled(many, grams, [g.own for g in grams], 99, 5, (3.0, 2.0))
+    together = b.traverse(many.row, many.rows)
+    alone = [b._rest(b.start, int(np.flatnonzero(many.row == r)[0]), int(np.flatnonzero(many.row == r)[-1]) + 1) for r in range(many.rows)]
+    assert together == pytest.approx(alone)
 
 
 def test_ngrams_known_here_alone_are_not_asked_for():
