@@ -361,6 +361,10 @@ def test_lm_edges(spark):
     assert {(r.train_tokens, r.base_score, r.n_known) for r in M.score_texts(only_held).collect()} == {(0, 0.0, 0)}
 
 
+def test_key_widths():
+    assert [M.key_bits(n) for n in (0, 10**9, 10**11, 10**12, 10**14, 10**18)] == [48, 48, 48, 56, 64, 64]
+
+
 def test_packing():
     import numpy as np
 
