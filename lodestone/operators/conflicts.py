@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import snippet
 from lodestone.functions.vectors import dot_literal
+from lodestone.scratch import Cuts
 
 THRESHOLD = 0.92
 
@@ -35,6 +36,17 @@ def superseded(atoms: DataFrame, vector: list[float], threshold: float | None =
     return conflicts(atoms, vector, threshold, exclude_id).select("id")
 
 
+def invalidate_superseded(store, vector: list[float], project_id: str, now: str, threshold: float | None = None, exclude_id: str | None = None) -> DataFrame:
+    """Marks a project's valid records at or above the threshold as invalid; their ids.
+
+    The ids are written first, so that the marks and what the caller reads are one set.
+    """
+    mine = store.atoms(project_id).where(~F.col("invalidated"))
+    found = Cuts(store.spark).cut(superseded(mine, vector, threshold, exclude_id))
+    store.mark(found, "invalidate", now, project_id)
+    return found
+
+
 def all_pairs(atoms: DataFrame, threshold: float | None = None, block_rows: int = 2000) -> DataFrame:
     """(project_id, id_a, id_b, similarity), id_a < id_b, of valid records with vectors, within a project.
 

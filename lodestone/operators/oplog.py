@@ -97,6 +97,17 @@ def unpushed(log: DataFrame, blinded_project_id: str, client_id: str) -> DataFra
     return log.where(mine).orderBy("sequence_no")
 
 
+def mark_pushed(log: DataFrame, cursors: DataFrame, client_id: str, peer: str = "relay") -> DataFrame:
+    """The log with pushed set for this client's rows up to its push cursor of their project.
+
+    The log is append-only, so the flag is derived and never written; cursors are one
+    row for each project, direction and peer.
+    """
+    done = cursors.where((F.col("direction") == "push") & (F.col("peer_id") == peer)).groupBy("blinded_project_id").agg(F.max("last_seq").alias("_pushed"))
+    mine = (F.col("client_id") == client_id) & (F.col("source") == "local") & (F.col("sequence_no") <= F.coalesce("_pushed", F.lit(0)))
+    return log.join(done, "blinded_project_id", "left").withColumn("pushed", F.col("pushed") | mine).select(*log.columns)
+
+
 def fold(log: DataFrame) -> DataFrame:
     """The current state of every record of a project, independent of the order of arrival.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,36 @@ def audit(batch: DataFrame, ts: str, token_hash: str, op: str, status: str) -> D
     return sums.select(F.lit(ts).alias("ts"), F.lit(token_hash).alias("token_hash"), "blinded_project_id", F.lit(op).alias("op"), "entry_count", "byte_count", F.lit(status).alias("status"))
 
 
+def _windows(key: list[str], limit: int, window_s: int):
+    """Over rows (key, second, n) sorted by key and second: each window is given out once it is over."""
+
+    def run(batches):
+        now, start, n = None, 0, 0
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if now != row[:-2] or row[-2] - start >= window_s:
+                    if now is not None:
+                        out.append((*now, start, n, max(0, n - limit)))
+                    now, start, n = row[:-2], row[-2], 0
+                n += row[-1]
+            yield pd.DataFrame(out, columns=[*key, "window_start", "requests", "rejected"])
+        if now is not None:
+            yield pd.DataFrame([(*now, start, n, max(0, n - limit))], columns=[*key, "window_start", "requests", "rejected"])
+
+    return run
+
+
 def rate_windows(requests: DataFrame, key: list[str], at: str, limit: int = 1000, window_s: int = 3600) -> DataFrame:
-    """Requests per key and fixed window (aligned to the epoch), and how many of them are over the limit."""
-    start = (F.floor(F.unix_timestamp(F.col(at)) / window_s) * window_s).cast("long")
-    n = requests.groupBy(*key, start.alias("window_start")).agg(F.count("*").alias("requests"))
-    return n.withColumn("rejected", F.greatest(F.col("requests") - limit, F.lit(0)))
+    """Requests per key and window, and how many of them are over the limit.
+
+    A window begins with a key's first request, and the next one with the first request
+    after it has passed.  Requests are counted by second before their shuffle; a task
+    reads its keys in order and holds one window, however many requests a key has.
+    Requests without a time or with a null in their key are left out.
+    """
+    rows = requests.where(" and ".join(f"`{c}` is not null" for c in [*key, at]))
+    seconds = rows.groupBy(*key, F.unix_timestamp(F.col(at).cast("timestamp")).alias("_second")).agg(F.count("*").alias("_n"))
+    kinds = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in key)
+    ordered = seconds.repartition(*key).sortWithinPartitions(*key, "_second")
+    return ordered.mapInPandas(_windows(key, limit, window_s), f"{kinds}, window_start long, requests long, rejected long")

@@ -1,12 +1,15 @@
 """Append-only tables and the snapshot folded from them.
 
 Nothing is updated in place: records, invalidations, deletions, enrichments and
-accesses are events, written as Parquet by project; the current records are an
-aggregate of them.
+accesses are events, written as Parquet in a folder for each project; the current
+records are an aggregate of them, over one project's folder where one is asked for.
+An event's time is that of its writing, whatever created_at its record claims; events
+of one time are ordered by seq, which grows with every append.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schema as S
 from lodestone.functions.text import entities, keywords, tags
+from lodestone.scratch import Cuts
 
 EVENTS = "event string, at string, seq bigint, " + S.ATOMS
 ACCESSES = "atom_id string, at string"
@@ -24,16 +28,22 @@ def snapshot(events: DataFrame, accesses: DataFrame | None = None) -> DataFrame:
     """Current records: one aggregate over the events, one over the accesses.
 
     The first insertion gives the record, the last invalidate or restore its
-    validity, the last enrichment its metadata; a deletion removes it.
+    validity, the last enrichment its metadata; a deletion removes it and all before
+    it, until the id is inserted again.
     """
     order = F.struct("at", "seq")
     insert, flag, enrich = F.col("event") == "insert", F.col("event").isin("invalidate", "restore"), F.col("event").isin("insert", "enrich")
     fields = F.struct(*RECORD, "row_seq")
+    delete = F.col("event") == "delete"
     folded = events.groupBy("id").agg(
-        F.min_by(F.when(insert, fields), F.when(insert, order)).alias("r"), F.max_by(F.when(flag, F.col("event")), F.when(flag, order)).alias("f"),
-        F.max_by(F.when(enrich, F.col("metadata")), F.when(enrich, order)).alias("metadata"), F.max("at").alias("updated_at"), F.bool_or(F.col("event") == "delete").alias("gone"),
+        F.min_by(F.when(insert, fields), F.when(insert, order)).alias("first"), F.max_by(F.when(insert, fields), F.when(insert, order)).alias("last"), F.max(F.when(insert, order)).alias("inserted"),
+        F.max(F.when(flag, F.struct("at", "seq", "event"))).alias("f"), F.max_by(F.when(enrich, F.col("metadata")), F.when(enrich, order)).alias("metadata"),
+        F.max("at").alias("updated_at"), F.max(F.when(delete, order)).alias("deleted"),
     )
-    live = folded.where(~F.col("gone") & F.col("r").isNotNull()).select("id", "r.*", "metadata", "updated_at", F.coalesce(F.col("f") == "invalidate", F.lit(False)).alias("invalidated"))
+    live = folded.where(F.col("inserted").isNotNull() & (F.col("deleted").isNull() | (F.col("inserted") > F.col("deleted"))))
+    live = live.withColumn("r", F.when(F.col("deleted").isNull(), F.col("first")).otherwise(F.col("last")))
+    marked = F.col("f").isNotNull() & (F.col("deleted").isNull() | (F.struct("f.at", "f.seq") > F.col("deleted")))
+    live = live.select("id", "r.*", "metadata", "updated_at", F.coalesce(marked & (F.col("f.event") == "invalidate"), F.lit(False)).alias("invalidated"))
     if accesses is None:
         counted = live.withColumns({"access_count": F.lit(0).cast("long"), "last_accessed": F.lit(None).cast("string")})
     else:
@@ -84,11 +94,22 @@ class Store:
         w = rows.write.mode("append")
         (w.partitionBy(by) if by else w).parquet(f"{self.path}/{name}")
 
-    def events(self) -> DataFrame:
-        return self.table("atom_events", EVENTS)
+    def events(self, project_id: str | None = None) -> DataFrame:
+        """All events, or those in one project's folder."""
+        rows = self.table("atom_events", EVENTS)
+        return rows if project_id is None else rows.where(F.col("project_id") == project_id)
 
-    def atoms(self) -> DataFrame:
-        return snapshot(self.events(), self.table("access_events", ACCESSES))
+    def atoms(self, project_id: str | None = None) -> DataFrame:
+        return snapshot(self.events(project_id), self.table("access_events", ACCESSES))
+
+    def compact(self, now: str) -> None:
+        """Replaces the events by one insert (and, where needed, one mark) for each current record, project by project."""
+        events, seq = self.events(), time.time_ns()
+        live = snapshot(events)
+        names = [c.split()[0] for c in EVENTS.split(", ")]
+        made = lambda rows, event, k: rows.select(*[F.lit(event).alias(n) if n == "event" else F.col("updated_at").alias(n) if n == "at" else F.lit(seq + k).alias(n) if n == "seq" else F.col(n) for n in names])
+        kept = Cuts(self.spark).cut(made(live, "insert", 0).unionByName(made(live.where("invalidated"), "invalidate", 1)))
+        kept.write.mode("overwrite").partitionBy("project_id").parquet(f"{self.path}/atom_events")
 
     def edges(self) -> DataFrame:
         return self.table("kg_edges", S.EDGES)
@@ -107,15 +128,23 @@ class Store:
     def insert(self, batch: DataFrame, now: str) -> None:
         seq = self.events().agg(F.coalesce(F.max("row_seq") + 1, F.lit(0))).first()[0]
         rows = prepared(batch, now).withColumn("row_seq", F.col("row_seq") + seq)
-        self.append("atom_events", rows.select(F.lit("insert").alias("event"), F.col("created_at").alias("at"), F.col("row_seq").alias("seq"), *rows.columns))
+        self.append("atom_events", rows.select(F.lit("insert").alias("event"), F.lit(now).alias("at"), F.lit(time.time_ns()).alias("seq"), *rows.columns), "project_id")
+
+    def mark(self, ids: DataFrame, event: str, now: str, project_id: str | None = None) -> None:
+        """Appends invalidate, restore, delete or enrich for ids (column id; for enrich also metadata).
 
-    def mark(self, ids: DataFrame, event: str, now: str, metadata: str | None = None) -> None:
-        """Appends invalidate, restore, delete or enrich for ids (column id; for enrich also metadata)."""
+        A mark stands in its record's folder: that of project_id, else it is looked up.
+        """
         if event not in ("invalidate", "restore", "delete", "enrich"):
             raise ValueError(f"unknown event {event!r}")
-        have = {"id", *(["metadata"] if event == "enrich" else [])}
+        if project_id is not None:
+            ids = ids.withColumn("project_id", F.lit(project_id))
+        else:
+            homes = self.events().where("event = 'insert'").select("id", "project_id").distinct()
+            ids = ids.drop("project_id").join(homes, "id")
+        have = {"id", "project_id", *(["metadata"] if event == "enrich" else [])}
         fields = [F.col(n).alias(n) if n in have else F.lit(None).cast(k).alias(n) for n, k in (x.split(" ", 1) for x in S.ATOMS.split(", "))]
-        self.append("atom_events", ids.select(F.lit(event).alias("event"), F.lit(now).alias("at"), F.lit(1 << 62).alias("seq"), *fields))
+        self.append("atom_events", ids.select(F.lit(event).alias("event"), F.lit(now).alias("at"), F.lit(time.time_ns()).alias("seq"), *fields), "project_id")
 
     def record_access(self, ids: DataFrame, now: str) -> None:
         self.append("access_events", ids.select(F.col("id").alias("atom_id"), F.lit(now).alias("at")))

@@ -39,7 +39,7 @@ def push(store, transport: Transport, blinded_project_id: str, client_id: str, n
     """Sends what the relay hasn't had from this client (by cursor); returns how many rows."""
     cursor = store.cursors().where((F.col("blinded_project_id") == blinded_project_id) & (F.col("direction") == "push") & (F.col("peer_id") == peer)).select("last_seq").first()
     last = (cursor and cursor[0]) or 0
-    rows = oplog.unpushed(store.log(), blinded_project_id, client_id).where(F.col("sequence_no") > last)
+    rows = oplog.unpushed(oplog.mark_pushed(store.log(), store.cursors(), client_id, peer), blinded_project_id, client_id).where(F.col("sequence_no") > last)
     n, top = rows.agg(F.count("*"), F.max("sequence_no")).first()
     if n:
         transport.push(blinded_project_id, rows.select(*oplog.WIRE))

@@ -126,9 +126,11 @@ class VectorIndex:
             p = fs.Path(f"{self.path}/{part}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def nearest(self, vector: list[float], top_k: int = 10, probes: int | None = None, project_id: str | None = None) -> DataFrame:
+    def nearest(self, vector: list[float], top_k: int = 10, probes: int | None = None, project_id: str | None = None, within: DataFrame | None = None) -> DataFrame:
         """The best of the nearest cells, filtered before they are ranked; probes: the measured number.
 
+        within: a bounded table of the ids (id) that may be found; all cells are read for it.
+
         With a project, and for more neighbours than were measured, all cells are read unless probes is given.
         """
         meta = self.meta()
@@ -139,7 +141,9 @@ class VectorIndex:
         rows = self.spark.read.parquet(f"{self.path}/cells").where(~F.col("invalidated"))
         if project_id is not None:
             rows = rows.where(F.col("project_id") == project_id)
-        if probes is not None or (project_id is None and top_k <= NEIGHBOURS):
+        if within is not None:
+            rows = rows.join(within, "id", "left_semi")
+        if probes is not None or (project_id is None and within is None and top_k <= NEIGHBOURS):
             order = np.argsort(-(np.array(meta["centroids"]) @ np.array(vector)))[: probes or meta.get("probes")].tolist()
             rows = rows.where(F.col("cell").isin(*order))
         scored = rows.withColumns({"score": dot_literal(F.col("embedding"), vector), "tier": F.lit("R1")}).drop("cell")

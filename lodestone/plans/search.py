@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import admin, graph, retrieval
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.schema import check_top_k
 
 TIERS = ("R0", "R1", "R2", "R3")
+#: Fixed value: what a session without a topic recalls.
 DEFAULT_TOPIC = "decisions patterns context architecture important"
 
 
-def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, **weights: float) -> DataFrame:
+#: a larger filtered set of candidates is scanned instead of looked up in an index
+MAX_WITHIN = 10_000
+
+
+def _within(rows: DataFrame, session_id: str | None, tags: list[str] | None) -> DataFrame | None | bool:
+    """The candidates' ids where a filter asks for them, None without one, False if they are too many."""
+    if session_id is None and tags is None:
+        return None
+    ids = rows.select("id")
+    return ids if ids.limit(MAX_WITHIN + 1).count() <= MAX_WITHIN else False
+
+
+def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, **weights: float) -> DataFrame:
     """Records with score and tier, best first.
 
     Without a query vector R1 and R3 fall back to R2, and rows say so.  Filters come
     before the tiers, so statistics are those of the filtered records.  Nothing is
-    written: record_access is a step of its own.
+    written: record_access is a step of its own.  With a built index R1 reads the
+    project's vectors there; where sessions or tags filter, it keeps the index's rows
+    among the candidates, or scans these where they are more than MAX_WITHIN.
     """
     if project_id is None:
         raise ValueError("project_id is required")
@@ -27,6 +43,8 @@ def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_
     rows = retrieval.candidates(atoms, project_id, session_id, tags)
     if tier == "R0":
         out = retrieval.exact(rows, query, top_k)
+    elif tier == "R1" and vector is not None and index is not None and index.meta() is not None and (within := _within(rows, session_id, tags)) is not False:
+        out = index.nearest(vector, top_k, project_id=project_id, within=within).select(*atoms.columns, "score", "tier")
     elif tier == "R1" and vector is not None:
         out = retrieval.cosine(rows, vector, top_k)
     elif tier == "R3" and vector is not None:

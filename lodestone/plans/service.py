@@ -11,6 +11,7 @@ from lodestone import schema as S
 from lodestone.operators import admin, conflicts, graph, oplog, sync
 from lodestone.operators.store import Store, new_id
 from lodestone.plans import search as plan
+from lodestone.scratch import Cuts
 
 Enricher = Callable[[list[dict]], list[dict]]
 
@@ -59,11 +60,11 @@ class Service:
         project = self._project(project_id)
         _require(isinstance(content, str) and 0 < len(content.strip()) and len(content) <= S.MAX_CONTENT_CHARS, "content must be a text of 1 to 100000 characters")
         vector, now, key = self._vector(content), self.clock(), new_id()
-        found = [] if vector is None else [r.asDict() for r in conflicts.conflicts(admin.list_project(self.store.atoms(), project, False), vector).collect()]
+        found = [] if vector is None else [r.asDict() for r in conflicts.conflicts(admin.list_project(self.store.atoms(project), project, False), vector).collect()]
         fields = "id string, content string, embedding array<float>, project_id string, type string, scope string, metadata string, session_id string, tags array<string>"
         row = self.store.spark.createDataFrame([(key, content, vector, project, type, scope, metadata or "{}", session_id, tags)], fields)
         self.store.insert(row if tags is not None else row.drop("tags"), now)
-        self._log(self.store.atoms().where(F.col("id") == key))
+        self._log(self.store.atoms(project).where(F.col("id") == key))
         return {"id": key, "conflicts": found}
 
     def search(self, query: str, project_id: str | None = None, tier: str = "R3", top_k: int = 10, scope: str | None = None, record: bool = True, **how) -> dict:
@@ -78,7 +79,7 @@ class Service:
 
     def get(self, id: str, project_id: str | None = None) -> dict:
         project = project_id or self.bound
-        row = self.store.atoms().where(F.col("id") == id).select(*admin.PUBLIC).first()
+        row = self.store.atoms(project).where(F.col("id") == id).select(*admin.PUBLIC).first()
         if row is None or (project is not None and row.project_id != project):
             return {"found": False}
         return {"found": True, "record": row.asDict(True)}
@@ -98,7 +99,7 @@ class Service:
         """Enriches records that aren't; enrich maps {id, content, metadata} to {id, metadata} (JSON text)."""
         if enrich is None:
             return {"enriched": 0, "skipped": True, "reason": "no enricher"}
-        rows = admin.unenriched(self.store.atoms().where(F.col("project_id") == self._project(project_id))).select("id", "content", "metadata")
+        rows = admin.unenriched(self.store.atoms(self._project(project_id))).select("id", "content", "metadata")
         done = 0
         for part in _batches(rows):
             out = [(r["id"], r["metadata"]) for r in enrich(part)]
@@ -108,7 +109,7 @@ class Service:
         return {"enriched": done, "skipped": False, "reason": None}
 
     def stats(self, project_id: str | None = None) -> dict:
-        out = admin.stats(self.store.atoms().where(F.col("project_id") == self._project(project_id))).first().asDict()
+        out = admin.stats(self.store.atoms(self._project(project_id))).first().asDict()
         last = self.store.cursors().agg(F.max("updated_at")).first()[0]
         return {**out, "last_sync": last}
 
@@ -136,13 +137,14 @@ class Service:
 
     def gc(self, project_id: str | None = None, min_age_days: int = 90, max_access: int = 1, apply: bool = False) -> dict:
         _require(not isinstance(min_age_days, bool) and isinstance(min_age_days, int) and min_age_days >= 0, "min_age_days must be a whole number from 0")
-        rows = admin.gc_report(self.store.atoms().where(F.col("project_id") == self._project(project_id)), self.clock(), min_age_days, max_access)
-        found = [r.asDict() for r in rows.collect()]
-        if apply and found:
-            ids = self.store.spark.createDataFrame([(r["id"],) for r in found], "id string")
-            self.store.mark(ids, "invalidate", self.clock())
-            self._log(self.store.atoms().join(ids, "id", "left_semi"))
-        return {"stale": found, "invalidated": len(found) if apply else 0}
+        rows = admin.gc_report(self.store.atoms(self._project(project_id)), self.clock(), min_age_days, max_access)
+        # written once, marked as a table; the caller sees the first of them and how many there are
+        found = Cuts(self.store.spark).cut(rows)
+        n = found.count()
+        if apply and n:
+            self.store.mark(found.select("id"), "invalidate", self.clock(), self._project(project_id))
+            self._log(self.store.atoms(self._project(project_id)).join(found.select("id"), "id", "left_semi"))
+        return {"stale": [r.asDict() for r in found.orderBy("access_count", "created_at", "id").limit(S.MAX_TOP_K).collect()], "total": n, "invalidated": n if apply else 0}
 
     def graph(self, entity: str, project_id: str | None = None, max_depth: int = 2, edge_types: list[str] | None = None, top_k: int = 3) -> dict:
         """The subgraph around a record, or around what a search for the entity finds."""

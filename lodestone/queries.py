@@ -315,7 +315,13 @@ def keywords(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.array_join(X.keywords(F.col("text")), ",").alias("keywords"))
 
 
-@query("entities")
+# runs of word characters alternate with what stands between; capitalised words stay together over white space alone
+_RUNS = "regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+|[^\\p{L}\\p{N}_\\p{M}]+')"
+_CHAINS = f"string_split(array_to_string(list_transform({_RUNS}, lambda x: CASE WHEN regexp_full_match(x, '[A-Z][a-zA-Z]+') OR regexp_full_match(x, '[ \\t\\n\\x0B\\f\\r]+') THEN x ELSE chr(1) END), ''), chr(1))"
+_ENTITIES = f"list_filter(list_transform({_CHAINS}, lambda x: regexp_replace(x, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("entities", f"SELECT doc_id, array_to_string({_FIRST.format('e')}, ',') AS entities FROM (SELECT doc_id, {_ENTITIES} AS e FROM documents)")
 def entities(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.array_join(X.entities(F.col("text")), ",").alias("entities"))
 
@@ -442,6 +448,16 @@ def unpushed(spark, d):
     return oplog.unpushed(S.oplog(spark, d), hashlib.sha256(b"p0").hexdigest(), "c1").select("entry_id", "sequence_no")
 
 
+@query("mark_pushed", f"WITH {LOG} SELECT entry_id, pushed OR (client_id = 'c1' AND source = 'local' AND sequence_no <= CASE WHEN blinded_project_id = sha256('p0') THEN 5 WHEN blinded_project_id = sha256('p1') THEN 9 ELSE 0 END) AS pushed FROM log")
+def mark_pushed(spark, d):
+    import hashlib
+
+    from lodestone import schema
+
+    at = [(hashlib.sha256(p.encode()).hexdigest(), direction, "relay", n, None, "2024") for p, direction, n in (("p0", "push", 5), ("p1", "push", 9), ("p2", "pull", 9))]
+    return oplog.mark_pushed(S.oplog(spark, d), spark.createDataFrame(at, schema.CURSORS), "c1").select("entry_id", "pushed")
+
+
 @query("entries_for_record", f"WITH {LOG} SELECT entry_id, ts, op FROM log WHERE record_id = 'r5'")
 def entries_for_record(spark, d):
     import hashlib
@@ -502,7 +518,9 @@ def audit_totals(spark, d):
     return relay.audit(S.relay(spark, d), "2024-01-01T00:00:00Z", "t", "push", "ok").select("blinded_project_id", "entry_count", "byte_count", "status")
 
 
-@query("rate_window", "SELECT user_id, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS window_start, count(*) AS requests, greatest(count(*) - 1, 0) AS rejected FROM events GROUP BY 1, 2")
+@query("rate_window", """WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s FROM events),
+  w AS (SELECT user_id, min(s) AS a FROM e GROUP BY 1 UNION ALL SELECT w.user_id, min(e.s) FROM w JOIN e ON e.user_id = w.user_id AND e.s >= w.a + 3600 GROUP BY w.user_id)
+  SELECT w.user_id, w.a AS window_start, count(*) AS requests, greatest(count(*) - 1, 0) AS rejected FROM w JOIN e ON e.user_id = w.user_id AND e.s >= w.a AND e.s < w.a + 3600 GROUP BY 1, 2""")
 def rate_window(spark, d):
     return relay.rate_windows(S.read(spark, d, "events"), ["user_id"], "ts", 1, 3600)
 
@@ -543,6 +561,22 @@ def snapshot(spark, d):
     return store.snapshot(events, read.unionAll(read)).select("id", "content", "invalidated", "access_count")
 
 
+@query("store_snapshot", f"WITH {ATOMS} SELECT id, content, project_id, created_at, row_seq % 4 = 1 AS invalidated FROM atoms WHERE row_seq % 9 <> 8 OR row_seq % 2 = 0")
+def store_snapshot(spark, d):
+    """Records through the store: inserted, marked, deleted, some inserted again."""
+    from lodestone.operators.store import Store
+    from lodestone.scratch import Cuts
+
+    s, a = Store(spark, Cuts(spark).base), S.atoms(spark, d)
+    batch = a.select("id", "content", "project_id", "type", "scope", "created_at", "session_id")
+    s.insert(batch, "2024-01-01T00:00:00.000Z")
+    s.mark(a.where("row_seq % 4 in (1, 2)").select("id"), "invalidate", "2024-02-01T00:00:00.000Z")
+    s.mark(a.where("row_seq % 4 = 2").select("id"), "restore", "2024-02-01T00:00:00.000Z")
+    s.mark(a.where("row_seq % 9 = 8").select("id"), "delete", "2024-03-01T00:00:00.000Z")
+    s.insert(a.where("row_seq % 9 = 8 and row_seq % 2 = 0").select("id", "content", "project_id", "type", "scope", "created_at", "session_id"), "2024-04-01T00:00:00.000Z")
+    return s.atoms().select("id", "content", "project_id", "created_at", "invalidated")
+
+
 @query("vector_norms", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM embeddings")
 def vector_norms(spark, d):
     return S.read(spark, d, "embeddings").select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm2"))

@@ -25,7 +25,7 @@ def test_entry_and_names(spark):
         assert df.columns == ["id", "score", "tier"] and df.count() > 0
 
 
-CORE = ["list_project", "stats", "tag_filter", "r0", "r1", "r2", "r2_or", "r2_phrase", "r2_not", "r3", "r3_access", "knn_project", "conflicts", "all_pairs_dup", "keywords", "mirror_lines", "bfs_2", "traverse_edges", "graph_expand", "oplog_fold", "oplog_conflicts", "oplog_dedup", "backfill", "relay_page", "relay_append", "drain_counts", "snapshot"]
+CORE = ["list_project", "stats", "tag_filter", "r0", "r1", "r2", "r2_or", "r2_phrase", "r2_not", "r3", "r3_access", "knn_project", "conflicts", "all_pairs_dup", "keywords", "mirror_lines", "bfs_2", "traverse_edges", "graph_expand", "oplog_fold", "oplog_conflicts", "oplog_dedup", "backfill", "relay_page", "relay_append", "drain_counts", "snapshot", "store_snapshot", "entities", "mark_pushed", "rate_window"]
 
 
 @pytest.mark.parametrize("name", CORE)

@@ -67,6 +67,64 @@ def test_store_folds_events(spark, tmp_path):
     assert [r.last_seq for r in s.cursors().collect()] == [9]
 
 
+FIELDS = "id string, content string, project_id string, created_at string"
+
+
+def test_events_are_ordered_by_writing(spark, tmp_path):
+    """Marks of one time by their order, a record dated ahead yields to later marks, a deleted id may come again."""
+    s = Store(spark, str(tmp_path))
+    which = lambda i: spark.createDataFrame([(i,)], "id string")
+    s.insert(spark.createDataFrame([("a", "one", "p", "2999-01-01T00:00:00.000Z"), ("b", "two", "p", NOW)], FIELDS), NOW)
+    s.mark(which("a"), "invalidate", "2024-06-02T00:00:00.000Z", "p")
+    s.mark(which("a"), "restore", "2024-06-02T00:00:00.000Z")
+    s.mark(which("b"), "restore", "2024-06-02T00:00:00.000Z")
+    s.mark(which("b"), "invalidate", "2024-06-02T00:00:00.000Z", "p")
+    s.mark(spark.createDataFrame([("a", "{\"k\": 1}")], "id string, metadata string"), "enrich", "2024-06-03T00:00:00.000Z")
+    state = lambda: {r.id: (r.content, r.invalidated) for r in s.atoms("p").collect()}
+    assert state() == {"a": ("one", False), "b": ("two", True)}
+    one = s.atoms().where("id = 'a'").first()
+    assert (one.metadata, one.created_at, one.updated_at) == ('{"k": 1}', "2999-01-01T00:00:00.000Z", "2024-06-03T00:00:00.000Z")
+    s.insert(spark.createDataFrame([("a", "ignored", "p", NOW)], FIELDS), "2024-06-04T00:00:00.000Z")
+    assert state()["a"] == ("one", False)
+    s.mark(which("b"), "delete", "2024-06-05T00:00:00.000Z", "p")
+    assert set(state()) == {"a"}
+    s.insert(spark.createDataFrame([("b", "again", "p", NOW)], FIELDS), "2024-06-06T00:00:00.000Z")
+    assert state()["b"] == ("again", False)
+    before = sorted(map(repr, s.atoms().drop("row_seq").collect()))
+    n = s.events().count()
+    s.compact("2024-06-07T00:00:00.000Z")
+    assert sorted(map(repr, s.atoms().drop("row_seq").collect())) == before and s.events().count() < n
+
+
+def test_a_project_is_read_from_its_own_folder(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.insert(spark.createDataFrame([(f"a{i}", "x", f"p{i % 3}", NOW) for i in range(9)] + [("none", "x", None, NOW)], FIELDS), NOW)
+    plan = s.atoms("p1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(project_id" in plan
+    assert sorted(r.id for r in s.atoms("p1").collect()) == ["a1", "a4", "a7"] and s.atoms().count() == 10
+
+
+def test_superseded_records_are_invalidated(spark, tmp_path):
+    from lodestone.operators.conflicts import invalidate_superseded
+
+    s = Store(spark, str(tmp_path))
+    s.insert(spark.createDataFrame([("a", "x", "p", [1.0, 0.0]), ("b", "y", "p", [0.0, 1.0]), ("c", "z", "q", [1.0, 0.0]), ("new", "x", "p", [1.0, 0.0])], "id string, content string, project_id string, embedding array<float>"), NOW)
+    assert [r.id for r in invalidate_superseded(s, [1.0, 0.0], "p", "2024-06-02T00:00:00.000Z", exclude_id="new").collect()] == ["a"]
+    assert {r.id for r in s.atoms().where("invalidated").collect()} == {"a"}
+
+
+def test_rate_windows_begin_with_a_request(spark):
+    from lodestone.operators.relay import rate_windows
+
+    at = lambda n: f"2024-01-01 {n // 3600:02d}:{n // 60 % 60:02d}:{n % 60:02d}"
+    rows = [("k", at(t)) for t in (100, 100, 3000, 3699, 3700, 9000)] + [("other", at(0)), (None, at(1)), ("k", None)]
+    df = spark.createDataFrame(rows, "key string, at string").withColumn("at", F.to_timestamp("at"))
+    zero = spark.createDataFrame([("2024-01-01 00:00:00",)], "t string").select(F.unix_timestamp(F.to_timestamp("t"))).first()[0]
+    out = sorted((r.key, r.window_start - zero, r.requests, r.rejected) for r in rate_windows(df, ["key"], "at", 2, 3600).collect())
+    assert out == [("k", 100, 4, 2), ("k", 3700, 1, 0), ("k", 9000, 1, 0), ("other", 0, 1, 0)]
+    assert rate_windows(df.limit(0), ["key"], "at").count() == 0
+
+
 def test_endpoints(spark, tmp_path):
     clock = iter(f"2024-06-01T00:00:{i:02d}.000Z" for i in range(60))
     svc = Service(Store(spark, str(tmp_path)), lambda: next(clock), "p", embed=lambda ts: [[1.0, 0.0] if "python" in t else [0.0, 1.0] for t in ts], blinded_project_id="a" * 64)

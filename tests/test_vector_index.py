@@ -57,3 +57,23 @@ def test_probes_grow_until_the_recall_is_met():
     order = np.array([[2, 0, 1], [1, 2, 0]])
     assert probes_for([[2, 2], [1, 1]], order, 0.9) == 1
     assert probes_for([[2, 1], [1, 1]], order, 0.75) == 1 and probes_for([[2, 1], [1, 1]], order, 0.9) == 3
+
+
+def test_search_asks_a_built_index(spark, tmp_path):
+    """R1 over an index gives what a scan gives, for a project, with filters and without an index."""
+    from lodestone.plans.search import search
+
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(120, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = atoms(spark, [atom(f"a{i}", embedding=v.tolist(), row_seq=i, session_id=f"s{i % 3}") for i, v in enumerate(x)])
+    index = VectorIndex(spark, str(tmp_path))
+    project = a.first().project_id
+    scanned = ids(search(a, "", project, "R1", 10, vector=x[0].tolist()))
+    assert ids(search(a, "", project, "R1", 10, vector=x[0].tolist(), index=index)) == scanned
+    index.build(a)
+    for how in ({}, {"session_id": "s1"}):
+        want = search(a, "", project, "R1", 10, vector=x[0].tolist(), **how)
+        got = search(a, "", project, "R1", 10, vector=x[0].tolist(), index=index, **how)
+        assert ids(got) == ids(want) and got.columns == want.columns
+        assert "/cells" in got._jdf.queryExecution().toString()
