@@ -51,6 +51,11 @@ def unpack_embedding(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
 
 
+def unpacked(blob: Column, dim: int) -> Column:
+    """Vectors of that length; null for any other length."""
+    return unpack_embedding(F.when(F.octet_length(blob) == 4 * dim, blob))
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a model: hashed words, unit length."""
     import zlib

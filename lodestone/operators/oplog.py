@@ -158,6 +158,11 @@ def conflict_lines(log: DataFrame) -> DataFrame:
     return head.unionByName(rows.select("record_id", F.when(F.col("entry_id") == F.col("winner"), 2).otherwise(3).alias("n"), F.col("entry_id").alias("e"), text.alias("line"))).orderBy("record_id", "n", "e")
 
 
+def write_report(log: DataFrame, path: str) -> None:
+    """Appends the conflicts' lines to a folder of text; each record's lines stand together, in their order."""
+    conflict_lines(log).select("line").write.mode("append").text(path)
+
+
 def to_wire(log: DataFrame) -> DataFrame:
     return log.select(*[F.base64("payload").alias("payload") if c == "payload" else F.col(c) for c in WIRE])
 

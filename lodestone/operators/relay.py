@@ -62,6 +62,11 @@ def audit(batch: DataFrame, ts: str, token_hash: str, op: str, status: str) -> D
     return sums.select(F.lit(ts).alias("ts"), F.lit(token_hash).alias("token_hash"), "blinded_project_id", F.lit(op).alias("op"), "entry_count", "byte_count", F.lit(status).alias("status"))
 
 
+def write_audit(rows: DataFrame, path: str) -> None:
+    """Appends audit rows to a folder of JSON lines; fields without a value are written as null."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def _windows(key: list[str], limit: int, window_s: int):
     """Over rows (key, second, n) sorted by key and second: each window is given out once it is over."""
 

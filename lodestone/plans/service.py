@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schema as S
+from lodestone.functions.enrichment import merged
 from lodestone.operators import admin, conflicts, graph, oplog, sync
 from lodestone.operators.store import Store, new_id
 from lodestone.plans import search as plan
@@ -96,16 +98,27 @@ class Service:
         return {"found": True, "invalidated": True}
 
     def flush(self, project_id: str | None = None, enrich: Enricher | None = None) -> dict:
-        """Enriches records that aren't; enrich maps {id, content, metadata} to {id, metadata} (JSON text)."""
+        """Enriches records that aren't; enrich maps {id, content, metadata} to {id, answer} or {id, metadata}.
+
+        An answer is a model's text, merged field by field; one that is no JSON object
+        leaves its record as it is.  metadata is JSON text that replaces the record's.
+        """
         if enrich is None:
             return {"enriched": 0, "skipped": True, "reason": "no enricher"}
         rows = admin.unenriched(self.store.atoms(self._project(project_id))).select("id", "content", "metadata")
         done = 0
         for part in _batches(rows):
-            out = [(r["id"], r["metadata"]) for r in enrich(part)]
+            own, now = {r["id"]: r["metadata"] for r in part}, self.clock()
+            found = enrich(part)
+            out = [(r["id"], r["metadata"]) for r in found if "metadata" in r]
+            answers = [(r["id"], own[r["id"]], r["answer"]) for r in found if "metadata" not in r]
+            if answers:
+                read = self.store.spark.createDataFrame(answers, "id string, metadata string, answer string")
+                out += [tuple(r) for r in read.select("id", merged(F.col("metadata"), F.col("answer"), now)).collect() if r[1] is not None]
             if out:
-                self.store.mark(self.store.spark.createDataFrame(out, "id string, metadata string"), "enrich", self.clock())
+                self.store.mark(self.store.spark.createDataFrame(out, "id string, metadata string"), "enrich", now)
             done += len(out)
+        self._try_sync("push")
         return {"enriched": done, "skipped": False, "reason": None}
 
     def stats(self, project_id: str | None = None) -> dict:
@@ -113,6 +126,15 @@ class Service:
         last = self.store.cursors().agg(F.max("updated_at")).first()[0]
         return {**out, "last_sync": last}
 
+    def start(self) -> None:
+        """At the start of a session: a pull, if there is a relay; its failure is no error."""
+        self._try_sync("pull")
+
+    def _try_sync(self, direction: str) -> None:
+        if self.transport is not None and self.blinded is not None:
+            with contextlib.suppress(Exception):
+                self._sync(direction)
+
     def _sync(self, direction: str) -> dict:
         return sync.sync_now(self.store, self.transport, self.blinded, self.client, self.clock(), (direction,)).__dict__
 

@@ -548,6 +548,40 @@ def drain_counts(spark, d):
     return admin.drain_counts(_captured(spark, d))
 
 
+@query("capture_lines", """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'user_prompt' ELSE 'unknown' END AS source,
+  CASE WHEN conv_id % 3 = 0 THEN 'a' || turn ELSE 'unknown' END AS agent, CASE WHEN conv_id % 3 = 1 THEN 'TASK-' || turn END AS task_id,
+  left(CASE WHEN conv_id % 3 = 1 THEN 'TASK-' || turn || ' ' || replace(replace(text, chr(13), ''), chr(10), ' ') ELSE replace(replace(text, chr(13), ''), chr(10), ' ') END, 100000) AS content
+  FROM conversations WHERE text <> '' AND conv_id % 5 <> 4""")
+def capture_lines(spark, d):
+    """Hook inputs (JSON of two forms, and plain text) as queue lines, read back field by field."""
+    from lodestone.sources.spool import capture_lines
+
+    turn = F.col("turn").cast("string")
+    json_of = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    shape = F.col("conv_id") % 3
+    made = F.when(shape == 0, json_of(hook_event_name=F.lit("Stop"), agent_name=F.concat(F.lit("a"), turn), text=F.col("text"))).when(shape == 1, json_of(hook_event_name=F.lit("UserPromptSubmit"), summary=F.lit(""), prompt=F.concat(F.lit("TASK-"), turn, F.lit(" "), F.col("text")))).otherwise(F.col("text"))
+    inputs = S.read(spark, d, "conversations").where("text <> ''").select(made.alias("input"), F.when(F.col("conv_id") % 5 != 4, F.lit("p")).alias("project_id"), F.concat_ws(":", "conv_id", "turn").alias("session_id"))
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    at = F.split(field("session_id"), ":")
+    return capture_lines(inputs, "2024-05-06T07:08:09Z").select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), *[field(n).alias(n) for n in ("source", "agent", "task_id", "content")])
+
+
+@query("guarded_merge", """SELECT doc_id, doc_id % 4 <> 2 AS merged, CASE WHEN doc_id % 4 IN (0, 3) THEN left(text, 1000) WHEN doc_id % 4 = 1 THEN 'old' END AS summary,
+  CASE WHEN doc_id % 4 IN (0, 1) THEN '["' || lang || '","' || source || '"]' END AS entities, CASE WHEN doc_id % 4 IN (0, 1, 3) THEN 'kept' END AS own FROM documents""")
+def guarded_merge(spark, d):
+    """Model answers, fenced and bare, with fields of a wrong kind or no JSON at all, merged into metadata."""
+    from lodestone.functions.enrichment import merged
+
+    docs, k = S.read(spark, d, "documents"), F.col("doc_id") % 4
+    listed = F.array("lang", "source")
+    full = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("text").alias("summary"), listed.alias("entities"))), F.lit("\n```"))
+    odd = F.to_json(F.struct(F.col("doc_id").alias("summary"), listed.alias("entities"), F.array(F.lit(1)).alias("keywords")))
+    answer = F.when(k == 0, full).when(k == 1, odd).when(k == 2, "no answer").otherwise(F.to_json(F.struct(F.col("text").alias("summary"), F.lit("x").alias("entities"))))
+    out = docs.select("doc_id", merged(F.lit('{"own": "kept", "summary": "old"}'), answer, "2024-05-06T07:08:09Z").alias("m"))
+    field = lambda name: F.get_json_object("m", f"$.{name}").alias(name)
+    return out.select("doc_id", F.col("m").isNotNull().alias("merged"), field("summary"), field("entities"), field("own"))
+
+
 @query("snapshot", f"WITH {ATOMS} SELECT id, content, CASE WHEN row_seq % 4 = 1 THEN true WHEN row_seq % 4 = 2 THEN false ELSE false END AS invalidated, CASE WHEN row_seq % 6 = 0 THEN 2 ELSE 0 END AS access_count FROM atoms WHERE row_seq % 9 <> 8")
 def snapshot(spark, d):
     """Records folded from inserts, invalidations, restores, deletions and accesses."""

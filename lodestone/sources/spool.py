@@ -1,4 +1,4 @@
-"""Readers of the capture queue, batch and stream, and of a paged relay as a data source."""
+"""The capture queue, written and read, batch and stream; a paged relay as a data source, read and written."""
 
 from __future__ import annotations
 
@@ -7,7 +7,40 @@ import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from lodestone.schema import MAX_BATCH_ENTRIES, MAX_CONTENT_CHARS
+
+#: The sources of hook events, and the fields in which a hook's input may hold its text.
+EVENT_SOURCES = {"SessionStart": "session_start", "PreCompact": "pre_compact", "Stop": "stop", "UserPromptSubmit": "user_prompt"}
+TEXT_FIELDS = ("summary", "content", "text", "output", "message", "description", "prompt")
+
+
+def capture_lines(inputs: DataFrame, ts: str) -> DataFrame:
+    """Queue lines (value) of hook inputs: columns input and project_id, and source, task_id and session_id if there are any.
+
+    The input is a JSON object, or plain text; its content is the first text field that
+    is not empty, else all of it, on one line and cut at the longest length.  A source
+    that isn't given follows from hook_event_name, a task from the first TASK-<n> in the
+    input.  Inputs without a project give no line; null inputs count as empty.
+    """
+    have = set(inputs.columns)
+    rows = inputs.where("coalesce(project_id, '') <> ''").withColumn("input", F.coalesce("input", F.lit("")))
+    field = lambda name: F.nullif(F.get_json_object("input", f"$.{name}"), F.lit(""))
+    given = lambda name, other: F.coalesce(F.nullif(F.col(name), F.lit("")), other) if name in have else other
+    event = field("hook_event_name")
+    source = F.lit("unknown")
+    for name, found in EVENT_SOURCES.items():
+        source = F.when(event == name, found).otherwise(source)
+    flat = F.translate(F.coalesce(*[field(n) for n in TEXT_FIELDS], F.col("input")), "\n\r", " ")  # line feeds become spaces, carriage returns go
+    parts = {"source": given("source", source), "agent": F.coalesce(field("agent_name"), field("agent_type"), F.lit("unknown")), "task_id": given("task_id", F.nullif(F.regexp_extract("input", "TASK-[0-9]+", 0), F.lit("")))}
+    line = F.struct(F.lit(1).alias("v"), *[c.alias(n) for n, c in parts.items()], given("session_id", field("session_id")).alias("session_id"), F.col("project_id"), F.lit(ts).alias("ts"), F.substring(flat, 1, MAX_CONTENT_CHARS).alias("content"), F.struct(*[c.alias(n) for n, c in parts.items()], F.lit("lodestone").alias("captured_by")).alias("metadata"))
+    return rows.select(F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_queue(lines: DataFrame, path: str) -> None:
+    lines.select("value").write.mode("append").text(path, lineSep="\n")
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
@@ -62,3 +95,41 @@ class RelayPull(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _RelayReader(dict(self.options))
+
+
+class _RelayWriter(DataSourceWriter):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        batch: list[dict] = []
+        for row in iterator:
+            batch.append(row.asDict())
+            if len(batch) == MAX_BATCH_ENTRIES:
+                self._send(batch)
+                batch = []
+        if batch:
+            self._send(batch)
+        return WriterCommitMessage()
+
+    def _send(self, entries: list[dict]) -> None:
+        url = f"{self.options['url'].rstrip('/')}/oplog/{self.options['project']}"
+        body = json.dumps({"entries": entries}).encode()
+        headers = {"Authorization": f"Bearer {self.options.get('token', '')}", "Content-Type": "application/json"}
+        with urllib.request.urlopen(urllib.request.Request(url, body, headers, method="POST"), timeout=float(self.options.get("timeout", "30"))):
+            pass
+
+
+class RelayPush(DataSource):
+    """format("relay_push"): posts wire rows to a relay in batches of at most 1000.
+
+    A task that is tried again posts its rows again; the relay ignores what it has.
+    Options: url, project, token, timeout.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "relay_push"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _RelayWriter(dict(self.options))
