@@ -8,6 +8,7 @@ words joined by OR (not strict).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -225,20 +226,24 @@ def occurrences(tokens: Column, p: Phrase) -> Column:
     return F.size(positions(tokens, p))
 
 
-def near_positions(tokens: Column, node: Node, p: Phrase) -> Column:
-    """Positions of one member that have every other member within the gap."""
-    found = positions(tokens, p)
+def near(node: Node, p: Phrase, where: Callable[[Phrase], Column]) -> Column:
+    """Positions of one member that have every other member within the gap; where gives a phrase's positions."""
+    found = where(p)
     for q in node.parts:
         if q is p:
             continue
-        other, here, there = positions(tokens, q), len(p.words), len(q.words)
+        other, here, there = where(q), len(p.words), len(q.words)
         close = lambda i, j: F.when(j >= i, j - (i + here) <= node.gap).otherwise(i - (j + there) <= node.gap)  # noqa: B023, E731
         found = F.filter(found, lambda i: F.exists(other, lambda j: close(i, j)))  # noqa: B023
     return found
 
 
-def frequency(tokens: Column, p: Phrase, near: Node | None) -> Column:
-    return occurrences(tokens, p) if near is None else F.size(near_positions(tokens, near, p))
+def near_positions(tokens: Column, node: Node, p: Phrase) -> Column:
+    return near(node, p, lambda q: positions(tokens, q))
+
+
+def frequency(tokens: Column, p: Phrase, group: Node | None) -> Column:
+    return occurrences(tokens, p) if group is None else F.size(near_positions(tokens, group, p))
 
 
 def match(node: Node, present: dict[int, Column]) -> tuple[Column, list[Column]]:

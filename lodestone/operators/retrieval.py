@@ -70,10 +70,22 @@ def bm25_scores(atoms: DataFrame, query: str, strict: bool = True) -> DataFrame:
 
     # the lambda's argument is the token array, made once for a row
     counted = F.get(F.transform(F.array(token_array(F.col("content"))), counts), F.lit(0))
-    wide = atoms.withColumn("_c", counted).select(*atoms.columns, "_c.*")
+    return scored(atoms.withColumn("_c", counted).select(*atoms.columns, "_c.*"), atoms.columns, node)
+
+
+def scored(wide: DataFrame, columns: list[str], node: fts.Node, totals: DataFrame | None = None) -> DataFrame:
+    """columns and score of the rows that match, from _length, and _tf<i> (for a NEAR member also _has<i>) for each leaf.
+
+    totals: one row (_n, _mean), where wide holds only rows with some leaf.
+    """
+    found = fts.leaves(node)
     present = {i: F.col(f"_tf{i}") > 0 for i in range(len(found))}
-    has = {i: F.col(rows[i]) if i in rows else present[i] for i in present}
-    stats = wide.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(has[i]).alias(f"_df{i}") for i in has])
+    has = {i: present[i] if near is None else F.col(f"_has{i}") for i, (_, near) in enumerate(found)}
+    frequencies = [F.count_if(has[i]).alias(f"_df{i}") for i in has]
+    if totals is None:
+        stats = wide.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *frequencies)
+    else:
+        stats = wide.agg(*frequencies).crossJoin(F.broadcast(totals))
 
     def part(i: int) -> Column:
         n, df, tf = F.col("_n"), F.col(f"_df{i}"), F.col(f"_tf{i}")
@@ -83,7 +95,7 @@ def bm25_scores(atoms: DataFrame, query: str, strict: bool = True) -> DataFrame:
 
     matches, counting = fts.match(node, present)
     matched = wide.where(matches).crossJoin(F.broadcast(stats))
-    return matched.withColumn("score", reduce(lambda a, b: a + b, [F.when(counting[i], part(i)).otherwise(0.0) for i in present])).select(*atoms.columns, "score")
+    return matched.withColumn("score", reduce(lambda a, b: a + b, [F.when(counting[i], part(i)).otherwise(0.0) for i in present])).select(*columns, "score")
 
 
 def bm25(atoms: DataFrame, query: str, top_k: int | None = 10, strict: bool = True) -> DataFrame:

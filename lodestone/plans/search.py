@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import admin, graph, retrieval
+from lodestone.operators.text_index import TextIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.schema import check_top_k
 
@@ -26,14 +27,15 @@ def _within(rows: DataFrame, session_id: str | None, tags: list[str] | None) ->
     return ids if ids.limit(MAX_WITHIN + 1).count() <= MAX_WITHIN else False
 
 
-def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, **weights: float) -> DataFrame:
+def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, text_index: TextIndex | None = None, **weights: float) -> DataFrame:
     """Records with score and tier, best first.
 
     Without a query vector R1 and R3 fall back to R2, and rows say so.  Filters come
     before the tiers, so statistics are those of the filtered records.  Nothing is
     written: record_access is a step of its own.  With a built index R1 reads the
     project's vectors there; where sessions or tags filter, it keeps the index's rows
-    among the candidates, or scans these where they are more than MAX_WITHIN.
+    among the candidates, or scans these where they are more than MAX_WITHIN.  With a
+    text index that holds all candidates R2 reads postings instead of texts.
     """
     if project_id is None:
         raise ValueError("project_id is required")
@@ -49,6 +51,8 @@ def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_
         out = retrieval.cosine(rows, vector, top_k)
     elif tier == "R3" and vector is not None:
         out = retrieval.fusion(rows, query, vector, top_k, strict, **weights)
+    elif text_index is not None:
+        out = text_index.search(rows, query, project_id, top_k, strict)
     else:
         out = retrieval.bm25(rows, query, top_k, strict)
     if graph_expand:

@@ -222,6 +222,17 @@ _r2("r2_not", "the NOT ronan", [term("the"), term("ronan")], "tf0 > 0 AND NOT tf
 _r2("r2_bag", "what's the, ing?", [term("what"), term("s"), term("the"), term("ing")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0 OR tf3 > 0", strict=False)
 
 
+@query("r2_index", f"WITH {ATOMS}, {CAND}, {bm25_sql([phrase('of', 'the'), prefix('thea'), term('ronan')], '(tf0 > 0 OR tf1 > 0) AND NOT tf2 > 0')} SELECT id, round(s, 6) AS score, 'R2' AS tier FROM (SELECT c.id, x.s FROM cand c JOIN bm x USING (id) ORDER BY s DESC, created_at DESC, row_seq DESC, id LIMIT 10)")
+def r2_index(spark, d):
+    """BM25 from the postings of an index over all records."""
+    from lodestone.operators.text_index import TextIndex
+    from lodestone.scratch import Cuts
+
+    index, a = TextIndex(spark, Cuts(spark).base), S.atoms(spark, d)
+    index.add(a)
+    return _scored(plan.search(a, '("of the" OR thea*) NOT ronan', PROJECT, "R2", text_index=index))
+
+
 @query("r2_error", f"WITH {ATOMS} SELECT id, 0.0::DOUBLE AS score, 'R2' AS tier FROM atoms WHERE false")
 def r2_error(spark, d):
     return _scored(retrieval.bm25(_cand(spark, d), "memory-safe", 10))
