@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lodestone.llm.licenses import OPENING, PHRASES, TEMPLATES, template_pattern
 from lodestone.llm.lm_scoring import PRIORS
+from lodestone.llm.pii import IBAN_SIZES, OTHER
+from lodestone.llm.pii import RULES as PII_RULES
 from lodestone.llm.secrets import ALLOW, ALPHABETS, KINDS, LEAST_UNLIKE, LIMITS, PAIRS, WINDOW, _units, limit_units
 from lodestone.llm.url_filters import ATTRIBUTE, ENTITIES, LINK_TAG, META_TAG, REFRESH, RULES
 
@@ -165,4 +167,95 @@ q AS (SELECT *, {" || ".join(f"p{i}" for i in range(len(PHRASES)))} AS every, [{
 SELECT doc_id, n_words, len(every) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word, {_JOINED.format("base")} AS base_labels, {_JOINED.format("(base || found)")} AS labels,
   CASE WHEN len(list_filter(found, lambda x: x IS NOT NULL)) > 0 THEN 1e0 WHEN len(every) > 0 THEN 0.5e0 WHEN {_OPENED} THEN 0.25e0 ELSE 0e0 END AS score FROM q"""
 
-ORACLES = {"op2_ngram_jaccard_join": NEAR.strip(), "op4_lm_scoring": LM.strip(), "op5_url_filters": URLS.strip(), "op6_secret_scans": SECRETS.strip(), "op7_license_scans": LICENSES.strip()}
+# crc32 of UTF-8, four bits at a time
+
+_NIBBLES = []
+for _v in range(16):
+    for _ in range(4):
+        _v = _v >> 1 ^ (0xEDB88320 if _v & 1 else 0)
+    _NIBBLES.append(_v)
+_CRC8 = (
+    "xor(list_reduce([4294967295::UBIGINT] || list_transform(range(0, len({0})), lambda i: (strpos('0123456789ABCDEF', substr({0}, (CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END)::INT, 1)) - 1)::UBIGINT), "
+    f"lambda a, b: xor(a >> 4, ({_NIBBLES}::UBIGINT[])[(xor(a & 15, b) + 1)::INT])), 4294967295::UBIGINT)"
+)
+
+# periodic runs: windows of 2, 4, 8 ... words named by their first place; a run of period q is where a window of q words or more comes again after q words, place by place
+
+_LEVELS = 14
+RUNS = rf"""
+WITH c AS (SELECT doc_id, {_CRC8.format("hex(encode(doc_id::VARCHAR))")} AS h FROM (SELECT DISTINCT doc_id FROM documents)),
+d AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents JOIN c USING (doc_id)),
+e AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10)::BIGINT % len(w) END AS a, 3 + (h // 10)::BIGINT % 8 AS z FROM d),
+x AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // z) END]) END AS w FROM e),
+t AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM x),
+l0 AS (SELECT doc_id, n, i, min(i) OVER (PARTITION BY doc_id, word) AS g FROM t),
+{"".join(f"l{k} AS (SELECT a.doc_id, a.n, a.i, min(a.i) OVER (PARTITION BY a.doc_id, a.g, b.g) AS g FROM l{k - 1} a JOIN l{k - 1} b ON b.doc_id = a.doc_id AND b.i = a.i + {2 ** (k - 1)} WHERE a.n > {2 ** (k + 1)})," for k in range(1, _LEVELS))}
+again AS ({" UNION ALL ".join(f"SELECT doc_id, i, {2**k} AS size, lead(i) OVER (PARTITION BY doc_id, g ORDER BY i) - i AS q FROM l{k}" for k in range(_LEVELS))}),
+place AS (SELECT doc_id, i, size, q, i - row_number() OVER (PARTITION BY doc_id, size, q ORDER BY i) AS part FROM again WHERE q <= size AND q > size // 2),
+stretch AS (SELECT doc_id, min(i) AS start, max(i) + size + q - min(i) AS length, q AS period FROM place GROUP BY doc_id, size, q, part),
+runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM stretch WHERE length >= greatest(6, 4 * period)),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM t WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = t.doc_id AND gone.i = t.i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(said.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM x LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, start, length, period FROM runs WHERE place = 1) USING (doc_id)"""
+
+# personal data: matches by place, then tests, context and overlaps by joins
+
+_LUHN = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ascii(substr({0}, (len({0}) + 1 - i)::INT, 1)) - 48 ELSE (2 * (ascii(substr({0}, (len({0}) + 1 - i)::INT, 1)) - 48)) // 10 + (2 * (ascii(substr({0}, (len({0}) + 1 - i)::INT, 1)) - 48)) % 10 END)) % 10 = 0"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_ACCOUNT = "regexp_replace(m, ' ', '', 'g')"
+_NUMBERED = f"list_transform(string_split(substr({_ACCOUNT}, 5) || substr({_ACCOUNT}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
+_MOD97 = f"list_reduce([0::BIGINT] || {_NUMBERED}, lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1"
+_SIZE_OF = f"coalesce((MAP {IBAN_SIZES})[m[1:2]], 0)"
+_SAID = "CASE kind " + " ".join(f"WHEN {i} THEN regexp_matches(near, '(?:^|[^a-z])(?:{r.words})(?:[^a-z]|$)')" for i, r in enumerate(PII_RULES.values())) + " END"
+_PII_KINDS = "['email', 'ip', 'card', 'phone', 'card_part', 'iban', 'ssn', 'local', 'ip6'][kind + 1]"
+PII = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS (SELECT doc_id, kind, s, e FROM (
+  {_spans(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0, 0)}
+  UNION ALL SELECT * FROM ({_spans(1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 0, 0)}) WHERE len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0
+  UNION ALL SELECT * FROM ({_spans(2, r"[0-9](?:\x20?-?[0-9])+".replace(r"\x20?-?", "[ -]?"), 0, 0)}) WHERE len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN.format(_DIGITS)}
+  UNION ALL SELECT * FROM ({_spans(3, r"\+[0-9][ ().0-9-]+[0-9]", 0, 0)}) WHERE len({_DIGITS}) BETWEEN 8 AND 15)),
+told AS (
+  SELECT * FROM ({_spans(4, "[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19}", 0, 0)}) WHERE m[1] IN ('3', '4', '5', '6') AND {_LUHN.format(_DIGITS)}
+  UNION ALL SELECT doc_id, kind, s, s + len(m) AS e, m FROM (SELECT doc_id, kind, s, m[1:list_filter(range(1, len(m) + 1), lambda i: m[i] <> ' ')[{_SIZE_OF}]] AS m FROM ({_spans(5, "[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}", 0, 0)}) WHERE {_SIZE_OF} BETWEEN 1 AND len({_ACCOUNT})) WHERE {_MOD97}
+  UNION ALL SELECT * FROM ({_spans(6, "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0, 0)}) WHERE NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$')
+  UNION ALL SELECT * FROM ({_spans(7, r"\(?[0-9]{3,5}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}", 0, 0)}) WHERE len({_DIGITS}) BETWEEN 9 AND 12
+  UNION ALL {_spans(8, "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}", 0, 0)}),
+more AS (SELECT doc_id, kind, s, e FROM told JOIN docs USING (doc_id) WHERE NOT regexp_matches(CASE WHEN s = 0 THEN '' ELSE substr(text, s, 1) END || substr(text, e + 1, 1), '[0-9A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = told.doc_id AND b.s < told.e AND b.e > told.s)),
+near AS (SELECT *, {_LOWER.format("substr(text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || ' | ' || substr(text, e + 1, 20)")} AS near FROM (SELECT * FROM base UNION ALL SELECT * FROM more) JOIN docs USING (doc_id)),
+scored AS (SELECT doc_id, kind, s, e, least(1, greatest(0, {[round(100 * (r.prior + r.checksum)) for r in PII_RULES.values()]}[kind + 1] + CASE WHEN {_SAID} THEN 30 ELSE 0 END - CASE WHEN regexp_matches(near, '(?:^|[^a-z])(?:{OTHER})(?:[^a-z]|$)') THEN 30 ELSE 0 END) / 100) AS score FROM near),
+found AS (SELECT * FROM scored WHERE kind < 4 OR score >= 0.5),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS {k}" for i, k in enumerate(("n_email", "n_ip", "n_card", "n_phone")))}, count(*) FILTER (kind > 3) AS n_more,
+  string_agg({_PII_KINDS} || ':' || s || ':' || e, ',' ORDER BY kind, s) FILTER (kind < 4) AS b, string_agg({_PII_KINDS} || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans, string_agg(printf('%.2f', score), ',' ORDER BY kind, s) AS scores FROM found GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce({k}, 0) AS {k}" for k in ("n_email", "n_ip", "n_card", "n_phone", "n_more"))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM docs LEFT JOIN a USING (doc_id)"""
+
+# spelling variants: words that agree without one letter
+
+SPELLING = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY 1, 2),
+x AS (SELECT w, c, hex(encode(doc_id || ':' || w)) AS x FROM g),
+h AS (SELECT w, c, {_CRC8.format("x")} AS h FROM x),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, sum(c)::BIGINT AS n FROM h GROUP BY 1 HAVING len(word) >= 5 AND sum(c) >= 3),
+o AS (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(0, len(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM o a JOIN o b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT o.word, v.word, v.n FROM o JOIN v ON o.rest = v.word UNION SELECT v.word, o.word, o.n FROM o JOIN v ON o.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+ends AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"""
+
+ORACLES = {
+    "op2_ngram_jaccard_join": NEAR.strip(),
+    "op4_lm_scoring": LM.strip(),
+    "op5_url_filters": URLS.strip(),
+    "op6_secret_scans": SECRETS.strip(),
+    "op7_license_scans": LICENSES.strip(),
+    "op11_periodic_runs": RUNS.strip(),
+    "op12_pii": PII.strip(),
+    "op13_spelling_variants": SPELLING.strip(),
+}

@@ -13,8 +13,11 @@ from lodestone.llm.lm_scoring import score_texts
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.near_join import near_join
 from lodestone.llm.oracles import ORACLES
+from lodestone.llm.periodic_runs import find_runs, run_digest, with_periodic_tail
+from lodestone.llm.pii import find_pii, pii_digest
 from lodestone.llm.quality import quality_rules
 from lodestone.llm.secrets import ALPHABETS, scan_secrets
+from lodestone.llm.spelling import spelling_variants
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.toxicity import toxicity
 from lodestone.llm.url_filters import filter_urls
@@ -65,6 +68,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(find_runs(with_periodic_tail(_read(spark, sf_dir, "documents"))))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(_read(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"), slip=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_pii": op12_pii,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
