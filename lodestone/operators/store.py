@@ -5,6 +5,13 @@ accesses are events, written as Parquet in a folder for each project; the curren
 records are an aggregate of them, over one project's folder where one is asked for.
 An event's time is that of its writing, whatever created_at its record claims; events
 of one time are ordered by seq, which grows with every append.
+
+A compaction writes a base beside the events: those that still count, and the records
+folded from them.  A numbered version names the base and the files that it holds, and
+becomes the state by one rename (versions.Versions).  Readers fold only the events
+written since, with those of the base that concern the same records.  Folding takes
+least and greatest events alone, so events read twice change nothing: a compaction that
+breaks off, at whatever point, loses nothing, and events written meanwhile stay.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ from pyspark.sql import functions as F
 from lodestone import schema as S
 from lodestone.functions.text import entities, keywords, tags
 from lodestone.scratch import Cuts
+from lodestone.versions import Versions
 
 EVENTS = "event string, at string, seq bigint, " + S.ATOMS
 ACCESSES = "atom_id string, at string"
@@ -25,7 +33,12 @@ RECORD = ("content", "embedding", "project_id", "type", "scope", "refs", "create
 
 
 def snapshot(events: DataFrame, accesses: DataFrame | None = None) -> DataFrame:
-    """Current records: one aggregate over the events, one over the accesses.
+    """Current records: one aggregate over the events, one over the accesses."""
+    return accessed(fold(events), accesses)
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """Current records of some events, as if never accessed.
 
     The first insertion gives the record, the last invalidate or restore its
     validity, the last enrichment its metadata; a deletion removes it and all before
@@ -44,13 +57,28 @@ def snapshot(events: DataFrame, accesses: DataFrame | None = None) -> DataFrame:
     live = live.withColumn("r", F.when(F.col("deleted").isNull(), F.col("first")).otherwise(F.col("last")))
     marked = F.col("f").isNotNull() & (F.col("deleted").isNull() | (F.struct("f.at", "f.seq") > F.col("deleted")))
     live = live.select("id", "r.*", "metadata", "updated_at", F.coalesce(marked & (F.col("f.event") == "invalidate"), F.lit(False)).alias("invalidated"))
+    live = live.withColumns({"access_count": F.lit(0).cast("long"), "last_accessed": F.lit(None).cast("string")})
+    return live.select(*[c.split()[0] for c in S.ATOMS.split(", ")])
+
+
+def accessed(records: DataFrame, accesses: DataFrame | None) -> DataFrame:
+    """Folded records with their accesses counted."""
     if accesses is None:
-        counted = live.withColumns({"access_count": F.lit(0).cast("long"), "last_accessed": F.lit(None).cast("string")})
-    else:
-        read = accesses.groupBy(F.col("atom_id").alias("id")).agg(F.count("*").alias("access_count"), F.max("at").alias("last_accessed"))
-        counted = live.join(read, "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
-        counted = counted.withColumn("updated_at", F.greatest("updated_at", F.coalesce("last_accessed", F.lit(""))))
-    return counted.select(*[c.split()[0] for c in S.ATOMS.split(", ")])
+        return records
+    read = accesses.groupBy(F.col("atom_id").alias("id")).agg(F.count("*").alias("_n"), F.max("at").alias("_at"))
+    counted = records.join(read, "id", "left").withColumns({"access_count": F.coalesce("_n", F.lit(0)).cast("long"), "last_accessed": F.col("_at")})
+    return counted.withColumn("updated_at", F.greatest("updated_at", F.coalesce("_at", F.lit("")))).select(*records.columns)
+
+
+def needed(events: DataFrame) -> DataFrame:
+    """The events that fold to the same records, with whatever events may still come: the first and last insertion
+    of an id, its last mark, enrichment and deletion, and its last event."""
+    order, rest = F.struct("at", "seq"), [c.split()[0] for c in EVENTS.split(", ") if c.split()[0] != "id"]
+    of = lambda *names: F.when(F.col("event").isin(*names), order)
+    kept = {"a": (F.min_by, of("insert")), "b": (F.max_by, of("insert")), "c": (F.max_by, of("invalidate", "restore")), "d": (F.max_by, of("enrich")), "e": (F.max_by, of("delete")), "f": (F.max_by, order)}
+    ends = events.groupBy("id").agg(*[by(F.when(o.isNotNull(), F.struct(*rest)), o).alias(k) for k, (by, o) in kept.items()])
+    found = F.array_distinct(F.filter(F.array(*kept), lambda x: x.isNotNull()))
+    return ends.select("id", F.explode(found).alias("v")).select("id", "v.*").select(*[c.split()[0] for c in EVENTS.split(", ")])
 
 
 def prepared(batch: DataFrame, now: str) -> DataFrame:
@@ -94,22 +122,72 @@ class Store:
         w = rows.write.mode("append")
         (w.partitionBy(by) if by else w).parquet(f"{self.path}/{name}")
 
-    def events(self, project_id: str | None = None) -> DataFrame:
-        """All events, or those in one project's folder."""
-        rows = self.table("atom_events", EVENTS)
+    def _versions(self) -> Versions:
+        return Versions(self.spark, f"{self.path}/versions")
+
+    def _read(self, folder: str, fields: str, project_id: str | None) -> DataFrame:
+        rows = self.table(folder, fields).select(*[c.split()[0] for c in fields.split(", ")])
         return rows if project_id is None else rows.where(F.col("project_id") == project_id)
 
-    def atoms(self, project_id: str | None = None) -> DataFrame:
-        return snapshot(self.events(project_id), self.table("access_events", ACCESSES))
+    def _since(self, state: dict, project_id: str | None = None) -> DataFrame:
+        """Events that the base of a version doesn't hold."""
+        if not state.get("folded"):
+            return self._read("atom_events", EVENTS, project_id)
+        folder, held = f"{self.path}/atom_events", set(state["folded"])
+        new = [f"{folder}/{f}" for f in self._versions().files(folder) if f not in held]
+        if not new:
+            return self.spark.createDataFrame([], EVENTS)
+        rows = self.spark.read.schema(EVENTS).option("basePath", folder).parquet(*new).select(*[c.split()[0] for c in EVENTS.split(", ")])
+        return rows if project_id is None else rows.where(F.col("project_id") == project_id)
 
-    def compact(self, now: str) -> None:
-        """Replaces the events by one insert (and, where needed, one mark) for each current record, project by project."""
-        events, seq = self.events(), time.time_ns()
-        live = snapshot(events)
-        names = [c.split()[0] for c in EVENTS.split(", ")]
-        made = lambda rows, event, k: rows.select(*[F.lit(event).alias(n) if n == "event" else F.col("updated_at").alias(n) if n == "at" else F.lit(seq + k).alias(n) if n == "seq" else F.col(n) for n in names])
-        kept = Cuts(self.spark).cut(made(live, "insert", 0).unionByName(made(live.where("invalidated"), "invalidate", 1)))
-        kept.write.mode("overwrite").partitionBy("project_id").parquet(f"{self.path}/atom_events")
+    def events(self, project_id: str | None = None, version: int | None = None) -> DataFrame:
+        """All events that count, or those in one project's folder."""
+        _, state = self._versions().read(version)
+        since = self._since(state, project_id)
+        return self._read(f"{state['base']}/events", EVENTS, project_id).unionByName(since) if state else since
+
+    def atoms(self, project_id: str | None = None, version: int | None = None) -> DataFrame:
+        """Current records; version: with the base of that version, as long as it isn't vacuumed."""
+        _, state = self._versions().read(version)
+        since = self._since(state, project_id)
+        if state:
+            touched = since.select("id").distinct()
+            before = self._read(f"{state['base']}/events", EVENTS, project_id).join(touched, "id", "left_semi")
+            records = self._read(f"{state['base']}/records", S.ATOMS, project_id).join(touched, "id", "left_anti").unionByName(fold(before.unionByName(since)))
+        else:
+            records = fold(since)
+        return accessed(records, self.table("access_events", ACCESSES))
+
+    def compact(self) -> int:
+        """Folds all events into a new base; the number of the version that names it.  Others may write meanwhile."""
+        versions = self._versions()
+        number, state = versions.read()
+        folder = f"{self.path}/atom_events"
+        held = versions.files(folder)
+        new = [f"{folder}/{f}" for f in held if f not in set(state.get("folded", ()))]
+        parts = ([self.spark.read.schema(EVENTS).option("basePath", folder).parquet(*new)] if new else []) + ([self._read(f"{state['base']}/events", EVENTS, None)] if state else [])
+        if not new:
+            return number
+        base = f"bases/{uuid.uuid4().hex}"
+        events = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        self.append(f"{base}/events", needed(events), "project_id")
+        self.append(f"{base}/records", fold(self.table(f"{base}/events", EVENTS)), "project_id")
+        return versions.publish(number, {"base": base, "folded": held})
+
+    def vacuum(self) -> None:
+        """Deletes the event files that the base holds, and older bases.  Readers of older versions must have ended."""
+        versions = self._versions()
+        number, state = versions.read()
+        if not state:
+            return
+        for f in state["folded"]:
+            versions.delete(f"{self.path}/atom_events/{f}")
+        versions.publish(number, {"base": state["base"], "folded": []})
+        for old in versions.numbers():
+            if old < number:
+                if (base := versions.read(old)[1]["base"]) != state["base"]:
+                    versions.delete(f"{self.path}/{base}")
+                versions.delete(f"{versions.path}/{old:012d}.json")
 
     def edges(self) -> DataFrame:
         return self.table("kg_edges", S.EDGES)
@@ -126,9 +204,20 @@ class Store:
         return rows.groupBy(*key).agg(F.max_by(F.struct("last_seq", "last_cursor", "updated_at"), "updated_at").alias("r")).select(*key, "r.*")
 
     def insert(self, batch: DataFrame, now: str) -> None:
-        seq = self.events().agg(F.coalesce(F.max("row_seq") + 1, F.lit(0))).first()[0]
-        rows = prepared(batch, now).withColumn("row_seq", F.col("row_seq") + seq)
-        self.append("atom_events", rows.select(F.lit("insert").alias("event"), F.lit(now).alias("at"), F.lit(time.time_ns()).alias("seq"), *rows.columns), "project_id")
+        """Appends records.  Their row_seq is the time of the insertion, in nanoseconds, and then their place in the batch."""
+        at, rows = time.time_ns(), prepared(batch, now)
+        if not rows.isStreaming and rows.rdd.getNumPartitions() > 1:
+            # places follow the partitions of the written batch, so that every reader sees the same
+            rows = Cuts(self.spark).cut(rows)
+            part = F.shiftright("row_seq", 33)
+            sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+            before, total = {}, 0
+            for p, n in sizes:
+                before[p], total = total, total + n
+            first = self.spark.createDataFrame(list(before.items()) or [(0, 0)], "_p long, _first long")
+            rows = rows.join(F.broadcast(first), part == F.col("_p"), "left").withColumn("row_seq", F.col("_first") + F.col("row_seq") - F.shiftleft("_p", 33)).drop("_p", "_first")
+        rows = rows.withColumn("row_seq", F.col("row_seq") + at)
+        self.append("atom_events", rows.select(F.lit("insert").alias("event"), F.lit(now).alias("at"), F.lit(at).alias("seq"), *rows.columns), "project_id")
 
     def mark(self, ids: DataFrame, event: str, now: str, project_id: str | None = None) -> None:
         """Appends invalidate, restore, delete or enrich for ids (column id; for enrich also metadata).

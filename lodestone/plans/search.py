@@ -27,15 +27,16 @@ def _within(rows: DataFrame, session_id: str | None, tags: list[str] | None) ->
     return ids if ids.limit(MAX_WITHIN + 1).count() <= MAX_WITHIN else False
 
 
-def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, text_index: TextIndex | None = None, **weights: float) -> DataFrame:
+def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, text_index: TextIndex | None = None, everywhere: DataFrame | None = None, **weights: float) -> DataFrame:
     """Records with score and tier, best first.
 
     Without a query vector R1 and R3 fall back to R2, and rows say so.  Filters come
     before the tiers, so statistics are those of the filtered records.  Nothing is
-    written: record_access is a step of its own.  With a built index R1 reads the
-    project's vectors there; where sessions or tags filter, it keeps the index's rows
-    among the candidates, or scans these where they are more than MAX_WITHIN.  With a
-    text index that holds all candidates R2 reads postings instead of texts.
+    written: record_access is a step of its own.  With an index of the store that atoms
+    come from, R1 reads the project's nearest cells and what changed since; where sessions
+    or tags filter, it keeps the index's rows among the candidates, or scans these where
+    they are more than MAX_WITHIN.  With a text index R2 reads postings instead of texts.
+    everywhere: records of all projects, for graph neighbours, where atoms are one project's.
     """
     if project_id is None:
         raise ValueError("project_id is required")
@@ -45,10 +46,11 @@ def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_
     rows = retrieval.candidates(atoms, project_id, session_id, tags)
     if tier == "R0":
         out = retrieval.exact(rows, query, top_k)
-    elif tier == "R1" and vector is not None and index is not None and index.meta() is not None and (within := _within(rows, session_id, tags)) is not False:
-        out = index.nearest(vector, top_k, project_id=project_id, within=within).select(*atoms.columns, "score", "tier")
     elif tier == "R1" and vector is not None:
-        out = retrieval.cosine(rows, vector, top_k)
+        found = None
+        if index is not None and index.meta() is not None and (within := _within(rows, session_id, tags)) is not False:
+            found = index.nearest(vector, project_id, top_k, within=within)
+        out = retrieval.cosine(rows, vector, top_k) if found is None else found.select(*atoms.columns, "score", "tier")
     elif tier == "R3" and vector is not None:
         out = retrieval.fusion(rows, query, vector, top_k, strict, **weights)
     elif text_index is not None:
@@ -58,7 +60,7 @@ def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_
     if graph_expand:
         if edges is None:
             raise ValueError("graph_expand needs edges")
-        near = rows if strict_scope else atoms
+        near = rows if strict_scope else atoms if everywhere is None else everywhere
         out = graph.expand(out, near, edges, top_k, max(1, graph_depth))
     return out
 

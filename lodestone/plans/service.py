@@ -12,6 +12,7 @@ from lodestone import schema as S
 from lodestone.functions.enrichment import merged
 from lodestone.operators import admin, conflicts, graph, oplog, sync
 from lodestone.operators.store import Store, new_id
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import search as plan
 from lodestone.scratch import Cuts
 
@@ -29,6 +30,7 @@ class Service:
     def __init__(self, store: Store, clock: Callable[[], str], project_id: str | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, transport: sync.Transport | None = None, blinded_project_id: str | None = None, client_id: str = "local"):
         self.store, self.clock, self.bound, self.embed = store, clock, project_id, embed
         self.transport, self.blinded, self.client = transport, blinded_project_id, client_id
+        self.index = VectorIndex(store)
 
     def call(self, name: str, **args) -> dict:
         endpoints = ("write", "search", "get", "list", "invalidate", "flush", "stats", "push", "pull", "prime", "receipts", "gc", "graph")
@@ -72,8 +74,8 @@ class Service:
     def search(self, query: str, project_id: str | None = None, tier: str = "R3", top_k: int = 10, scope: str | None = None, record: bool = True, **how) -> dict:
         project = self._project(project_id)
         if how.get("graph_expand"):
-            how["edges"] = self.store.edges()
-        found = plan.search_in_scope(scope, self.store.atoms(), query, project, top_k, tier=tier, vector=self._vector(query), **how)
+            how |= {"edges": self.store.edges(), "everywhere": None if how.get("strict_scope") else self.store.atoms()}
+        found = plan.search_in_scope(scope, self.store.atoms(project), query, project, top_k, tier=tier, vector=self._vector(query), index=self.index, **how)
         rows = [r.asDict(True) for r in plan.hits(found).collect()]
         if record and rows:
             self.store.record_access(self.store.spark.createDataFrame([(r["id"],) for r in rows], "id string"), self.clock())
@@ -87,14 +89,16 @@ class Service:
         return {"found": True, "record": row.asDict(True)}
 
     def list(self, project_id: str | None = None, scope: str | None = None, include_invalidated: bool = False, limit: int | None = None) -> dict:
-        rows = admin.in_scope(scope, self.store.atoms(), self._project(project_id), None, include_invalidated, limit)
+        rows = admin.in_scope(scope, self.store.atoms(self._project(project_id)), self._project(project_id), None, include_invalidated, limit)
         return {"records": [r.asDict(True) for r in rows.select(*admin.PUBLIC).collect()]}
 
     def invalidate(self, id: str, project_id: str | None = None) -> dict:
-        if not self.get(id, project_id)["found"]:
+        found = self.get(id, project_id)
+        if not found["found"]:
             return {"found": False}
-        self.store.mark(self.store.spark.createDataFrame([(id,)], "id string"), "invalidate", self.clock())
-        self._log(self.store.atoms().where(F.col("id") == id))
+        project = found["record"]["project_id"]
+        self.store.mark(self.store.spark.createDataFrame([(id,)], "id string"), "invalidate", self.clock(), project)
+        self._log(self.store.atoms(project).where(F.col("id") == id))
         return {"found": True, "invalidated": True}
 
     def flush(self, project_id: str | None = None, enrich: Enricher | None = None) -> dict:
@@ -147,7 +151,8 @@ class Service:
     def prime(self, project_id: str | None = None, topic: str | None = None, top_k: int = 8) -> dict:
         if topic is not None:
             _require(isinstance(topic, str) and len(topic) <= S.MAX_TOPIC_CHARS, "topic must be a text of at most 1000 characters")
-        return plan.prime(self.store.atoms(), project_id or self.bound, topic, top_k, vector=self._vector(topic or plan.DEFAULT_TOPIC))
+        project = project_id or self.bound
+        return plan.prime(self.store.atoms(project), project, topic, top_k, index=self.index, vector=self._vector(topic or plan.DEFAULT_TOPIC))
 
     def receipts(self, project_id: str | None = None, op: str | None = None, limit: int = 100, form: str = "json") -> dict:
         _require(op in (None, "write", "invalidate"), "op must be write or invalidate")
@@ -170,12 +175,13 @@ class Service:
 
     def graph(self, entity: str, project_id: str | None = None, max_depth: int = 2, edge_types: list[str] | None = None, top_k: int = 3) -> dict:
         """The subgraph around a record, or around what a search for the entity finds."""
-        project, atoms = self._project(project_id), self.store.atoms()
+        project, everywhere = self._project(project_id), self.store.atoms()
+        atoms = self.store.atoms(project)
         _require(edge_types is None or set(edge_types) <= set(S.EDGE_TYPES), "unknown edge type")
         roots = atoms.where((F.col("id") == entity) & (F.col("project_id") == project)).select(F.col("id").alias("root"))
         if roots.first() is None:
-            roots = plan.search(atoms, entity, project, top_k=top_k, vector=self._vector(entity)).select(F.col("id").alias("root"))
-        nodes, edges = graph.traverse(self.store.edges(), atoms, roots, max_depth, edge_types)
+            roots = plan.search(atoms, entity, project, top_k=top_k, vector=self._vector(entity), index=self.index).select(F.col("id").alias("root"))
+        nodes, edges = graph.traverse(self.store.edges(), everywhere, roots, max_depth, edge_types)
         return {"nodes": [r.asDict(True) for r in nodes.select(*admin.PUBLIC).collect()], "edges": [r.asDict() for r in edges.collect()]}
 
 

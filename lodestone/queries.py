@@ -208,6 +208,28 @@ def knn_project(spark, d):
     return s.withColumn("rank", rank).where("rank <= 3").select("id", "project_id", "rank", F.round("s", 6).alias("score"))
 
 
+@query("r1_index", f"WITH {ATOMS}, cand AS (SELECT * FROM atoms WHERE project_id = '{PROJECT}' AND row_seq // 20 % 5 <> 1 AND row_seq // 20 % 7 <> 2), {COS} " + _RANK.format("R1", "x.s", "cos", 20))
+def r1_index(spark, d):
+    """R1 over an index, with records inserted, invalidated and deleted after its build, some before and some after an update."""
+    from lodestone.operators.store import Store
+    from lodestone.operators.vector_index import VectorIndex
+    from lodestone.scratch import Cuts
+
+    cuts = Cuts(spark)
+    s, a = Store(spark, f"{cuts.base}/store"), cuts.cut(S.atoms(spark, d).select("id", "content", "embedding", "project_id", "type", "scope", "created_at", F.expr("row_seq div 20").alias("k")))
+    s.insert(a.where("k % 3 > 0").drop("k"), "2024-01-01T00:00:00.000Z")
+    index = VectorIndex(s, threshold=10)
+    index.build()
+    s.insert(a.where("k % 6 = 0").drop("k"), "2024-01-02T00:00:00.000Z")
+    s.mark(a.where("k % 5 = 1 AND k % 6 <> 3").select("id"), "invalidate", "2024-01-03T00:00:00.000Z")
+    index.update()
+    s.insert(a.where("k % 6 = 3").drop("k"), "2024-01-04T00:00:00.000Z")
+    s.mark(a.where("k % 5 = 1 AND k % 6 = 3").select("id"), "invalidate", "2024-01-05T00:00:00.000Z")
+    s.mark(a.where("k % 7 = 2").select("id"), "delete", "2024-01-05T00:00:00.000Z")
+    # 20 neighbours are more than the build measures, so all cells are read
+    return _scored(plan.search(s.atoms(PROJECT), "", PROJECT, "R1", 20, vector=_vector(spark, d), index=index))
+
+
 def _r2(name: str, text: str, parts: list[str], condition: str, strict: bool = True) -> None:
     @query(name, f"WITH {ATOMS}, {CAND}, {bm25_sql(parts, condition)} " + _RANK.format("R2", "x.s", "bm", 10))
     def run(spark, d):
@@ -622,6 +644,27 @@ def store_snapshot(spark, d):
     return s.atoms().select("id", "content", "project_id", "created_at", "invalidated")
 
 
+@query("store_compacted", f"WITH {ATOMS} SELECT id, content, project_id, created_at, row_seq % 4 = 1 AS invalidated FROM atoms WHERE row_seq % 9 <> 8 OR row_seq % 2 = 0")
+def store_compacted(spark, d):
+    """Records through a store that is compacted between its writes, and vacuumed once."""
+    from lodestone.operators.store import Store
+    from lodestone.scratch import Cuts
+
+    s, a = Store(spark, Cuts(spark).base), S.atoms(spark, d)
+    batch = lambda which: a.where(which).select("id", "content", "project_id", "type", "scope", "created_at", "session_id")
+    s.insert(batch("row_seq % 5 > 0"), "2024-01-01T00:00:00.000Z")
+    s.compact()
+    s.insert(batch("row_seq % 5 = 0"), "2024-01-01T00:00:00.000Z")
+    s.mark(a.where("row_seq % 4 in (1, 2)").select("id"), "invalidate", "2024-02-01T00:00:00.000Z")
+    s.compact()
+    s.vacuum()
+    s.mark(a.where("row_seq % 4 = 2").select("id"), "restore", "2024-02-01T00:00:00.000Z")
+    s.mark(a.where("row_seq % 9 = 8").select("id"), "delete", "2024-03-01T00:00:00.000Z")
+    s.compact()
+    s.insert(batch("row_seq % 9 = 8 and row_seq % 2 = 0"), "2024-04-01T00:00:00.000Z")
+    return s.atoms().select("id", "content", "project_id", "created_at", "invalidated")
+
+
 @query("vector_norms", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM embeddings")
 def vector_norms(spark, d):
     return S.read(spark, d, "embeddings").select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm2"))

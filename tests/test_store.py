@@ -92,10 +92,109 @@ def test_events_are_ordered_by_writing(spark, tmp_path):
     assert state()["b"] == ("again", False)
     before = sorted(map(repr, s.atoms().drop("row_seq").collect()))
     n = s.events().count()
-    s.compact("2024-06-07T00:00:00.000Z")
+    assert s.compact() == 1
     assert sorted(map(repr, s.atoms().drop("row_seq").collect())) == before and s.events().count() < n
 
 
+def _state(s, project=None, version=None):
+    return sorted(map(repr, s.atoms(project, version).collect()))
+
+
+def _changes(spark, s, k):
+    """Inserts, marks, deletions and enrichments of round k, over two projects."""
+    now = f"2024-06-{k:02d}T00:00:00.000Z"
+    s.insert(spark.createDataFrame([(f"r{k}_{i}", f"text {k} {i}", f"p{i % 2}", now) for i in range(6)], FIELDS).repartition(2), now)
+    which = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    s.mark(which(f"r{k}_0", f"r{k}_1"), "invalidate", now)
+    s.mark(which(f"r{k}_1", f"r{max(1, k - 1)}_2"), "restore", now)
+    s.mark(which(f"r{k}_3", f"r{max(1, k - 1)}_4"), "delete", now)
+    s.mark(spark.createDataFrame([(f"r{max(1, k - 1)}_5", f'{{"k": {k}}}')], "id string, metadata string"), "enrich", now)
+    s.insert(spark.createDataFrame([(f"r{max(1, k - 1)}_4", f"again {k}", "p0", now)], FIELDS), now)
+
+
+def test_compaction_changes_no_record(spark, tmp_path):
+    """After each round one store is compacted, another isn't: both give the same records, whole and by project."""
+    a, b = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    for k in range(1, 4):
+        _changes(spark, a, k)
+        b.append("atom_events", a._since({}).where(F.col("at") == f"2024-06-{k:02d}T00:00:00.000Z"), "project_id")
+        a.record_access(spark.createDataFrame([("r1_5",)], "id string"), "2024-07-01T00:00:00.000Z")
+        b.record_access(spark.createDataFrame([("r1_5",)], "id string"), "2024-07-01T00:00:00.000Z")
+        assert _state(a) == _state(b)
+        assert a.compact() == 2 * k - 1 and a.compact() == 2 * k - 1  # nothing new: no version
+        assert _state(a) == _state(b) and _state(a, "p1") == _state(b, "p1")
+        a.vacuum()
+        assert _state(a) == _state(b) and a.events().count() < b.events().count()
+        assert a._since(a._versions().read()[1]).count() == 0
+    assert len(list((tmp_path / "a" / "bases").iterdir())) == 1
+
+
+def test_readers_pin_a_version(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    _changes(spark, s, 1)
+    s.compact()
+    pinned = s.atoms(version=1)
+    _changes(spark, s, 2)
+    s.compact()
+    assert _state(s, version=1) == _state(s) and s.atoms(version=1).count() == s.atoms(version=2).count()
+    assert pinned.where("id like 'r1%'").count() > 0  # planned before the second compaction, read after it
+
+
+@pytest.mark.parametrize("point", ["needed", "fold", "publish"])
+def test_a_compaction_that_dies_loses_nothing(spark, tmp_path, monkeypatch, point):
+    from lodestone.operators import store as module
+    from lodestone.versions import Versions
+
+    s = Store(spark, str(tmp_path))
+    _changes(spark, s, 1)
+    want = _state(s)
+
+    def dies(*a):
+        raise SystemExit("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(Versions if point == "publish" else module, point, dies)
+        with pytest.raises(SystemExit):
+            s.compact()
+    assert _state(Store(spark, str(tmp_path))) == want
+    s.compact()
+    assert _state(s) == want
+
+
+def test_events_written_during_a_compaction_stay(spark, tmp_path, monkeypatch):
+    from lodestone.versions import Conflict, Versions
+
+    s, publish = Store(spark, str(tmp_path)), Versions.publish
+    _changes(spark, s, 1)
+
+    def late(self, after, state):
+        with monkeypatch.context() as m:
+            m.setattr(Versions, "publish", publish)
+            _changes(spark, s, 2)
+        return publish(self, after, state)
+
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "publish", late)
+        s.compact()
+    want = _state(s)
+    assert {r.id for r in s.atoms().collect()} >= {"r2_0", "r2_1", "r2_2", "r2_5", "r1_4"}
+    s.vacuum()
+    assert _state(s) == want
+    s.compact()
+    assert _state(s) == want
+    with pytest.raises(Conflict):
+        s._versions().publish(0, {})
+
+
+def test_rows_are_numbered_by_time_and_place(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    rows = [(f"{i:04d}", "x", "p", NOW) for i in range(300)]
+    s.insert(spark.createDataFrame(rows[:200], FIELDS).repartitionByRange(7, "id").sortWithinPartitions("id"), NOW)
+    s.insert(spark.createDataFrame(rows[200:], FIELDS).coalesce(1), NOW)
+    found = [r.row_seq for r in s.atoms().orderBy("id").collect()]
+    assert found == sorted(set(found)) and found[199] - found[0] == 199 and found[299] - found[200] == 99
+
+
 def test_a_project_is_read_from_its_own_folder(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     s.insert(spark.createDataFrame([(f"a{i}", "x", f"p{i % 3}", NOW) for i in range(9)] + [("none", "x", None, NOW)], FIELDS), NOW)
