@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import admin, graph, retrieval
+from lodestone.operators.adjacency import Adjacency
 from lodestone.operators.text_index import TextIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.schema import check_top_k
@@ -27,7 +28,7 @@ def _within(rows: DataFrame, session_id: str | None, tags: list[str] | None) ->
     return ids if ids.limit(MAX_WITHIN + 1).count() <= MAX_WITHIN else False
 
 
-def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, text_index: TextIndex | None = None, everywhere: DataFrame | None = None, **weights: float) -> DataFrame:
+def search(atoms: DataFrame, query: str, project_id: str, tier: str = "R3", top_k: int = 10, *, vector: list[float] | None = None, session_id: str | None = None, tags: list[str] | None = None, edges: DataFrame | Adjacency | None = None, graph_expand: bool = False, graph_depth: int = 1, strict: bool = True, strict_scope: bool = False, index: VectorIndex | None = None, text_index: TextIndex | None = None, everywhere: DataFrame | None = None, **weights: float) -> DataFrame:
     """Records with score and tier, best first.
 
     Without a query vector R1 and R3 fall back to R2, and rows say so.  Filters come

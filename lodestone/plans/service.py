@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone import schema as S
 from lodestone.functions.enrichment import merged
 from lodestone.operators import admin, conflicts, graph, oplog, sync
+from lodestone.operators.adjacency import Adjacency
 from lodestone.operators.store import Store, new_id
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import search as plan
@@ -30,7 +31,7 @@ class Service:
     def __init__(self, store: Store, clock: Callable[[], str], project_id: str | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, transport: sync.Transport | None = None, blinded_project_id: str | None = None, client_id: str = "local"):
         self.store, self.clock, self.bound, self.embed = store, clock, project_id, embed
         self.transport, self.blinded, self.client = transport, blinded_project_id, client_id
-        self.index = VectorIndex(store)
+        self.index, self.adjacency = VectorIndex(store), Adjacency(store)
 
     def call(self, name: str, **args) -> dict:
         endpoints = ("write", "search", "get", "list", "invalidate", "flush", "stats", "push", "pull", "prime", "receipts", "gc", "graph")
@@ -74,7 +75,7 @@ class Service:
     def search(self, query: str, project_id: str | None = None, tier: str = "R3", top_k: int = 10, scope: str | None = None, record: bool = True, **how) -> dict:
         project = self._project(project_id)
         if how.get("graph_expand"):
-            how |= {"edges": self.store.edges(), "everywhere": None if how.get("strict_scope") else self.store.atoms()}
+            how |= {"edges": self.adjacency, "everywhere": None if how.get("strict_scope") else self.store.atoms()}
         found = plan.search_in_scope(scope, self.store.atoms(project), query, project, top_k, tier=tier, vector=self._vector(query), index=self.index, **how)
         rows = [r.asDict(True) for r in plan.hits(found).collect()]
         if record and rows:
@@ -181,7 +182,7 @@ class Service:
         roots = atoms.where((F.col("id") == entity) & (F.col("project_id") == project)).select(F.col("id").alias("root"))
         if roots.first() is None:
             roots = plan.search(atoms, entity, project, top_k=top_k, vector=self._vector(entity), index=self.index).select(F.col("id").alias("root"))
-        nodes, edges = graph.traverse(self.store.edges(), everywhere, roots, max_depth, edge_types)
+        nodes, edges = graph.traverse(self.adjacency, everywhere, roots, max_depth, edge_types)
         return {"nodes": [r.asDict(True) for r in nodes.select(*admin.PUBLIC).collect()], "edges": [r.asDict() for r in edges.collect()]}
 
 

@@ -402,6 +402,21 @@ def bfs_2(spark, d):
     return graph.reach(S.edges(spark, d), spark.createDataFrame([("d1",)], "root string"), 2).where("depth > 0").select("id", "depth")
 
 
+@query("bfs_6", f"WITH {EDGES}, {_bfs(6)} " + " UNION ALL ".join(f"SELECT id, {n} AS depth FROM l{n}" for n in range(1, 7)))
+def bfs_6(spark, d):
+    """Depth 6 over an adjacency table, a fifth of the edges written after it was built."""
+    from lodestone.operators.adjacency import Adjacency
+    from lodestone.operators.store import Store
+    from lodestone.scratch import Cuts
+
+    store, edges = Store(spark, Cuts(spark).base), S.edges(spark, d)
+    store.append("kg_edges", edges.where("id % 5 > 0"))
+    table = Adjacency(store)
+    table.build()
+    store.append("kg_edges", edges.where("id % 5 = 0"))
+    return graph.reach(table, spark.createDataFrame([("d1",)], "root string"), 6).where("depth > 0").select("id", "depth")
+
+
 @query("bfs_typed", f"WITH {ATOMS}, {EDGES}, {_bfs(3, " AND edge_type IN ('blocks', 'causal', 'depends_on')")} SELECT a.id, a.type FROM atoms a WHERE id IN (SELECT id FROM l1 UNION SELECT id FROM l2 UNION SELECT id FROM l3)")
 def bfs_typed(spark, d):
     return graph.connected(S.edges(spark, d), S.atoms(spark, d), "d1", 3, ["blocks", "causal", "depends_on"]).select("id", "type")
