@@ -106,6 +106,18 @@ def held_out(key: str, folds: int):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 1, F.lit(False))
 
 
+def share(what: str, *columns: str, seed: int, part: int, whole: int):
+    """True for about part of whole distinct values of the columns, by a hash that is as fine as the share is small."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 62)) < threshold(part, whole, what)
+
+
+def threshold(part: int, whole: int, what: str = "rows") -> int:
+    found = (1 << 62) * part // whole
+    if not found:
+        raise ValueError(f"no sample of {part} of {whole} {what}")
+    return found
+
+
 def labelled_sample(labels: DataFrame, key: str, label: str, folds: int | None, limit: int) -> DataFrame:
     """(key, y) of at most about limit learnable ids, chosen by a hash of the id.
 
@@ -121,7 +133,9 @@ def labelled_sample(labels: DataFrame, key: str, label: str, folds: int | None,
     )
     total = one.count()
     if total > limit:
-        one = one.where(F.pmod(F.xxhash64("_key", F.lit(17)), F.lit(1 << 20)) < int((1 << 20) * limit / total))
+        one = one.where(share("labelled ids", "_key", seed=17, part=limit, whole=total))
+        if one.isEmpty():
+            raise ValueError(f"a sample of {limit} of {total} labelled ids is empty")
     return one
 
 
@@ -135,7 +149,9 @@ def sampled(docs: DataFrame, key: str, text: str, sample: DataFrame, max_bytes:
     rows = cuts.cut(docs.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_key"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > max_bytes:
-        rows = rows.where(F.pmod(F.xxhash64("_key", "text", F.lit(18)), F.lit(1 << 20)) < int((1 << 20) * max_bytes / total)).dropDuplicates(["_key", "text"])
+        rows = rows.where(share("bytes of labelled texts", "_key", "text", seed=18, part=max_bytes, whole=total)).dropDuplicates(["_key", "text"])
+        if rows.isEmpty():
+            raise ValueError(f"a sample of {max_bytes} of {total} bytes of labelled texts is empty")
     return rows
 
 
