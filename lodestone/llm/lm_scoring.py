@@ -24,9 +24,8 @@ frequent n-gram is pre-aggregated, and go to buckets of the key space, which add
 counts up and answer with the sum and whether several blocks asked.  With more than FAN buckets requests go through a level between: groups of
 blocks merge theirs, ask the buckets and hand the answers down, so that neither a
 bucket hears of all blocks nor a block of all buckets.  A block then compiles the
-part of the automaton that its texts can reach and traverses them.  Keys are hashes,
-shuffled as packed arrays: of 64 bits for words, and for bigrams and trigrams of as
-many as the size of the texts asks for (key_bits).
+part of the automaton that its texts can reach and traverses them.  Keys are hashes
+of 64 bits, shuffled as packed arrays.
 
 Edge cases: a null text is an empty one, whose only token is the end; texts whose
 id is null are learnt from and not held out; repeated rows count each; keys may be
@@ -97,8 +96,7 @@ class Grams:
 class Block:
     """The token sequences of a block's texts, and their words, bigrams and trigrams."""
 
-    def __init__(self, table: pa.Table, bits: int = 64):
-        self.kept = _U((1 << 64) - (1 << 64 - bits))  # of the keys of bigrams and trigrams
+    def __init__(self, table: pa.Table):
         self.learn = table.column("learn").to_numpy(zero_copy_only=False).astype(bool)
         words, rows, base = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
         for part in T.slices(table.select(["text"])):
@@ -129,7 +127,7 @@ class Block:
         codes, pair = np.unique(before * (n + 1) + at, return_inverse=True)
         left, right, m = codes // (n + 1), codes % (n + 1), T.multipliers(2, 77)
         known = np.append(self.words.keys, _BEGIN)
-        return Grams(T.mix(known[left] * m[0] + known[right] * m[1]) & self.kept, np.bincount(pair[self.on], minlength=len(codes)), pair, left, right)
+        return Grams(T.mix(known[left] * m[0] + known[right] * m[1]), np.bincount(pair[self.on], minlength=len(codes)), pair, left, right)
 
     def triples(self, pairs: Grams) -> Grams:
         """Trigrams: of each token but a text's first, with the bigrams that end before it and in it."""
@@ -137,7 +135,7 @@ class Block:
         codes, triple = np.unique(pairs.at[at - 1] * max(1, len(pairs.keys)) + pairs.at[at], return_inverse=True)
         left, right, m = codes // max(1, len(pairs.keys)), codes % max(1, len(pairs.keys)), T.multipliers(3, 78)
         known = np.append(self.words.keys, _BEGIN)
-        keys = T.mix(known[pairs.left[left]] * m[0] + known[pairs.left[right]] * m[1] + known[pairs.right[right]] * m[2]) & self.kept
+        keys = T.mix(known[pairs.left[left]] * m[0] + known[pairs.left[right]] * m[1] + known[pairs.right[right]] * m[2])
         whole = np.full(len(self.row), -1)
         whole[at] = triple
         return Grams(keys, np.bincount(triple[self.on[at]], minlength=len(codes)), whole, left, right)
@@ -292,7 +290,7 @@ def _answered(answers: pa.Table) -> dict[int, np.ndarray]:
     return {k: np.concatenate(x) for k, x in found.items()}
 
 
-def _ask(buckets: int, bits: int):
+def _ask(buckets: int):
     """A block's next requests; what it knows already goes to itself (dest < 0), to come back beside the answers."""
 
     def first(texts: pa.Table) -> pa.Table:
@@ -302,7 +300,7 @@ def _ask(buckets: int, bits: int):
         if not texts.num_rows:
             raise RuntimeError("answers for a block without texts")
         texts = texts.combine_chunks()
-        number, block = texts.column("block")[0].as_py(), Block(texts, bits)
+        number, block = texts.column("block")[0].as_py(), Block(texts)
         got = _answered(answers) if answers is not None else {}
         grams, _, wanted = block.known(got)
         keys, own, _ = grams[-1].ask(wanted)
@@ -368,11 +366,6 @@ def _hand_down(table: pa.Table, answers: pa.Table) -> pa.Table:
     return kept.append_column("counts", pa.array([pack_counts(sums[place[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
 
 
-def key_bits(size: int) -> int:
-    """Whole bytes, such that an n-gram's key meets another's with a chance of about one in ten thousand at most."""
-    return min(64, 48 + 8 * max(0, -(-(size.bit_length() - 37) // 8)))
-
-
 def _resolve(asked: DataFrame, buckets: int, fan: int, size: int) -> tuple[DataFrame, DataFrame]:
     """(answers, the requests as the buckets got them)."""
     if buckets <= fan:
@@ -385,12 +378,12 @@ def _resolve(asked: DataFrame, buckets: int, fan: int, size: int) -> tuple[DataF
     return dealt.groupBy("dest", "part").cogroup(up.groupBy("dest", "part")).applyInArrow(_hand_down, ANSWER), merged
 
 
-def _score(priors: tuple[float, float], bits: int):
+def _score(priors: tuple[float, float]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             raise RuntimeError("answers for a block without texts")
         texts = texts.combine_chunks()
-        block = Block(texts, bits)
+        block = Block(texts)
         grams, counts, _ = block.known(_answered(answers.select(["level", "bucket", "counts"])))
         n, v = answers.column("n")[0].as_py(), answers.column("v")[0].as_py()
         score = compiled(block, grams, counts, n, v, priors).traverse(block.row, block.rows)
@@ -414,8 +407,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     # rows that are equal are spread too, by where they stand in their file
     block = F.pmod(F.xxhash64(key, text, F.shiftright(F.monotonically_increasing_id(), 6)), F.lit(blocks))
     dealt = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~held_out(key, folds)).alias("learn"), block.alias("block"))
-    bits = key_bits(size)
-    first, after = _ask(min(buckets, fan), bits)
+    first, after = _ask(min(buckets, fan))
     answers, totals = None, None
     for order in (1, 2, 3):
         if order == 1:
@@ -430,4 +422,4 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     answers = answers.crossJoin(F.broadcast(totals))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(priors, bits), schema).withColumnRenamed("k", key)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(priors), schema).withColumnRenamed("k", key)

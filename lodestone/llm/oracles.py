@@ -27,7 +27,7 @@ deg AS (SELECT a AS rep, sum(c)::BIGINT AS docs, count(*) AS classes FROM links
 SELECT doc_id, rep AS copy_id, coalesce(class_id, rep) AS class_id, n_copies, n_copies - 1 + coalesce(docs, 0) AS n_links, coalesce(classes, 0) AS n_class_links
 FROM cls LEFT JOIN comp USING (rep) LEFT JOIN deg USING (rep)"""
 
-# URL filters: markup edges and canonical forms, components by a recursive query
+# URL filters: markup edges, components by a recursive query
 
 _HOST, _PATH = "lower(regexp_extract({0}, '^[^:]*?://([^/?#]*)', 1))", "regexp_extract({0}, '^[^:]*?://[^/?#]*([^?#]*)', 1)"
 
@@ -37,9 +37,6 @@ def _rule(field: int, host: str = "host", path: str = "path") -> str:
     return f"CASE{cases} END"
 
 
-_CANONICAL = "'canonical:' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|/index\\.html?|\\.html?)$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
-
-
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -74,7 +71,7 @@ split AS (SELECT *, regexp_extract(t, '^([^?#]*)', 1) AS own, regexp_extract(t,
 links AS (SELECT url AS a, CASE WHEN t = '' OR starts_with(t, '#') THEN NULL WHEN regexp_matches(t, '(?i)^https?://') THEN regexp_extract(t, '^([^:]*://[^/?#]*)', 1) || {_flat("beyond")} || rest WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
   WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || regexp_extract(t, '^(//[^/?#]*)', 1) || {_flat("across")} || rest WHEN starts_with(t, '/') THEN origin || {_flat("own")} || rest
   WHEN starts_with(t, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || t ELSE origin || {_flat("(folder || own)")} || rest END AS b FROM split),
-e AS (SELECT url AS a, {_CANONICAL} AS b FROM p WHERE host <> '' UNION SELECT a, b FROM links WHERE b IS NOT NULL),
+e AS (SELECT DISTINCT a, b FROM links WHERE b IS NOT NULL),
 both AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
 """
 URLS = (

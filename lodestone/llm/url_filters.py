@@ -13,7 +13,8 @@ paths: from there up to "?", "#" or the end.
 Edges are read from the markup: every link tag with canonical among its rel values
 and every meta refresh, their targets in any form (absolute, protocol-relative, from
 the root, relative, query only, with entities) resolved against the page's URL; and
-each URL is linked to its canonical form (canonical_form), its query included.
+with forms each URL is also linked to its canonical form (canonical_form), its query
+included; that is a guess, which the query doesn't make.
 
 Edge cases: null markup has no links; other schemes (mailto and so on) make no edge; a URL of null or without "://" has an empty host and path, fits no
 rule, has no aliases and is allowed; repeated rows are judged each; of two rules
@@ -106,13 +107,14 @@ def attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, rf"(?i)[\s\"'/]{name}\s*=\s*{ATTRIBUTE}", g) for g in (1, 2, 3)])
 
 
-def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) between URLs: canonical links and meta refreshes in the markup, and each URL's canonical form."""
+def page_edges(pages: DataFrame, url: str = "url", html: str = "html", forms: bool = False) -> DataFrame:
+    """Edges (a, b) between URLs: canonical links and meta refreshes in the markup; with forms also each URL's canonical form, a guess."""
     u, h = F.col(url), F.coalesce(F.col(html), F.lit(""))
     links = F.filter(F.regexp_extract_all(h, F.lit(LINK_TAG), F.lit(0)), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
     metas = F.filter(F.regexp_extract_all(h, F.lit(META_TAG), F.lit(0)), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
     to = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(metas, lambda t: F.regexp_extract(attribute(t, "content"), REFRESH, 1)))
-    targets = F.array_compact(F.concat(F.array(F.concat(F.lit("canonical:"), canonical_form(u))), F.transform(to, lambda t: resolved(u, t))))
+    told = F.transform(to, lambda t: resolved(u, t))
+    targets = F.array_compact(F.concat(F.array(F.concat(F.lit("canonical:"), canonical_form(u))), told) if forms else told)
     return pages.where(F.instr(u, "://") > 0).select(u.alias("a"), F.explode(targets).alias("b"))
 
 
@@ -125,15 +127,15 @@ def match_rules(host: Column, path: Column, rules=RULES) -> Column:
     return best
 
 
-def filter_urls(pages: DataFrame, edges: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, edges: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, forms: bool = False) -> DataFrame:
     """(key, host, path, rule, verdict, aliased) of every page; aliased: the verdict came from an alias.
 
-    edges: (a, b) pairs of URLs; without them those of page_edges are taken.
+    edges: (a, b) pairs of URLs; without them those of page_edges are taken (forms: see there).
     """
     cuts = Cuts(pages.sparkSession)
     judged = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = judged.withColumn("m", match_rules(F.col("host"), F.col("path"), rules)).select("k", "u", "host", "path", "m.rule", "m.action")
-    found = connected_components(page_edges(pages, url, html) if edges is None else edges, cuts)
+    found = connected_components(page_edges(pages, url, html, forms) if edges is None else edges, cuts)
     # what each component holds: first by URL (an alias outside the table is judged by its own rule too)
     action = match_rules(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
     held = found.groupBy("component").agg(F.max((action == "allow").cast("int")).alias("allow"), F.max((action == "block").cast("int")).alias("block"))
