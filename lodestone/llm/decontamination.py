@@ -7,9 +7,10 @@ All items at or above a threshold are retrieved: block-max WAND skips items whos
 terms' (and blocks') greatest impacts can't reach it.  A retrieved item leaks if
 the passage holds enough of the word trigrams of its question and of its answer.
 
-Passages are two strides long and begin at every stride, the stride being the
-longest item's number of words, so an item that stands in a text stands whole in
-one of its passages.  Before the traversal a passage is ruled out when even
+Items are indexed by classes of their length (powers of two from LEAST_WORDS on).
+Passages are two strides long and begin at every stride, the stride being the most
+words that an item of the class may have, so an item that stands in a text stands
+whole in one of its passages, and no item's passages hang on other items.  Before the traversal a passage is ruled out when even
 bounds of its distinct terms don't add up to the threshold (Index.screen), which
 loses nothing.
 
@@ -17,8 +18,8 @@ Items come in blocks of a bounded size of text (one block, unless the test set i
 very large); only a block's index is broadcast, with document frequencies of the
 whole set, and every block runs over all documents.  No document is shuffled.
 
-Question and answer: columns of these names if the items have them; else a text
-is split after its last "?" if words follow, or before its last quarter of words.
+Question and answer: columns, if they are named; else a text is split after
+its last "?" if words follow, or before its last quarter of words.
 
 Edge cases: null texts are empty, items without words never match, items shorter
 than three words are compared by whole word runs; repeated items of one id each
@@ -32,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm import textops as T
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.7, 0.7
-BLOCK_BYTES, POSTING_BLOCK = 8_000_000, 32
+BLOCK_BYTES, POSTING_BLOCK, LEAST_WORDS = 8_000_000, 32, 16
 _END = 1 << 60
 
 
@@ -73,9 +75,10 @@ def _part(h: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class Index:
-    """Postings of one block of items, ordered by item, in blocks with their greatest impact."""
+    """Postings of one block's items of one class of length, ordered by item, in blocks with their greatest impact."""
 
-    def __init__(self, ids: list, questions: list[str], answers: list[str], df: dict[int, int], n: int, mean: float):
+    def __init__(self, ids: list, questions: list[str], answers: list[str], df: dict[int, int], n: int, mean: float, stride: int = LEAST_WORDS):
+        self.stride = stride
         words = [np.concatenate(x) for x in zip(item_words(questions), item_words(answers), strict=True)]
         self.ids = ids
         self.parts = [[_part(h) for h in pair] for pair in zip(item_words(questions), item_words(answers), strict=True)]
@@ -194,12 +197,14 @@ class Index:
             p = q if q <= n and items[q - 1] < item else p + 1
         c[1], c[0] = p, items[p] if p < n else _END
 
-    def leaks(self, column: pa.Array, stride: int, threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
-        """(row, item, first word, score, question and answer overlap): of each leaking pair the passage that holds most of it."""
+    def leaks(self, texts: tuple[T.Tokens, np.ndarray], threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
+        """(row, item, first word, score, question and answer overlap): of each leaking pair the passage that holds most of it.
+
+        texts: as read gives them.
+        """
         if not len(self.terms):
             return []
-        t = T.tokenize(column, T.ALNUM, True)
-        h = t.hashes()
+        (t, h), stride = texts, self.stride
         at, term = self.term_ids(h)
         # halves: a row's words in strides; a passage is a half and the next
         halves = -(-t.counts // stride)
@@ -235,10 +240,15 @@ class Index:
         return sorted(x for _, x in best.values())
 
 
-def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[list[Index], int]:
-    """(an index for each block of items, stride).  Each block's text is bounded by about block_bytes."""
-    both = "question" in items.columns and "answer" in items.columns
-    wide = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *([F.coalesce(c, F.lit("")).alias(n) for c, n in (("question", "q"), ("answer", "a"))] if both else [F.coalesce(F.col(text), F.lit("")).alias("q"), F.lit("").alias("a")]))
+def read(column: pa.Array) -> tuple[T.Tokens, np.ndarray]:
+    t = T.tokenize(column, T.ALNUM, True)
+    return t, t.hashes()
+
+
+def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES, question: str | None = None, answer: str | None = None) -> list[list[Index]]:
+    """For each block of items an index for each class of length.  Each block's text is bounded by about block_bytes."""
+    both = question is not None and answer is not None
+    wide = items.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((question, "q"), (answer, "a"))] if both else [F.coalesce(F.col(text).cast("string"), F.lit("")).alias("q"), F.lit("").alias("a")]))
     whole = F.concat_ws(" ", "q", "a")
 
     def terms(batches):
@@ -249,9 +259,9 @@ def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", bl
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), len(h)), pa.int64()), pa.array(np.arange(len(u)) == 0)], ["term", "words", "first"])
 
     counted = wide.select(whole.alias("t")).mapInArrow(terms, "term long, words long, first boolean")
-    n, words, longest = counted.where("first").agg(F.count("*"), F.sum("words"), F.max("words")).first()
+    n, words = counted.where("first").agg(F.count("*"), F.sum("words")).first()
     if not n:
-        return [], 1
+        return []
     blocks = max(1, -(-int(wide.agg(F.sum(F.octet_length(whole))).first()[0] or 0) // block_bytes))
     df = counted.groupBy("term").count()
     out = []
@@ -259,56 +269,65 @@ def build_indexes(items: DataFrame, key: str = "item_id", text: str = "text", bl
         rows = wide.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
         rows.sort(key=lambda r: (r.id, r.q, r.a))
         pairs = [(r.q, r.a) if both else split_item(r.q) for r in rows]
-        block_terms = {int(x) for h in item_words([f"{q} {a}" for q, a in pairs]) for x in h.view(np.int64)}
+        held = item_words([f"{q} {a}" for q, a in pairs])
+        block_terms = {int(x) for h in held for x in h.view(np.int64)}
         wanted = items.sparkSession.createDataFrame([(t,) for t in block_terms], "term long") if block_terms else None
         freq = {r["term"] & 0xFFFFFFFFFFFFFFFF: r["count"] for r in df.join(wanted, "term", "left_semi").collect()} if wanted else {}
-        out.append(Index([r.id for r in rows], [q for q, _ in pairs], [a for _, a in pairs], freq, n, words / n))
-    return out, int(longest)
+        classes: dict[int, list[int]] = {}
+        for i, h in enumerate(held):
+            classes.setdefault(max(LEAST_WORDS, 1 << len(h).bit_length()), []).append(i)
+        out.append([Index([rows[i].id for i in which], [pairs[i][0] for i in which], [pairs[i][1] for i in which], freq, n, words / n, stride) for stride, which in sorted(classes.items())])
+    return out
+
 
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, question: str | None = None, answer: str | None = None) -> DataFrame:
+    """(key, item key, first_word, score, question_overlap, answer_overlap): one row for each document and leaking item.
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """(key, item key, first_word, score, question_overlap, answer_overlap): one row for each document and leaking item."""
-    indexes, stride = build_indexes(items, item_key, item_text)
-    kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"k {kinds[0]}, i {kinds[1]}, first_word long, score double, question_overlap double, answer_overlap double"
-    source, spark = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")), docs.sparkSession
+    question, answer: columns of items that hold them, if any (then item_text isn't read).
+    """
+    spark, kind = docs.sparkSession, items.schema[item_key].dataType
+    schema = f"k {docs.schema[key].dataType.simpleString()}, n long, first_word long, score double, question_overlap double, answer_overlap double"
+    source = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
 
-    def over(index) -> DataFrame:
+    def over(block) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for part in T.slices(batch):
-                    found = index.value.leaks(part.column("text"), stride, threshold, overlap)
-                    cols = list(zip(*found, strict=True)) if found else [[]] * 6
-                    ids = pa.array([index.value.ids[i] for i in cols[1]], batch_kind)
-                    yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(cols[0], pa.int64())), ids, pa.array(cols[2], pa.int64()), *(pa.array(np.round(np.array(c, dtype=float), 9)) for c in cols[3:])], ["k", "i", "first_word", "score", "question_overlap", "answer_overlap"])
+                    texts, first = read(part.column("text")), 0
+                    for index in block.value:
+                        found = index.leaks(texts, threshold, overlap)
+                        cols = list(zip(*found, strict=True)) if found else [[]] * 6
+                        numbers = pa.array([first + i for i in cols[1]], pa.int64())
+                        yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(cols[0], pa.int64())), numbers, pa.array(cols[2], pa.int64()), *(pa.array(np.round(np.array(c, dtype=float), 9)) for c in cols[3:])], ["k", "n", "first_word", "score", "question_overlap", "answer_overlap"])
+                        first += len(index.ids)
 
         return source.mapInArrow(run, schema)
 
-    batch_kind = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
-    out = spark.createDataFrame([], schema)
-    for k, index in enumerate(indexes):
-        part = over(spark.sparkContext.broadcast(index))
-        out = part if k == 0 else out.unionAll(part)
+    out = over(spark.sparkContext.broadcast([])).withColumn("i", F.lit(None).cast(kind)).where(F.lit(False))
+    for block in build_indexes(items, item_key, item_text, question=question, answer=answer):
+        # the block's ids by number, so that a key may be of any type: as bounded as the block
+        ids = spark.createDataFrame(list(enumerate(x for index in block for x in index.ids)), StructType([StructField("n", LongType()), StructField("i", kind)]))
+        out = out.unionByName(over(spark.sparkContext.broadcast(block)).join(F.broadcast(ids), "n"))
     return out.groupBy("k", "i").agg(*[F.max_by(c, F.struct(F.least("question_overlap", "answer_overlap"), "score", -F.col("first_word"))).alias(c) for c in ("first_word", "score", "question_overlap", "answer_overlap")]).withColumnsRenamed({"k": key, "i": item_key})
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def drop_leaking(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, question: str | None = None, answer: str | None = None) -> DataFrame:
     """The documents in which no item leaks, with their own columns; no shuffle."""
-    indexes, stride = build_indexes(items, item_key, item_text)
     names, at = docs.columns, docs.columns.index(text)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
-    def without(index):
+    def without(block):
         def run(batches):
             for batch in batches:
                 batch = pa.RecordBatch.from_arrays(batch.columns, [f"c{i}" for i in range(batch.num_columns)])
                 for part in T.slices(batch, f"c{at}"):
-                    clean = np.ones(part.num_rows, dtype=bool)
-                    clean[[x[0] for x in index.value.leaks(part.column(at), stride, threshold, overlap)]] = False
+                    clean, texts = np.ones(part.num_rows, dtype=bool), read(part.column(at))
+                    for index in block.value:
+                        clean[[x[0] for x in index.leaks(texts, threshold, overlap)]] = False
                     yield part.filter(pa.array(clean))
 
         return run
 
-    for index in indexes:
-        plain = plain.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(index)), plain.schema)
+    for block in build_indexes(items, item_key, item_text, question=question, answer=answer):
+        plain = plain.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(block)), plain.schema)
     return plain.toDF(*names)

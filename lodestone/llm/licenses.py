@@ -43,6 +43,8 @@ _BSD_END = (
     "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 
+_GPL_NOTICE = "free software you can redistribute it and or modify it under the terms of the {0} general public license as published by the free software foundation either version <1-2> of the license or [at your option] any later version <2-4> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {0} general public license for more details"
+
 #: The wording of well-known licences, from their first mandatory word to their last, and of short notices.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of <1-3> software and associated documentation files [the software] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <1-8> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
@@ -50,7 +52,7 @@ TEMPLATES = (
     ("bsd-3-clause", f"{_BSD_START} {_BSD_ONE} {_BSD_TWO} {_BSD_THREE} {_BSD_END}"),
     ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <1-8> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <1-8> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("apache-notice", "licensed under the apache license version 2 0 [the license] you may not use this file except in compliance with the license you may obtain a copy of the license at [http|https] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
-    ("gpl-notice", "free software you can redistribute it and or modify it under the terms of the gnu [lesser|affero] general public license as published by the free software foundation either version <1-2> of the license or [at your option] any later version <2-4> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [lesser|affero] general public license for more details"),
+    *((f"{kind}gpl-notice", _GPL_NOTICE.format(name)) for kind, name in (("", "gnu"), ("l", "gnu lesser"), ("a", "gnu affero"))),
     ("mit", "[released|licensed|distributed] under the [terms of the] mit license"),
     ("apache", "[released|licensed|distributed] under the [terms of the] apache license version 2 0"),
     ("bsd", "[released|licensed|distributed] under the [terms of the] [2 clause|3 clause|new|simplified] bsd license"),

@@ -214,7 +214,11 @@ def test_hashes_tell_words_apart(found, pad):
     [
         ("Released under the terms of the MIT license.", "mit"),
         ("released under the MIT licence", ""),
-        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", ""),  # the opening alone
+        (f"{L._BSD_START}: 1. {L._BSD_ONE[6:]} 2. {L._BSD_TWO[6:]} {L._BSD_END.replace('<1-12>', 'the authors')}.", "bsd-2-clause"),
+        (L._GPL_NOTICE.format("GNU").replace("<1-2>", "3").replace("<2-4>", "this program").replace("[at your option]", ""), "gpl,gpl-notice"),
+        (L._GPL_NOTICE.format("GNU Lesser").replace("<1-2>", "3").replace("<2-4>", "this program").replace("[at your option]", ""), "gpl,lgpl-notice"),
+        (L._GPL_NOTICE.format("GNU Affero").replace("<1-2>", "3").replace("<2-4>", "this program").replace("[at your option]", ""), "agpl-notice,gpl"),
         ("Redistribution and use in source and binary forms, with or without changes, are permitted provided that the following conditions are met:", ""),
         ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
         ("Licensed under the GNU General Public License, version 3.", "gpl"),
@@ -508,11 +512,53 @@ def test_leaks_agree_with_a_plain_search(spark):
     assert {k for k, r in found.items() if r.question_overlap == r.answer_overlap == 1.0} >= want
     assert {r.doc_id for r in D.drop_leaking(dd, bb).collect()} == {i for i, _ in docs} - {i for i, _ in found}
     blocks = D.build_indexes(bb, block_bytes=1500)
-    assert len(blocks[0]) > 1
-    several = {(i, ix.ids[x[1]]) for ix in blocks[0] for i, t in docs for x in ix.leaks(pa.array([t]), blocks[1], D.THRESHOLD, D.OVERLAP)}
+    assert len(blocks) > 1
+    several = {(i, ix.ids[x[1]]) for block in blocks for ix in block for i, t in docs for x in ix.leaks(D.read(pa.array([t])), D.THRESHOLD, D.OVERLAP)}
     assert several == set(found)
 
 
+def test_an_unrelated_item_changes_no_verdict(spark):
+    """An item's passages are as long as items of its own size may be, whatever else is in the test set."""
+    rnd = random.Random(8)
+    names = [f"t{i}" for i in range(6000)]
+    scattered = rnd.sample(names, 40)
+    body = [f"x{i}" for i in range(4000)]
+    for k in range(0, 38):  # all its trigrams, far from one another
+        body[100 * k : 100 * k + 3] = scattered[k : k + 3]
+    docs = spark.createDataFrame([(0, " ".join(body)), (1, " ".join(body[:50] + scattered + body[50:90]))], "doc_id long, text string")
+    items = [(0, " ".join(scattered)), (1, " ".join(rnd.sample(names, 12)))]
+    found = lambda rows: sorted((r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in D.find_leaks(docs, spark.createDataFrame(rows, "item_id long, text string")).collect())
+    alone = found(items)
+    assert alone == [(1, 0, 1.0, 1.0)]
+    assert found([*items, (2, " ".join(rnd.choice(names) for _ in range(5000)))]) == alone
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(10,2)", "date", "binary"])
+def test_item_keys_of_any_type(spark, kind):
+    value = {"date": "'2024-01-02'", "binary": "X'0102'"}.get(kind, "'7'")
+    items = spark.range(1).selectExpr(f"cast({value} as {kind}) as item_id", "'one two three four? five six' as text", "cast(null as string) as question", "cast(null as string) as answer")
+    docs = spark.createDataFrame([(1, "so one two three four five six it is")], "doc_id long, text string")
+    rows = D.find_leaks(docs, items)
+    assert rows.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert [r.item_id for r in rows.collect()] == [items.first().item_id]
+    told = items.selectExpr("item_id", "'one two three' as q", "'five six' as a", "'seven eight' as z", "text")
+    assert D.find_leaks(docs, told, question="q", answer="a").count() == 1 and D.find_leaks(docs, told, question="q", answer="z").count() == 0
+
+
+def test_samples_never_round_to_nothing(spark, monkeypatch):
+    from lodestone.llm import linear
+
+    for part, whole in ((4000, 10**11), (20_000, 10**14), (3, 4)):
+        assert abs(linear.threshold(part, whole) / 2**62 - part / whole) < 1e-6 * part / whole
+    with pytest.raises(ValueError, match="no sample"):
+        linear.threshold(1, 1 << 63)
+    labels = spark.range(3000).selectExpr("id as doc_id", "int(id % 2) as toxic")
+    assert 350 < linear.labelled_sample(labels, "doc_id", "toxic", None, 400).count() < 450
+    with pytest.raises(ValueError, match="empty"):
+        monkeypatch.setattr(linear, "threshold", lambda *a: 1)
+        linear.labelled_sample(labels, "doc_id", "toxic", None, 4)
+
+
 def test_leak_edges(spark):
     items = spark.createDataFrame([(0, "w1 w2 w3? w4"), (0, "w1 w2 w3? w4"), (1, None), (None, "no id"), (2, ""), (3, "lone")], "item_id long, text string")
     docs = edge_docs(spark).unionByName(edge_docs(spark).limit(1).selectExpr("99L doc_id", "'a w1 w2 w3 w4 lone' text", "lang", "source", "n_chars", "k", "size", "fp", "score", "target"))
