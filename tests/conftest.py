@@ -4,6 +4,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
+
+# a slow machine's first call says nothing about the code
+settings.register_profile("here", deadline=None)
+settings.load_profile("here")
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
