@@ -148,14 +148,19 @@ def conflicts(log: DataFrame) -> DataFrame:
 
 
 def conflict_lines(log: DataFrame) -> DataFrame:
-    """(record_id, line_no, line): the report's markdown, safe against line breaks and headings in its fields."""
+    """(blinded_project_id, record_id, line_no, line): the report's markdown, safe against line breaks and headings in its fields."""
+    key = ["blinded_project_id", "record_id"]
     found = conflicts(log)
-    head = found.select("record_id", F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("e"), F.concat(F.lit("## conflict: record_id="), one_line(F.col("record_id"))).alias("line")), F.struct(F.lit(1).alias("n"), F.lit("").alias("e"), F.concat(F.lit("- resolved_by: latest ts, then entry_id (winner="), one_line(F.col("winner")), F.lit(")")).alias("line"))).alias("l")).select("record_id", F.inline("l"))
-    ups = log.where("op = 'upsert'").join(found.select("record_id", "blinded_project_id", "winner"), ["record_id", "blinded_project_id"])
-    won = ups.where("entry_id = winner").select("record_id", F.col("ts").alias("wts"), F.col("client_id").alias("wc"))
-    rows = ups.join(won, "record_id").where((F.col("ts") == F.col("wts")) & ((F.col("client_id") != F.col("wc")) | (F.col("entry_id") == F.col("winner"))))
+    said = lambda n, e, line: F.struct(F.lit(n).alias("n"), e.alias("e"), line.alias("line"))
+    title = F.concat(F.lit("## conflict: record_id="), one_line(F.col("record_id")))
+    why = F.concat(F.lit("- resolved_by: latest ts, then entry_id (winner="), one_line(F.col("winner")), F.lit(")"))
+    head = found.select(*key, F.inline(F.array(said(0, F.lit(""), title), said(1, F.lit(""), why))))
+    ups = log.where("op = 'upsert'").join(found.select(*key, "winner"), key)
+    won = ups.where("entry_id = winner").select(*key, F.col("ts").alias("wts"), F.col("client_id").alias("wc"))
+    rows = ups.join(won, key).where((F.col("ts") == F.col("wts")) & ((F.col("client_id") != F.col("wc")) | (F.col("entry_id") == F.col("winner"))))
     text = F.concat(F.lit("- entry_id="), one_line(F.col("entry_id")), F.lit(" client_id="), one_line(F.col("client_id")), F.lit(" seq="), F.col("sequence_no").cast("string"), F.lit(" ts="), one_line(F.col("ts")), F.lit(" op="), one_line(F.col("op")))
-    return head.unionByName(rows.select("record_id", F.when(F.col("entry_id") == F.col("winner"), 2).otherwise(3).alias("n"), F.col("entry_id").alias("e"), text.alias("line"))).orderBy("record_id", "n", "e")
+    each = rows.select(*key, F.when(F.col("entry_id") == F.col("winner"), 2).otherwise(3).alias("n"), F.col("entry_id").alias("e"), text.alias("line"))
+    return head.unionByName(each).orderBy(*key, "n", "e")
 
 
 def write_report(log: DataFrame, path: str) -> None:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import oplog, relay
+from lodestone.scratch import Cuts
+
+
+#: pages that are compared with the log at a time
+PAGES = 100
 
 
 class Transport(Protocol):
@@ -48,22 +54,25 @@ def push(store, transport: Transport, blinded_project_id: str, client_id: str, n
 
 
 def pull(store, transport: Transport, blinded_project_id: str, now: str, peer: str = "relay", drain: bool = True) -> int:
-    """Appends the relay's rows that are new here, page by page until drained, then moves the cursor.
+    """Appends the relay's rows that are new here: pages are written, compared with the log PAGES at
+    a time, and the cursor moves after each such round, until the relay is drained.
 
     State is folded from the whole log, so a pull that breaks off loses no record.
     """
     cursor = store.cursors().where((F.col("blinded_project_id") == blinded_project_id) & (F.col("direction") == "pull") & (F.col("peer_id") == peer)).select("last_cursor").first()
-    at, taken = cursor and cursor[0], 0
-    while True:
-        rows, at, more = transport.pull(blinded_project_id, at)
-        fresh = oplog.insert_or_ignore(store.log(), rows.withColumns({"source": F.lit("remote"), "pushed": F.lit(True)}))
-        n = fresh.count()
-        if n:
+    at, more, taken = cursor and cursor[0], True, 0
+    while more:
+        cuts, pages = Cuts(store.spark), []
+        while more and len(pages) < PAGES:
+            rows, at, more = transport.pull(blinded_project_id, at)
+            pages.append(cuts.cut(rows.withColumns({"source": F.lit("remote"), "pushed": F.lit(True)})))
+            more = more and drain
+        fresh = cuts.cut(oplog.insert_or_ignore(store.log(), reduce(DataFrame.unionByName, pages)))
+        if n := fresh.count():
             store.append("oplog", fresh)
         taken += n
         store.write_cursor(blinded_project_id, "pull", peer, now, last_cursor=at)
-        if not (more and drain):
-            return taken
+    return taken
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,8 @@ files holding ranges of terms, so that a term or prefix is found by the files' b
 and lengths (project_id, id, length).  Ranges are cut within a term too: a frequent
 term's postings are many files.  A record's text never changes under its id, so new
 records are added and old postings stay; records that are gone or invalid are left out
-by the candidates a search is given.
+by the candidates a search is given, and candidates that the index doesn't have yet are
+read from their texts, so that it needn't be up to date.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import fts
 from lodestone.functions.text import tokens
 from lodestone.operators import retrieval
+from lodestone.scratch import Cuts
 
 POSTINGS = "project_id string, term string, id string, positions array<int>"
 LENGTHS = "project_id string, id string, length int"
@@ -50,7 +52,7 @@ class TextIndex:
         split.select("project_id", "id", F.size("t").alias("length")).write.mode("append").partitionBy("project_id").parquet(f"{self.path}/lengths")
 
     def scores(self, rows: DataFrame, query: str, project_id: str, strict: bool = True) -> DataFrame:
-        """The rows (records of that project, all indexed) that match, with score; as retrieval.bm25_scores."""
+        """The rows (records of that project) that match, with score; as retrieval.bm25_scores."""
         node = fts.parse(query, strict)
         if node is None:
             return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
@@ -64,6 +66,8 @@ class TextIndex:
         none = F.array().cast("array<int>")
         held = mine.groupBy("id").agg(*[F.array_distinct(F.flatten(F.collect_list(F.when(c, F.col("positions"))))).alias(f"_p{j}") for j, c in enumerate(is_unit)])
         lengths = self._table("lengths", LENGTHS).where(F.col("project_id") == project_id).select("id", F.col("length").alias("_length")).dropDuplicates(["id"])
+        # ids first, so that no text is read where all are indexed
+        late = Cuts(self.spark).cut(rows.select("id").join(lengths.select("id"), "id", "left_anti"))
         lengths = lengths.join(rows.select("id"), "id", "left_semi")
 
         def positions(p: fts.Phrase) -> Column:
@@ -76,8 +80,19 @@ class TextIndex:
 
         tf = [F.size(positions(p) if near is None else fts.near(near, p, positions)).alias(f"_tf{i}") for i, (p, near) in enumerate(found)]
         has = [(F.size(positions(p)) > 0).alias(f"_has{i}") for i, (p, near) in enumerate(found) if near is not None]
-        wide = rows.join(lengths.join(held, "id").select("id", "_length", *tf, *has), "id").select(*rows.columns, "_length", *[f"_tf{i}" for i in range(len(tf))], *[f"_has{i}" for i, (_, near) in enumerate(found) if near is not None])
+        counted = lengths.join(held, "id").select("id", "_length", *tf, *has)
+        if not late.isEmpty():
+            counted, lengths = self._with_late(rows.join(late, "id", "left_semi"), counted, lengths, found)
+        wide = rows.join(counted, "id").select(*rows.columns, *[c for c in counted.columns if c != "id"])
         return retrieval.scored(wide, rows.columns, node, lengths.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean")))
 
+    def _with_late(self, late: DataFrame, counted: DataFrame, lengths: DataFrame, found: list) -> tuple[DataFrame, DataFrame]:
+        """Counts and lengths with those of records that aren't indexed, from their words."""
+        words = late.select("id", tokens(F.col("content")).alias("_t"))
+        own = [F.size(fts.positions(F.col("_t"), p) if near is None else fts.near_positions(F.col("_t"), near, p)).alias(f"_tf{i}") for i, (p, near) in enumerate(found)]
+        own += [(fts.occurrences(F.col("_t"), p) > 0).alias(f"_has{i}") for i, (p, near) in enumerate(found) if near is not None]
+        more = Cuts(self.spark).cut(words.select("id", F.size("_t").alias("_length"), *own))
+        return counted.unionByName(more), lengths.unionByName(more.select("id", "_length"))
+
     def search(self, rows: DataFrame, query: str, project_id: str, top_k: int | None = 10, strict: bool = True) -> DataFrame:
         return retrieval.ranked(self.scores(rows, query, project_id, strict).withColumn("tier", F.lit("R2")), top_k)

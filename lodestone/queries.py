@@ -476,6 +476,17 @@ def oplog_conflicts(spark, d):
     return oplog.conflicts(S.oplog(spark, d)).drop("blinded_project_id")
 
 
+_WINNERS = "w AS (SELECT blinded_project_id, record_id, max(ts) AS ts, arg_max(entry_id, (ts, entry_id)) AS winner, arg_max(client_id, (ts, entry_id)) AS wc FROM log WHERE op = 'upsert' GROUP BY 1, 2)"
+_RIVALS = "r AS (SELECT l.*, winner, wc FROM w JOIN log l USING (blinded_project_id, record_id, ts) WHERE l.op = 'upsert'), c AS (SELECT DISTINCT blinded_project_id, record_id, winner FROM r WHERE client_id <> wc)"
+
+
+@query("conflict_lines", f"""WITH {LOG}, {_WINNERS}, {_RIVALS}
+  SELECT record_id, 0 AS n, '## conflict: record_id=' || record_id AS line FROM c UNION ALL SELECT record_id, 1, '- resolved_by: latest ts, then entry_id (winner=' || winner || ')' FROM c
+  UNION ALL SELECT record_id, CASE WHEN entry_id = r.winner THEN 2 ELSE 3 END, '- entry_id=' || entry_id || ' client_id=' || client_id || ' seq=' || sequence_no || ' ts=' || ts || ' op=' || op FROM r JOIN c USING (blinded_project_id, record_id) WHERE client_id <> wc OR entry_id = r.winner""")
+def conflict_lines(spark, d):
+    return oplog.conflict_lines(S.oplog(spark, d)).select("record_id", "n", "line")
+
+
 @query("oplog_dedup", f"WITH {LOG} SELECT entry_id, record_id, op FROM log WHERE event_id % 3 = 0")
 def oplog_dedup(spark, d):
     r = S.relay(spark, d)

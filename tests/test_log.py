@@ -48,6 +48,18 @@ def test_tie_goes_to_the_larger_entry_id_and_is_a_conflict(spark):
     assert lines[0] == "## conflict: record_id=r" and len(lines) == 4
 
 
+def test_a_report_keeps_projects_apart(spark):
+    """Two projects with one record id: each gets its own winner's rivals alone."""
+    rows = [entry("a", 1), entry("b", 1), entry("c", 1, ts="2023-01-01T00:00:00Z"), entry("d", 1, ts="2023-01-01T00:00:00Z")]
+    whole = log(spark, rows)
+    apart = whole.withColumn("blinded_project_id", F.when(F.col("client_id").isin("c", "d"), "other").otherwise(F.col("blinded_project_id")))
+    lines = {}
+    for r in oplog.conflict_lines(apart).collect():
+        lines.setdefault(r.blinded_project_id == "other", []).append(r.line)
+    assert [len(v) for v in lines.values()] == [4, 4]
+    assert all("client_id=c" in x or "client_id=d" in x for x in lines[True][2:]) and all("client_id=a" in x or "client_id=b" in x for x in lines[False][2:])
+
+
 def test_any_order_of_arrival_gives_the_same_state(spark):
     rnd = random.Random(5)
     rows = [entry(f"c{i % 4}", i, f"r{i % 5}", rnd.choice(["upsert", "upsert", "invalidate"]), f"2024-01-0{1 + i % 3}T00:00:00Z") for i in range(40)]
