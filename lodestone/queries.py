@@ -335,11 +335,20 @@ def superseded(spark, d):
     return conflicts.superseded(S.atoms(spark, d).where(~F.col("invalidated")), _vector(spark, d), 0.25)
 
 
-@query("all_pairs_dup", f"WITH {ATOMS}, v AS (SELECT * FROM atoms WHERE NOT invalidated AND embedding IS NOT NULL) SELECT project_id, id_a, id_b, round(s, 6) AS similarity FROM (SELECT a.project_id, a.id AS id_a, b.id AS id_b, list_inner_product(a.embedding, b.embedding) AS s FROM v a JOIN v b ON a.project_id = b.project_id AND a.id < b.id) WHERE s >= 0.3")
+NEAR_PAIRS = f"WITH {ATOMS}, v AS (SELECT * FROM atoms WHERE NOT invalidated AND embedding IS NOT NULL) SELECT project_id, id_a, id_b, round(s, 6) AS similarity FROM (SELECT a.project_id, a.id AS id_a, b.id AS id_b, list_inner_product(a.embedding, b.embedding) AS s FROM v a JOIN v b ON a.project_id = b.project_id AND a.id < b.id) WHERE s >= 0.3"
+
+
+@query("all_pairs_dup", NEAR_PAIRS)
 def all_pairs_dup(spark, d):
     return conflicts.all_pairs(S.atoms(spark, d), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("all_pairs_cells", NEAR_PAIRS)
+def all_pairs_cells(spark, d):
+    """The same join in many small cells, as projects of any size above block_rows have them."""
+    return conflicts.all_pairs(S.atoms(spark, d), 0.3, block_rows=10).withColumn("similarity", F.round("similarity", 6))
+
+
 # text
 
 

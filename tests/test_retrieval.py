@@ -4,6 +4,7 @@ import math
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,41 @@ def test_all_pairs_blocks_agree(spark):
     assert one == many and one
 
 
+def _clustered(seed, n=240, dim=12, around=16):
+    """Vectors near a few directions, of different lengths."""
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(around, dim))[rnd.integers(around, size=n)] + rnd.normal(size=(n, dim)) * 0.12
+    return x / np.linalg.norm(x, axis=1, keepdims=True) * rnd.uniform(0.7, 1.3, size=(n, 1))
+
+
+@pytest.mark.parametrize("least", [0.9, 0.3, 0.0, -0.4])
+def test_all_pairs_are_those_of_brute_force(spark, least):
+    rows = [(f"a{i}", "p" if i % 3 else "q", [float(np.float32(v)) for v in x]) for i, x in enumerate(_clustered(2))]
+    rows += [("short1", "p", [1.0, 0.5]), ("short2", "p", [1.0, 0.4]), ("zero", "p", [0.0] * 12), ("empty", "q", []), ("copy1", "p", rows[1][2]), ("copy2", "p", rows[1][2]), ("tiny", "p", [1e-3] * 12)]
+    left_out = [("lost", None, rows[1][2]), ("nan", "p", [float("nan")] * 12), ("inf", "p", [float("inf")] * 12), ("none", "p", None)]
+    found = {(r.id_a, r.id_b): r.similarity for r in conflicts.all_pairs(atoms(spark, [atom(i, project_id=p, embedding=v) for i, p, v in rows + left_out]), least, 50).collect()}
+    want = {}
+    for k, (a, p, x) in enumerate(rows):
+        for b, q, y in rows[:k]:
+            if p == q and len(x) == len(y):
+                s = float(np.dot(np.array(np.float32(x), float), np.array(np.float32(y), float)))
+                if s >= least:
+                    want[min(a, b), max(a, b)] = s
+    assert found.keys() == want.keys() and len(want) > 100
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_few_rows_meet_where_vectors_are_clustered(spark):
+    rows = atoms(spark, [atom(f"a{i}", embedding=x.tolist()) for i, x in enumerate(_clustered(5, n=900, dim=32))])
+    cells = conflicts.meetings(rows, 0.92, 100).groupBy("cell").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("guests")).collect()
+    compared = sum(c.own * (c.own - 1) // 2 + c.own * c.guests for c in cells)
+    assert sum(c.own for c in cells) <= 900 and compared < 0.25 * 900 * 899 / 2
+
+
+def test_all_pairs_of_nothing(spark):
+    assert conflicts.all_pairs(atoms(spark, []), 0.9).collect() == []
+
+
 def test_scores_need_only_the_columns_they_use(spark, data):
     from lodestone.sources import tables
 
