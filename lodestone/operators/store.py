@@ -201,7 +201,9 @@ class Store:
     def cursors(self) -> DataFrame:
         rows = self.table("cursors", S.CURSORS)
         key = ["blinded_project_id", "direction", "peer_id"]
-        return rows.groupBy(*key).agg(F.max_by(F.struct("last_seq", "last_cursor", "updated_at"), "updated_at").alias("r")).select(*key, "r.*")
+        # cursors only go on, so of one time the furthest is the last
+        order = F.struct("updated_at", F.col("last_cursor").cast("decimal(19)"), "last_seq")
+        return rows.groupBy(*key).agg(F.max_by(F.struct("last_seq", "last_cursor", "updated_at"), order).alias("r")).select(*key, "r.*")
 
     def insert(self, batch: DataFrame, now: str) -> None:
         """Appends records.  Their row_seq is the time of the insertion, in nanoseconds, and then their place in the batch."""

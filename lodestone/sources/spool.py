@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from lodestone.schema import MAX_BATCH_ENTRIES, MAX_CONTENT_CHARS
 
@@ -52,9 +52,33 @@ def stream_queue(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
+WIRE_ROW = "entry_id string, client_id string, sequence_no long, op string, record_id string, blinded_project_id string, ts string, payload string"
+
+
+def _page(options: dict, cursor: str) -> tuple[list[dict], str, bool]:
+    """(entries, cursor after them, whether more follow) of a relay's page; a page without a cursor leaves it where it was."""
+    url = f"{options['url'].rstrip('/')}/oplog/{options['project']}?since={cursor}"
+    request = urllib.request.Request(url, headers={"Authorization": f"Bearer {options.get('token', '')}"})
+    with urllib.request.urlopen(request, timeout=float(options.get("timeout", "30"))) as r:
+        body = json.load(r)
+    entries, after = (body.get("entries"), body.get("cursor")) if isinstance(body, dict) else (None, None)
+    if not isinstance(entries, list) or not all(isinstance(e, dict) for e in entries):
+        raise ValueError("bad envelope")
+    if after is not None and not (isinstance(after, str) and after.isascii() and after.isdigit() and len(after) <= 19):
+        raise ValueError("bad envelope")
+    after = cursor if after is None else after
+    return entries, after, bool(body.get("has_more")) and after != cursor
+
+
+def _row(e: dict) -> tuple:
+    return (e["entry_id"], e["client_id"], int(e["sequence_no"]), e["op"], e["record_id"], e["blinded_project_id"], e["ts"], e["payload"])
+
+
 class Page(InputPartition):
-    def __init__(self, cursor: str):
-        self.cursor = cursor
+    """Entries after a cursor: all, or those up to a last one."""
+
+    def __init__(self, cursor: str, last: str | None = None, after: str | None = None):
+        self.cursor, self.last, self.after = cursor, last, after
 
 
 class _RelayReader(DataSourceReader):
@@ -65,19 +89,10 @@ class _RelayReader(DataSourceReader):
         return [Page(self.options.get("cursor", "0"))]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        cursor = partition.cursor
-        while True:
-            url = f"{self.options['url'].rstrip('/')}/oplog/{self.options['project']}?cursor={cursor}"
-            request = urllib.request.Request(url, headers={"Authorization": f"Bearer {self.options.get('token', '')}"})
-            with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", "30"))) as r:
-                body = json.load(r)
-            if not isinstance(body.get("entries"), list) or not str(body.get("cursor", "")).isdigit():
-                raise ValueError("bad envelope")
-            for e in body["entries"]:
-                yield (e["entry_id"], e["client_id"], int(e["sequence_no"]), e["op"], e["record_id"], e["blinded_project_id"], e["ts"], e["payload"])
-            if not body.get("has_more") or str(body["cursor"]) == cursor:
-                return
-            cursor = str(body["cursor"])
+        cursor, more = partition.cursor, True
+        while more:
+            entries, cursor, more = _page(self.options, cursor)
+            yield from map(_row, entries)
 
 
 class RelayPull(DataSource):
@@ -91,12 +106,87 @@ class RelayPull(DataSource):
         return "relay_pull"
 
     def schema(self) -> str:
-        return "entry_id string, client_id string, sequence_no long, op string, record_id string, blinded_project_id string, ts string, payload string"
+        return WIRE_ROW
 
     def reader(self, schema) -> DataSourceReader:
         return _RelayReader(dict(self.options))
 
 
+class _RelayStreamReader(DataSourceStreamReader):
+    """An offset is the cursor that a batch reaches, with what is needed to read it again: where its walk began, and
+    the pages of that walk, each by the cursor after it and its last entry.
+
+    Pages are read again up to that last entry, so a batch that is run twice reads the same
+    entries, whatever the relay got in between and however long its pages are by then.
+    """
+
+    def __init__(self, options: dict):
+        self.options, self.first = options, self._at(options.get("cursor") or "0")
+        self.offset = self.first
+
+    @staticmethod
+    def _at(cursor: str) -> dict:
+        return {"from": cursor, "cursor": cursor, "pages": {}}
+
+    def initialOffset(self) -> dict:
+        return self.first
+
+    def latestOffset(self) -> dict:
+        start = cursor = self.offset["cursor"]
+        pages, more = {}, True
+        while more and len(pages) < int(self.options.get("pages", "100")):
+            entries, cursor, more = _page(self.options, cursor)
+            if entries and cursor in (start, *pages):
+                raise ValueError("a page that doesn't move its cursor")
+            if entries:
+                pages[cursor] = entries[-1]["entry_id"]
+        if pages:
+            self.offset = {"from": start, "cursor": cursor, "pages": pages}
+        return self.offset
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        # the batches that a restarted query runs again come first; the walk goes on from them
+        if int(end["cursor"]) > int(self.offset["cursor"]):
+            self.offset = end
+        out, before = [], end["from"]
+        for after in sorted(end["pages"], key=int):
+            if int(after) > int(start["cursor"]):
+                out.append(Page(max(before, start["cursor"], key=int), end["pages"][after], after))
+            before = after
+        return out
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        cursor, more = partition.cursor, True
+        while more:
+            entries, cursor, more = _page(self.options, cursor)
+            for e in entries:
+                yield (*_row(e), partition.after)
+                if e["entry_id"] == partition.last:
+                    return
+        raise ValueError(f"the relay no longer has entry {partition.last}")
+
+
+class RelayStream(DataSource):
+    """format("relay_stream"): a project's wire rows after a cursor as a stream, a task for each page of a batch.
+
+    cursor is a page's: with all rows of a batch, its greatest is where the next batch
+    goes on.  The driver walks the pages that a batch is to have and keeps their cursors and
+    last entries only.  A query that starts again must be given a cursor no later than that of
+    its checkpoint's last batch; what comes before is skipped.
+    Options: url, project, cursor, token, timeout, pages (of a batch at most; 100).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "relay_stream"
+
+    def schema(self) -> str:
+        return f"{WIRE_ROW}, cursor string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _RelayStreamReader(dict(self.options))
+
+
 class _RelayWriter(DataSourceWriter):
     def __init__(self, options: dict):
         self.options = options

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.operators import oplog
 from lodestone.operators.admin import captured
 from lodestone.operators.store import Store
+from lodestone.sources.spool import RelayStream
 
 
 def drain(lines: DataFrame, store: Store, checkpoint: str, clock, project_id: str | None = None, once: bool = True) -> StreamingQuery:
@@ -37,6 +39,49 @@ def drain(lines: DataFrame, store: Store, checkpoint: str, clock, project_id: st
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def pull_stream(store: Store, url: str, blinded_project_id: str, checkpoint: str, clock, peer: str = "relay", once: bool = True, **options: str) -> StreamingQuery:
+    """Appends a relay's rows to the store's log, batch by batch under a checkpoint.
+
+    Entries that the log has are left out and the store's cursor moves after a batch's rows
+    are written, so a pull that is killed anywhere and started again neither loses nor repeats
+    an entry.  The cursor is the store's; options are those of the relay_stream source.  once:
+    until the relay is drained, else as entries come.
+    """
+    spark = store.spark
+    spark.dataSource.register(RelayStream)
+
+    def last() -> str:
+        mine = store.cursors().where((F.col("blinded_project_id") == blinded_project_id) & (F.col("direction") == "pull") & (F.col("peer_id") == peer))
+        found = mine.select("last_cursor").first()
+        return (found and found[0]) or "0"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        read = rows.persist()
+        try:
+            top = read.agg(F.max(F.col("cursor").cast("decimal(19)"))).first()[0]
+            if top is None:
+                return
+            store.append("oplog", oplog.insert_or_ignore(store.log(), oplog.from_wire(read)))
+            if int(top) > int(last()):
+                store.write_cursor(blinded_project_id, "pull", peer, clock(), last_cursor=str(top))
+        finally:
+            read.unpersist()
+
+    def start() -> StreamingQuery:
+        stream = spark.readStream.format("relay_stream").options(**options, url=url, project=blinded_project_id, cursor=last()).load()
+        w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        return (w.trigger(availableNow=True) if once else w).start()
+
+    if not once:
+        return start()
+    # a run takes at most the pages of a batch, or what an earlier one left undone
+    while True:
+        query = start()
+        query.awaitTermination()
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            return query
+
+
 def fold_stream(entries: DataFrame, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """Running state of every record: replays dropped, invalidation latched, latest upsert kept.
 
