@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import textops as T
 from lodestone.scratch import Cuts
 
+TASK_BYTES = 4_000_000
+
 
 class Rows:
     """Sparse rows: for each row a slice of (column, value)."""
@@ -144,7 +146,7 @@ def sampled(docs: DataFrame, key: str, text: str, sample: DataFrame, max_bytes:
 
     Where their texts exceed max_bytes a share of the distinct ones is taken, by a hash
     of id and text.  sample is bounded (labelled_sample), so the join is a broadcast of
-    that bounded table.
+    that bounded table.  It is read by tasks of about TASK_BYTES.
     """
     rows = cuts.cut(docs.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "_key"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -152,7 +154,8 @@ def sampled(docs: DataFrame, key: str, text: str, sample: DataFrame, max_bytes:
         rows = rows.where(share("bytes of labelled texts", "_key", "text", seed=18, part=max_bytes, whole=total)).dropDuplicates(["_key", "text"])
         if rows.isEmpty():
             raise ValueError(f"a sample of {max_bytes} of {total} bytes of labelled texts is empty")
-    return rows
+    # the sample is as small whatever the documents' size: its tasks are as many as its bytes ask for
+    return rows.coalesce(min(total, max_bytes) // TASK_BYTES + 1)
 
 
 def collect_rows(rows: DataFrame, features) -> tuple[Rows, np.ndarray]:

@@ -35,17 +35,15 @@ SLICE = 300_000  # bytes of text at once: a text's characters are held several t
 THRESHOLD = 0.7
 
 
-def _distinct(column: pa.Array, table: np.ndarray | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, row offsets): each row's distinct buckets; table, if given, maps a bucket to a column or -1."""
-    points, offsets = T.code_points(column.to_pylist())
+def _distinct(texts: pa.Array, table: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, row offsets): each row's distinct columns; table maps a bucket to its column or -1."""
+    points, offsets = T.code_points(texts.to_pylist())
     keys = [np.zeros(0, np.int64)]
     of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for at, bucket in T.char_ngrams(points, offsets, SIZES, bits, SEED):
-        if table is not None:
-            bucket = table[bucket]
-            on = bucket >= 0
-            at, bucket = at[on], bucket[on]
-        keys.append(np.unique(of[at].astype(np.int64) << 32 | bucket))
+        column = table[bucket]
+        on = column >= 0
+        keys.append(np.unique(of[at[on]].astype(np.int64) << 32 | column[on]))
     key = np.unique(np.concatenate(keys))
     return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(offsets)))
 
@@ -54,13 +52,23 @@ def _ngram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Document counts of each bucket, among toxic rows and among all: two fixed tables of 2**BITS."""
 
     def run(batches):
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+        # last: the row that had a bucket last, so that a row counts it once, however long its text
+        counts, last, rows_before = np.zeros((2, 1 << BITS), dtype=np.int64), np.full(1 << BITS, -1, dtype=np.int64), 0
         for batch in batches:
             for part in T.slices(batch, limit=SLICE):
-                cols, offsets = _distinct(part.column("text"), None)
-                y = part.column("_y").to_numpy(zero_copy_only=False) > 0
-                counts[1] += np.bincount(cols, minlength=1 << BITS)
-                counts[0] += np.bincount(cols[np.repeat(y, np.diff(offsets))], minlength=1 << BITS)
+                points, offsets = T.code_points(part.column("text").to_pylist())
+                y = part.column("_y").to_pylist()
+                for at, bucket in T.char_ngrams(points, offsets, SIZES, BITS, SEED):
+                    ends = np.searchsorted(at, offsets)
+                    for i in np.flatnonzero(np.diff(ends)).tolist():
+                        new = bucket[ends[i] : ends[i + 1]]
+                        new = new[last[new] != rows_before + i]
+                        last[new] = rows_before + i
+                        # a bucket that stands in new several times is added to once
+                        counts[1][new] += 1
+                        if y[i] > 0:
+                            counts[0][new] += 1
+                rows_before += part.num_rows
         on = np.flatnonzero(counts[1])
         for k in range(0, len(on), 100_000):
             at = on[k : k + 100_000]
