@@ -58,7 +58,7 @@ def fold(events: DataFrame) -> DataFrame:
     marked = F.col("f").isNotNull() & (F.col("deleted").isNull() | (F.struct("f.at", "f.seq") > F.col("deleted")))
     live = live.select("id", "r.*", "metadata", "updated_at", F.coalesce(marked & (F.col("f.event") == "invalidate"), F.lit(False)).alias("invalidated"))
     live = live.withColumns({"access_count": F.lit(0).cast("long"), "last_accessed": F.lit(None).cast("string")})
-    return live.select(*[c.split()[0] for c in S.ATOMS.split(", ")])
+    return S.with_defaults(live.select(*[c.split()[0] for c in S.ATOMS.split(", ")]), "records")
 
 
 def accessed(records: DataFrame, accesses: DataFrame | None) -> DataFrame:
@@ -193,10 +193,10 @@ class Store:
         return self.table("kg_edges", S.EDGES)
 
     def triples(self) -> DataFrame:
-        return self.table("kg_triples", S.TRIPLES)
+        return S.with_defaults(self.table("kg_triples", S.TRIPLES), "kg_triples")
 
     def log(self) -> DataFrame:
-        return self.table("oplog", S.OPLOG)
+        return S.with_defaults(self.table("oplog", S.OPLOG), "oplog")
 
     def cursors(self) -> DataFrame:
         rows = self.table("cursors", S.CURSORS)

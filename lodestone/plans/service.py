@@ -12,6 +12,7 @@ from lodestone import schema as S
 from lodestone.functions.enrichment import merged
 from lodestone.operators import admin, conflicts, graph, oplog, sync
 from lodestone.operators.adjacency import Adjacency
+from lodestone.operators.migrations import migrate
 from lodestone.operators.store import Store, new_id
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans import search as plan
@@ -132,7 +133,8 @@ class Service:
         return {**out, "last_sync": last}
 
     def start(self) -> None:
-        """At the start of a session: a pull, if there is a relay; its failure is no error."""
+        """At the start of a session: the store's steps that are due, and a pull, if there is a relay; its failure is no error."""
+        migrate(self.store)
         self._try_sync("pull")
 
     def _try_sync(self, direction: str) -> None:

@@ -16,6 +16,13 @@ CURSORS = "blinded_project_id string, direction string, peer_id string, last_seq
 RELAY = "ingest_seq bigint, entry_id string, client_id string, sequence_no bigint, op string, record_id string, blinded_project_id string, ts string, payload binary"
 AUDIT = "ts string, token_hash string, blinded_project_id string, op string, entry_count bigint, byte_count bigint, status string"
 
+#: what a column is where a file was written without it, or holds null
+DEFAULTS = {
+    "records": {"type": "'diary'", "scope": "'project'", "metadata": "'{}'", "refs": "cast(array() as array<string>)"},
+    "oplog": {"source": "'local'", "pushed": "false"},
+    "kg_triples": {"confidence": "1.0D"},
+}
+
 #: The enumerations of the data model.
 TYPES = ("decision", "pattern", "diary", "entity", "oq-resolution", "infra-fact", "server", "deploy-target")
 SCOPES = ("project", "global", "all")
@@ -30,6 +37,10 @@ MAX_LINE_BYTES, MAX_PAYLOAD_BYTES, MAX_BATCH_ENTRIES, PAGE_ENTRIES = 1 << 20, 1
 ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
 
+def with_defaults(rows: DataFrame, table: str) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(F.col(c), F.expr(e)) for c, e in DEFAULTS[table].items()})
+
+
 def one_of(c: Column, values: tuple[str, ...]) -> Column:
     return c.isin(*values)
 
