@@ -85,7 +85,8 @@ def prepared(batch: DataFrame, now: str) -> DataFrame:
     """Records to insert, from any subset of the fields: ids, defaults, extracted entities, keywords and tags.
 
     metadata is the extraction overlaid with the caller's own, except that enriched is
-    always false at first.
+    always false at first.  A text may be of any length; the limit of the write endpoint
+    (schema.MAX_CONTENT_CHARS) is that endpoint's.
     """
     have = set(batch.columns)
     c = lambda name, default: F.coalesce(F.col(name), default) if name in have else default
@@ -101,7 +102,7 @@ def prepared(batch: DataFrame, now: str) -> DataFrame:
         F.lit(False).alias("invalidated"), c("created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"), c("session_id", null("string")).alias("session_id"),
         F.lit(0).cast("long").alias("access_count"), null("string").alias("last_accessed"), c("tags", tags(found_e, found_k)).alias("tags"), F.monotonically_increasing_id().alias("row_seq"),
     )
-    return S.checked(out, type=S.one_of(F.col("type"), S.TYPES), scope=S.one_of(F.col("scope"), S.SCOPES), created_at=S.valid_timestamp(F.col("created_at")), content=F.length("content") <= S.MAX_CONTENT_CHARS)
+    return S.checked(out, type=S.one_of(F.col("type"), S.TYPES), scope=S.one_of(F.col("scope"), S.SCOPES), created_at=S.valid_timestamp(F.col("created_at")), content=F.col("content").isNotNull())
 
 
 class Store:

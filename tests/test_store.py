@@ -17,6 +17,15 @@ def edges(spark, rows):
     return spark.createDataFrame([(i, a, b, t, None, None, NOW) for i, (a, b, t) in enumerate(rows)], "id long, from_atom_id string, to_atom_id string, edge_type string, project_id string, metadata string, created_at string")
 
 
+def test_store_takes_texts_of_any_length(spark, tmp_path):
+    s, text = Store(spark, str(tmp_path)), "word " * 30_000
+    s.insert(spark.createDataFrame([("a", text, "p")], "id string, content string, project_id string"), NOW)
+    s.compact()
+    assert s.atoms("p").first().content == text
+    with pytest.raises(Exception, match="broken rule: content"):
+        s.insert(spark.createDataFrame([("b", None, "p")], "id string, content string, project_id string"), NOW)
+
+
 def reached(spark, rows, start, depth, types=None):
     return {r.id: r.depth for r in graph.reach(edges(spark, rows), spark.createDataFrame([(start,)], "root string"), depth, types).collect() if r.depth}
 
