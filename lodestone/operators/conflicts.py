@@ -19,6 +19,7 @@ THRESHOLD = 0.92
 TASK_NUMBERS, ANGLES_AT_ONCE = 32_000_000, 4_000_000
 #: an angle for rounding
 SLACK = 1e-5
+CELL = ("project_id", "dim", "cell")
 
 
 def resolve_threshold(name: str = "LODESTONE_SIMILARITY") -> float:
@@ -134,31 +135,35 @@ def meetings(atoms: DataFrame, threshold: float, block_rows: int = 2000, sample_
     radii = homes.groupBy("project_id", "dim", "cell").agg(F.max("angle").alias("radius"))
     bounded = everywhere.join(radii, ["project_id", "dim", "cell"]).select(*group, "cell", "centre", "radius")
     guests = homes.groupBy(*group).cogroup(bounded.groupBy(*group)).applyInPandas(_visits, "project_id string, dim int, id string, embedding array<float>, visits array<int>")
-    columns = ("project_id", "dim", "cell", "id", "embedding")
+    columns = (*CELL, "id", "embedding")
     guests = guests.withColumn("cell", F.explode("visits")).select(*columns, F.lit(False).alias("home"))
     return cuts.cut(homes.select(*columns, F.lit(True).alias("home")).unionAll(guests))
 
 
-def all_pairs(atoms: DataFrame, threshold: float | None = None, block_rows: int = 2000) -> DataFrame:
+def blocks(met: DataFrame, task_rows: int) -> DataFrame:
+    """(project_id, dim, cell, id, embedding, blk, bi, bj): the rows of meetings, once for each pair of blocks (bi, bj) to compare."""
+    number = lambda which: F.ceil(F.count_if(which) / task_rows).cast("int")
+    counts = met.groupBy(*CELL).agg(number(F.col("home")).alias("own"), number(~F.col("home")).alias("guests"))
+    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # a cell's own blocks come first; they meet each other and the guests' blocks
+    dealt = met.join(counts, list(CELL)).withColumn("blk", F.when(F.col("home"), spread(F.col("own"))).otherwise(F.col("own") + spread(F.col("guests"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("own") + F.col("guests")).otherwise(F.col("own")) - 1)))
+    return dealt.select(*CELL, "id", "embedding", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+
+
+def all_pairs(atoms: DataFrame, threshold: float | None = None, block_rows: int = 2000, task_rows: int = 2000) -> DataFrame:
     """(project_id, id_a, id_b, similarity), id_a < id_b, of valid records with vectors, within a project.
 
-    Exact.  Vectors are compared only in the cells where they meet (meetings).  A cell is
-    dealt into blocks of a bounded number of rows and each pair of blocks is one matrix
-    product, so a cell that holds most of a project is many tasks and no task holds more
-    than two blocks; only pairs at or above the threshold come out.  Records without a
+    Exact.  Vectors are compared only in the cells where they meet (meetings, whose cells
+    begin above block_rows rows).  A cell is dealt into blocks of about task_rows rows and
+    each pair of blocks is one matrix product, so a cell that holds most of a project is
+    many tasks and no task holds more than two blocks, however small cells may be; only
+    pairs at or above the threshold come out.  Records without a
     project, and vectors with numbers that are null or not finite, are left out; an empty
     table gives no pairs, and vectors of different lengths are never compared.
     """
     least = resolve_threshold() if threshold is None else threshold
-    met = meetings(atoms, least, block_rows)
-    cell = ["project_id", "dim", "cell"]
-    blocks = lambda which: F.ceil(F.count_if(which) / block_rows).cast("int")
-    counts = met.groupBy(*cell).agg(blocks(F.col("home")).alias("own"), blocks(~F.col("home")).alias("guests"))
-    spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    # a cell's own blocks come first; they meet each other and the guests' blocks
-    dealt = met.join(counts, cell).withColumn("blk", F.when(F.col("home"), spread(F.col("own"))).otherwise(F.col("own") + spread(F.col("guests"))))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("own") + F.col("guests")).otherwise(F.col("own")) - 1)))
-    dealt = dealt.select(*cell, "id", "embedding", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+    dealt = blocks(meetings(atoms, least, block_rows), task_rows)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf["embedding"])
@@ -171,4 +176,4 @@ def all_pairs(atoms: DataFrame, threshold: float | None = None, block_rows: int
         a, b, s = a[keep], b[keep], s[keep]
         return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "similarity": s})
 
-    return dealt.groupBy(*cell, "bi", "bj").applyInPandas(compare, "project_id string, id_a string, id_b string, similarity double")
+    return dealt.groupBy(*CELL, "bi", "bj").applyInPandas(compare, "project_id string, id_a string, id_b string, similarity double")

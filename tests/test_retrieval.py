@@ -192,6 +192,19 @@ def test_few_rows_meet_where_vectors_are_clustered(spark):
     assert sum(c.own for c in cells) <= 900 and compared < 0.25 * 900 * 899 / 2
 
 
+def test_all_pairs_small_cells_are_few_comparisons(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = atoms(spark, [atom(f"r{i}", embedding=v.tolist()) for i, v in enumerate(x)])
+    # rows of a task are bounded by task_rows, whatever cells block_rows makes
+    groups = lambda n: conflicts.blocks(conflicts.meetings(rows, 0.5, 10), n).select(*conflicts.CELL, "bi", "bj").distinct().count()
+    assert groups(2000) <= 40 < 200 < groups(10)
+    found = [sorted((r.id_a, r.id_b) for r in conflicts.all_pairs(rows, 0.5, 10, n).collect()) for n in (2000, 9)]
+    x = x.astype(np.float32).astype(float)
+    assert found[0] == found[1] == sorted(tuple(sorted((f"r{i}", f"r{j}"))) for i in range(400) for j in range(i) if x[i] @ x[j] >= 0.5)
+
+
 def test_all_pairs_of_nothing(spark):
     assert conflicts.all_pairs(atoms(spark, []), 0.9).collect() == []
 
