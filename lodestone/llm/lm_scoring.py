@@ -24,8 +24,11 @@ frequent n-gram is pre-aggregated, and go to buckets of the key space, which add
 counts up and answer with the sum and whether several blocks asked.  With more than FAN buckets requests go through a level between: groups of
 blocks merge theirs, ask the buckets and hand the answers down, so that neither a
 bucket hears of all blocks nor a block of all buckets.  A block then compiles the
-part of the automaton that its texts can reach and traverses them.  Keys are hashes
-of 64 bits, shuffled as packed arrays.
+part of the automaton that its texts can reach and traverses them.  Words are asked
+for by hashes of 64 bits.  Those that several blocks have get numbers in the answers,
+which are near dense, so that a bigram of two such words (no others are asked for) is
+the exact pair of their numbers in few bits, and a trigram the exact triple where three
+numbers fit into 64 bits, else a hash of that width.  Keys are shuffled as packed arrays.
 
 Edge cases: a null text is an empty one, whose only token is the end; texts whose
 id is null are learnt from and not held out; repeated rows count each; keys may be
@@ -77,6 +80,40 @@ def unpack_counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel().astype(np.int64)
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Increasing places (numbered) by their differences."""
+    return pack_counts(np.diff(places, prepend=0))
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """The numbers of words: places are those of a block's words that several blocks have, a bucket's rank beside the
+    bucket's number (numbered); a bucket gives at most stride of them."""
+
+    places: np.ndarray
+    buckets: int
+    stride: int
+
+    def bits(self) -> int:
+        """Of a word's number; the greatest is that of the beginning."""
+        return max(1, (self.buckets * self.stride).bit_length())
+
+    def of(self, elsewhere: np.ndarray) -> np.ndarray:
+        """By word, and last for the beginning; of no meaning where elsewhere is false."""
+        out = np.zeros(len(elsewhere), dtype=_U)
+        out[-1] = self.buckets * self.stride
+        out[:-1][elsewhere[:-1]] = (self.places >> 32) * self.stride + (self.places & 0xFFFFFFFF)
+        return out
+
+
+def spread(code: np.ndarray, bits: int) -> np.ndarray:
+    """Codes of so many bits, each another key: a one-to-one mix, moved to the top of 64 bits, where buckets look."""
+    most = _U((1 << bits) - 1)
+    code = code * _U(0x9E3779B97F4A7C15) & most
+    code ^= code >> _U((bits + 1) // 2)
+    return (code * _U(0xBF58476D1CE4E5B9) & most) << _U(64 - bits)
+
+
 @dataclass
 class Grams:
     """Distinct n-grams of a block: their keys, own training counts, and the two (n-1)-grams that each is made of."""
@@ -140,7 +177,21 @@ class Block:
         whole[at] = triple
         return Grams(keys, np.bincount(triple[self.on[at]], minlength=len(codes)), whole, left, right)
 
-    def known(self, answers: dict[int, np.ndarray]) -> tuple[list[Grams], list[np.ndarray], np.ndarray | None]:
+    def code(self, grams: list[Grams], number: np.ndarray, bits: int) -> None:
+        """Gives the last grams keys that are made of their words' numbers, where those fit."""
+        last, order = grams[-1], len(grams)
+        if order * bits > 64:
+            return
+        if order == 2:
+            words = (last.left, last.right)
+        else:
+            words = (grams[1].left[last.left], grams[1].right[last.left], grams[1].right[last.right])
+        code = np.zeros(len(last.keys), dtype=_U)
+        for w in words:
+            code = code << _U(bits) | number[w]
+        last.keys = spread(code, order * bits)
+
+    def known(self, answers: dict[int, np.ndarray], numbers: Numbers | None = None) -> tuple[list[Grams], list[np.ndarray], np.ndarray | None]:
         """(n-grams of each order, corpus counts of those orders that are answered, what of the next order to ask for)."""
         grams, counts = [self.words], []
         wanted = np.ones(len(self.words.keys), dtype=bool)
@@ -149,6 +200,9 @@ class Block:
                 grams.append(self.pairs() if order == 2 else self.triples(grams[1]))
                 if order == 2:
                     elsewhere = np.append(elsewhere, True)  # the beginning
+                    number = None if numbers is None else numbers.of(elsewhere)
+                if number is not None:
+                    self.code(grams, number, numbers.bits())
                 wanted = elsewhere[grams[-1].left] & elsewhere[grams[-1].right]
             if order not in answers:
                 return grams, counts, wanted
@@ -282,15 +336,23 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _answered(answers: pa.Table) -> dict[int, np.ndarray]:
-    """Answers by order, in the order of the keys asked for: twice the count, and one more if several blocks asked."""
+    """Answers by order, in the order of the keys asked for: twice the count, and one more if several blocks asked.
+
+    As order 0, the places of the words that several blocks asked for (numbered).
+    """
     answers = answers.sort_by([("level", "ascending"), ("bucket", "ascending")])
     found: dict[int, list[np.ndarray]] = {}
     for level, counts in zip(answers.column("level").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-        found.setdefault(level, []).append(unpack_counts(counts))
+        counts = unpack_counts(counts)
+        found.setdefault(level, []).append(counts if level else np.cumsum(counts))
     return {k: np.concatenate(x) for k, x in found.items()}
 
 
-def _ask(buckets: int):
+def _numbers(got: dict[int, np.ndarray], answers: pa.Table, buckets: int) -> Numbers:
+    return Numbers(got.pop(0, np.zeros(0, np.int64)), buckets, answers.column("stride")[0].as_py())
+
+
+def _ask(buckets: int, all_buckets: int):
     """A block's next requests; what it knows already goes to itself (dest < 0), to come back beside the answers."""
 
     def first(texts: pa.Table) -> pa.Table:
@@ -302,9 +364,12 @@ def _ask(buckets: int):
         texts = texts.combine_chunks()
         number, block = texts.column("block")[0].as_py(), Block(texts)
         got = _answered(answers) if answers is not None else {}
-        grams, _, wanted = block.known(got)
+        numbers = None if answers is None else _numbers(got, answers, all_buckets)
+        grams, _, wanted = block.known(got, numbers)
         keys, own, _ = grams[-1].ask(wanted)
         rows = [(-1 - number, number, level, 0, b"", pack_counts(c)) for level, c in got.items()]
+        if numbers is not None:
+            rows.append((-1 - number, number, 0, 0, b"", pack_places(numbers.places)))
         if not len(keys):
             rows.append((-1 - number, number, len(grams), 0, b"", pack_counts(own)))
         return _table(rows + _rows(number, len(grams), keys, own, buckets), _REQUEST)
@@ -327,11 +392,26 @@ def _echo(table: pa.Table) -> bool:
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """Training tokens and distinct training words of a bucket of words."""
+    """Training tokens, distinct training words and words with numbers of a bucket of words."""
     if _echo(table):
-        return pa.table({"n": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        return pa.table({c: pa.array([], pa.int64()) for c in ("n", "v", "stride")})
     _, sums, _, _ = _summed(table)
-    return pa.table({"n": pa.array([int((sums >> 1).sum())], pa.int64()), "v": pa.array([int((sums > 1).sum())], pa.int64())})
+    return pa.table({c: pa.array([int(x.sum())], pa.int64()) for c, x in (("n", sums >> 1), ("v", sums > 1), ("stride", sums & 1))})
+
+
+def numbered(bucket: int, sums: np.ndarray) -> np.ndarray:
+    """By key of a bucket of words: its place, which is its rank among the keys that several blocks have, beside the bucket's number."""
+    return (bucket << 32) + np.cumsum(sums & 1) - 1
+
+
+def _given(kept: pa.Table, sums: np.ndarray, places: np.ndarray | None, place: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Answers to requests (kept) whose keys have those places among sums; with places also their words' places."""
+    parts = [place[a:b] for a, b in zip(at, at[1:], strict=False)]
+    counts = kept.append_column("counts", pa.array([pack_counts(sums[k]) for k in parts], pa.binary()))
+    if places is None:
+        return counts
+    zero = kept.set_column(1, "level", pa.array(np.zeros(len(parts)), pa.int32()))
+    return pa.concat_tables([counts, zero.append_column("counts", pa.array([pack_places(places[k[sums[k] & 1 > 0]]) for k in parts], pa.binary()))])
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -340,7 +420,8 @@ def _answer(table: pa.Table) -> pa.Table:
     if _echo(table):
         return kept.append_column("counts", table.column("counts"))
     _, sums, place, at = _summed(table)
-    return kept.append_column("counts", pa.array([pack_counts(sums[place[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+    words = table.column("level")[0].as_py() == 1
+    return _given(kept, sums, numbered(table.column("dest")[0].as_py(), sums) if words else None, place, at)
 
 
 def _merge(buckets: int, parts: int):
@@ -362,8 +443,12 @@ def _hand_down(table: pa.Table, answers: pa.Table) -> pa.Table:
     if _echo(table):
         return kept.append_column("counts", table.column("counts"))
     _, _, place, at = _summed(table)
-    (sums,) = _answered(answers).values()
-    return kept.append_column("counts", pa.array([pack_counts(sums[place[a:b]]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
+    got, level = _answered(answers), table.column("level")[0].as_py()
+    places = None
+    if level == 1:
+        places = np.zeros(len(got[1]), np.int64)
+        places[got[1] & 1 > 0] = got[0]
+    return _given(kept, got[level], places, place, at)
 
 
 def _resolve(asked: DataFrame, buckets: int, fan: int, size: int) -> tuple[DataFrame, DataFrame]:
@@ -378,13 +463,14 @@ def _resolve(asked: DataFrame, buckets: int, fan: int, size: int) -> tuple[DataF
     return dealt.groupBy("dest", "part").cogroup(up.groupBy("dest", "part")).applyInArrow(_hand_down, ANSWER), merged
 
 
-def _score(priors: tuple[float, float]):
+def _score(priors: tuple[float, float], buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             raise RuntimeError("answers for a block without texts")
         texts = texts.combine_chunks()
         block = Block(texts)
-        grams, counts, _ = block.known(_answered(answers.select(["level", "bucket", "counts"])))
+        got = _answered(answers.select(["level", "bucket", "counts"]))
+        grams, counts, _ = block.known(got, _numbers(got, answers, buckets))
         n, v = answers.column("n")[0].as_py(), answers.column("v")[0].as_py()
         score = compiled(block, grams, counts, n, v, priors).traverse(block.row, block.rows)
         per_row = lambda x: np.bincount(block.row, weights=x, minlength=block.rows)
@@ -407,7 +493,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     # rows that are equal are spread too, by where they stand in their file
     block = F.pmod(F.xxhash64(key, text, F.shiftright(F.monotonically_increasing_id(), 6)), F.lit(blocks))
     dealt = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~held_out(key, folds)).alias("learn"), block.alias("block"))
-    first, after = _ask(min(buckets, fan))
+    first, after = _ask(min(buckets, fan), buckets)
     answers, totals = None, None
     for order in (1, 2, 3):
         if order == 1:
@@ -416,10 +502,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
             asked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(after, REQUEST)
         answers, final = _resolve(asked, buckets, fan, size)
         if order == 1:
-            # N and V reach every block beside its answers, as a broadcast of one row
-            sums = final.groupBy("dest").applyInArrow(_totals, "n long, v long")
-            totals = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-    answers = answers.crossJoin(F.broadcast(totals))
+            # N, V and the stride reach every block beside its answers, as a broadcast of one row
+            sums = final.groupBy("dest").applyInArrow(_totals, "n long, v long, stride long")
+            totals = sums.agg(*[F.coalesce(f(c), F.lit(0)).alias(c) for c, f in (("n", F.sum), ("v", F.sum), ("stride", F.max))])
+        answers = answers.crossJoin(F.broadcast(totals))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(priors), schema).withColumnRenamed("k", key)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(priors, buckets), schema).withColumnRenamed("k", key)

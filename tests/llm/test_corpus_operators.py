@@ -371,6 +371,26 @@ def test_keys_are_whole():
         assert len(set(keys)) == len(keys) and all(any(k >> b & 1 for k in keys) for b in range(64))
 
 
+def test_bigrams_of_shared_words_have_short_keys():
+    """Pairs and triples of word numbers, each its own key, in far less than the 64-bit hashes take."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    block = M.Block(pa.table({"text": [" ".join(f"w{int(rnd.random() ** 2 * 900)}" for _ in range(9000))], "learn": [True]}))
+    shared = np.arange(len(block.words.keys)) % 3 > 0
+    answer = {1: block.words.own * 2 + shared}
+    numbers = M.Numbers(np.flatnonzero(shared) // 7 + (np.flatnonzero(shared) % 7 << 32), 7, 1 + int(np.flatnonzero(shared).max()) // 7)
+    asked = [block.known(answer, x)[::2] for x in (None, numbers)]
+    plain, coded = [g[1].ask(wanted)[0] for g, wanted in asked]
+    assert (asked[0][1] == asked[1][1]).all() and len(plain) == len(coded) > 2000
+    size = lambda keys: len(zlib.compress(M.pack(keys)))
+    assert size(coded) < 0.5 * size(plain)
+    for bits in (2, 5, 40, 63, 64):
+        keys = M.spread(np.arange(4 if bits == 2 else 32, dtype=np.uint64), bits)
+        assert len(set(keys.tolist())) == len(keys) and not (keys & np.uint64((1 << 64 - bits) - 1)).any()
+
+
 def test_packing():
     import numpy as np
 
