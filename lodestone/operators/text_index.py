@@ -11,6 +11,9 @@ read from their texts, so that it needn't be up to date.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,32 @@ from lodestone.scratch import Cuts
 
 POSTINGS = "project_id string, term string, id string, positions array<int>"
 LENGTHS = "project_id string, id string, length int"
+#: words whose postings a task holds at a time
+AT_ONCE = 200_000
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each record (project_id, id, t: its words), a batch for each AT_ONCE words or a little more."""
+    schema = pa.schema([("project_id", pa.string()), ("term", pa.string()), ("id", pa.string()), ("positions", pa.list_(pa.int32()))])
+    for batch in batches:
+        rows: list[tuple] = []
+        held = 0
+        for project, key, words in zip(*[batch.column(c) for c in ("project_id", "id", "t")], strict=True):
+            project, key, words, found = project.as_py(), key.as_py(), words.as_py(), {}
+            for k, w in enumerate(words):
+                found.setdefault(w, []).append(k)
+            rows += [(project, w, key, at) for w, at in found.items()]
+            held += len(words)
+            if held >= AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def postings(split: DataFrame) -> DataFrame:
+    """Postings of records with their words (t), made where a record stands: occurrences are never shuffled."""
+    return split.select("project_id", "id", "t").mapInArrow(_placed, POSTINGS)
 
 
 class TextIndex:
@@ -46,8 +75,7 @@ class TextIndex:
         known = self._table("lengths", LENGTHS).select("project_id", "id")
         rows = atoms.where("id is not null and project_id is not null").select("project_id", "id", "content").join(known, ["project_id", "id"], "left_anti")
         split = rows.withColumn("t", tokens(F.col("content")))
-        each = split.select("project_id", "id", F.posexplode("t").alias("pos", "term")).groupBy("project_id", "id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        dealt = each.select("project_id", "term", "id", "positions").repartitionByRange("project_id", "term", "id").sortWithinPartitions("project_id", "term", "id")
+        dealt = postings(split).repartitionByRange("project_id", "term", "id").sortWithinPartitions("project_id", "term", "id")
         dealt.write.mode("append").partitionBy("project_id").parquet(f"{self.path}/postings")
         split.select("project_id", "id", F.size("t").alias("length")).write.mode("append").partitionBy("project_id").parquet(f"{self.path}/lengths")
 

@@ -64,3 +64,17 @@ def test_empty_and_odd_records(spark, tmp_path):
     index.add(rows)
     found, scan = index.scores(mine, "x", "p").collect(), retrieval.bm25_scores(mine, "x").collect()
     assert [(r.id, r.score) for r in found] == [(r.id, r.score) for r in scan] and len(found) == 1
+
+
+def test_occurrences_are_not_shuffled(spark, monkeypatch):
+    """Postings are made where a record stands, a few words at a time."""
+    from lodestone.operators import text_index
+
+    split = spark.createDataFrame([("p", f"r{i}", ["a", "b", "a"] if i % 3 else []) for i in range(20)] + [("p", "none", None)], "project_id string, id string, t array<string>")
+    made = text_index.postings(split.where("t is not null"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = {(f"r{i}", w): at for i in range(20) if i % 3 for w, at in (("a", [0, 2]), ("b", [1]))}
+    assert {(r.id, r.term): r.positions for r in made.collect()} == want
+    batch = split.where("t is not null").toArrow().to_batches()[0]
+    monkeypatch.setattr(text_index, "AT_ONCE", 3)
+    assert len(list(text_index._placed([batch]))) > 1
