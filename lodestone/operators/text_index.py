@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,22 +31,25 @@ AT_ONCE = 200_000
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of each record (project_id, id, t: its words), a batch for each AT_ONCE words or a little more."""
+    """Postings of each record (project_id, id, t: its words), a batch for at most AT_ONCE words, or one record's."""
     schema = pa.schema([("project_id", pa.string()), ("term", pa.string()), ("id", pa.string()), ("positions", pa.list_(pa.int32()))])
     for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for project, key, words in zip(*[batch.column(c) for c in ("project_id", "id", "t")], strict=True):
-            project, key, words, found = project.as_py(), key.as_py(), words.as_py(), {}
-            for k, w in enumerate(words):
-                found.setdefault(w, []).append(k)
-            rows += [(project, w, key, at) for w, at in found.items()]
-            held += len(words)
-            if held >= AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        ends = np.cumsum(pc.list_value_length(batch.column("t")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+            part = batch.slice(at, end - at)
+            at, words = end, part.column("t").flatten().dictionary_encode()
+            length = pc.list_value_length(part.column("t")).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(length)), length)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+            key = row * max(1, len(words.dictionary)) + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            which, row = pa.array(order[first]), pa.array(row[order[first]])
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order]))
+            terms = words.dictionary.take(words.indices.take(which))
+            yield pa.RecordBatch.from_arrays([part.column("project_id").take(row), terms, part.column("id").take(row), positions], schema=schema)
 
 
 def postings(split: DataFrame) -> DataFrame:
