@@ -21,7 +21,7 @@ rounds, words, bigrams, trigrams: an n-gram is asked for only if its parts occur
 other blocks too, since otherwise no other block can have it and the block's own
 count is all there is.  Requests carry the block's own training counts, so a
 frequent n-gram is pre-aggregated, and go to buckets of the key space, which add the
-counts up and answer with the sum and whether several blocks asked.  With more than FAN buckets requests go through a level between: groups of
+counts up and answer with the sum where several blocks asked.  With more than FAN buckets requests go through a level between: groups of
 blocks merge theirs, ask the buckets and hand the answers down, so that neither a
 bucket hears of all blocks nor a block of all buckets.  A block then compiles the
 part of the automaton that its texts can reach and traverses them.  Words are asked
@@ -59,14 +59,51 @@ _END = _U(0x0123456789ABCDEF)
 _BEGIN = _U(0xFEDCBA9876543210)
 
 
+_HEAD = np.dtype([("n", "<u4"), ("base", "<u8"), ("zeros", "u1"), ("low", "u1")])
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their differences, which compress well."""
-    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Distinct sorted 64-bit keys in half a bit a key more than their differences need (an Elias-Fano code).
+
+    What is above the least, without the zeros that all end with: low bits as they are
+    (whole bytes as planes), high ones as the places of ones among the steps between.
+    """
+    if not len(keys):
+        return b""
+    above = keys - keys[0]
+    every = int(np.bitwise_or.reduce(above))
+    zeros = (every & -every).bit_length() - 1 if every else 0
+    above >>= _U(zeros)
+    low = max(0, (int(above[-1]) // len(keys)).bit_length() - 1)
+    head, parts = np.array([(len(keys), keys[0], zeros, low)], dtype=_HEAD), []
+    if low >= 8:
+        parts.append(above.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : low // 8].T.tobytes())
+    if low % 8:
+        rest = (above >> _U(low // 8 * 8)).astype(np.uint8)[:, None]
+        parts.append(np.packbits(np.unpackbits(rest, axis=1)[:, 8 - low % 8 :]).tobytes())
+    at = (above >> _U(low)).astype(np.int64) + np.arange(len(keys))
+    steps = np.zeros(int(at[-1]) + 1, dtype=np.uint8)
+    steps[at] = 1
+    return b"".join([head.tobytes(), *parts, np.packbits(steps).tobytes()])
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+    if not raw:
+        return np.zeros(0, _U)
+    n, base, zeros, low = np.frombuffer(raw, dtype=_HEAD, count=1)[0].item()
+    data, planes, odd = np.frombuffer(raw, dtype=np.uint8, offset=_HEAD.itemsize), low // 8, low % 8
+    odd_bytes = -(-n * odd // 8)
+    steps = data[planes * n + odd_bytes :]
+    above = (np.flatnonzero(np.unpackbits(steps)) - np.arange(n)).astype(_U) << _U(low)
+    if planes:
+        whole = np.zeros((n, 8), dtype=np.uint8)
+        whole[:, :planes] = data[: planes * n].reshape(planes, n).T
+        above |= whole.view("<u8").ravel()
+    if odd:
+        bits = np.zeros((n, 8), dtype=np.uint8)
+        bits[:, 8 - odd :] = np.unpackbits(data[planes * n : planes * n + odd_bytes], count=n * odd).reshape(n, odd)
+        above |= np.packbits(bits, axis=1).ravel().astype(_U) << _U(8 * planes)
+    return (above << _U(zeros)) + _U(base)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -210,7 +247,8 @@ class Block:
             if len(place) and place.max() >= len(answers[order]):
                 raise RuntimeError("a block's answers don't fit its texts")
             total, elsewhere = grams[-1].own.copy(), np.zeros(len(wanted), dtype=bool)
-            total[wanted], elsewhere[wanted] = answers[order][place] >> 1, answers[order][place] & 1
+            elsewhere[wanted] = answers[order][place] & 1
+            total[elsewhere] = answers[order][place][elsewhere[wanted]] >> 1
             counts.append(total)
         return grams, counts, None
 
@@ -336,7 +374,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _answered(answers: pa.Table) -> dict[int, np.ndarray]:
-    """Answers by order, in the order of the keys asked for: twice the count, and one more if several blocks asked.
+    """Answers by order, in the order of the keys asked for: twice the count and one more if several blocks asked, else 0.
 
     As order 0, the places of the words that several blocks asked for (numbered).
     """
@@ -405,9 +443,12 @@ def numbered(bucket: int, sums: np.ndarray) -> np.ndarray:
 
 
 def _given(kept: pa.Table, sums: np.ndarray, places: np.ndarray | None, place: np.ndarray, at: np.ndarray) -> pa.Table:
-    """Answers to requests (kept) whose keys have those places among sums; with places also their words' places."""
-    parts = [place[a:b] for a, b in zip(at, at[1:], strict=False)]
-    counts = kept.append_column("counts", pa.array([pack_counts(sums[k]) for k in parts], pa.binary()))
+    """Answers to requests (kept) whose keys have those places among sums; with places also their words' places.
+
+    Who alone asked for a key knows its count.
+    """
+    parts, told = [place[a:b] for a, b in zip(at, at[1:], strict=False)], np.where(sums & 1, sums, 0)
+    counts = kept.append_column("counts", pa.array([pack_counts(told[k]) for k in parts], pa.binary()))
     if places is None:
         return counts
     zero = kept.set_column(1, "level", pa.array(np.zeros(len(parts)), pa.int32()))

@@ -399,6 +399,28 @@ def test_packing():
     assert M.unpack_counts(M.pack_counts(np.array([1, 300, 2**40]))).tolist() == [1, 300, 2**40]
 
 
+def test_answers_hold_only_what_a_block_cannot_know():
+    import numpy as np
+
+    keys = [np.array(k, dtype=np.uint64) for k in ([3, 5, 9], [5, 8, 9])]
+    asked = M._table([(0, b, 2, 0, M.pack(k), M.pack_counts(np.array(c) * 2)) for b, (k, c) in enumerate(zip(keys, ([4, 1, 0], [2, 7, 0]), strict=True))], M._REQUEST)
+    got = [M.unpack_counts(x).tolist() for x in M._answer(asked).column("counts").to_pylist()]
+    assert got == [[0, 3 * 2 + 1, 1], [3 * 2 + 1, 0, 1]]
+
+
+@pytest.mark.parametrize("n,bits,zeros", [(1, 64, 0), (2, 64, 0), (50, 7, 57), (300, 64, 0), (1000, 25, 30), (1000, 42, 13), (1000, 40, 0), (700, 10, 0)])
+def test_packed_keys_take_what_their_differences_need(n, bits, zeros):
+    """At most three bits more a key than its place among n evenly spread ones, and 15 bytes."""
+    import numpy as np
+
+    rnd = random.Random(n + bits)
+    for base in (0, (1 << 64) - (1 << min(63, bits + zeros))):
+        keys = np.array(sorted(base | x << zeros for x in {rnd.getrandbits(min(bits, 63 - zeros)) for _ in range(n)}), dtype=np.uint64)
+        raw = M.pack(keys)
+        assert M.unpack(raw).tolist() == keys.tolist()
+        assert 8 * (len(raw) - 15) <= len(keys) * (max(0, bits - math.log2(len(keys))) + 3) + 8
+
+
 # URLs
 
 PAGES = [
