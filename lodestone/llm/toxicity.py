@@ -48,8 +48,8 @@ def _distinct(texts: pa.Array, table: np.ndarray, bits: int = BITS) -> tuple[np.
     return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(offsets)))
 
 
-def _ngram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Document counts of each bucket, among toxic rows and among all: two fixed tables of 2**BITS."""
+def _ngram_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, p, n): document counts of each bucket that occurs, among toxic rows and among all."""
 
     def run(batches):
         # last: the row that had a bucket last, so that a row counts it once, however long its text
@@ -74,31 +74,37 @@ def _ngram_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             at = on[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["bucket", "p", "n"])
 
-    found = rows.mapInArrow(run, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, 1 << BITS))
-    at = found.column("bucket").to_numpy()
-    out[0][at], out[1][at] = found.column("p").to_numpy(), found.column("n").to_numpy()
-    return out[0], out[1]
+    return rows.mapInArrow(run, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
+def _chosen(counts: DataFrame, min_docs: int, min_ratio: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their ratios): only those in enough documents and with a large ratio reach the driver."""
+    p, n = (float(x or 0) for x in counts.agg(F.sum("p"), F.sum("n")).first())
+    all_p, all_q = p + alpha * (1 << BITS), n - p + alpha * (1 << BITS)
+    about = F.log((F.col("p") + alpha) / all_p) - F.log((F.col("n") - F.col("p") + alpha) / all_q)
+    # the logarithms of Spark may differ in the last place, so those nearby come too
+    found = counts.where((F.col("n") >= min_docs) & (F.abs(about) >= min_ratio - 1e-6)).toArrow().sort_by("bucket")
+    p, n = (found.column(c).to_numpy().astype(np.float64) for c in ("p", "n"))
+    r = np.log((p + alpha) / all_p) - np.log((n - p + alpha) / all_q)
+    on = np.abs(r) >= min_ratio
+    return found.column("bucket").to_numpy()[on], r[on]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, max_train: int = 20_000, max_bytes: int = 200_000_000, min_ratio: float = 2.0, min_docs: int = 4, alpha: float = 1.0, l2: float = 1e-3) -> dict:
     """The model: table (bucket to column or -1), weights (scaled by r), intercept.
 
-    The sampled documents are written once; one pass over them counts n-grams, a
-    second collects only the chosen features.
+    The sampled documents and the counts of their n-grams are written once; only the
+    chosen n-grams and features are collected.
     """
     cuts = Cuts(docs.sparkSession)
     rows = sampled(docs, key, text, labelled_sample(labels, key, label, folds, max_train), max_bytes, cuts)
-    p, n = _ngram_counts(rows)
-    q = n - p
-    r = np.log((p + alpha) / (p + alpha).sum()) - np.log((q + alpha) / (q + alpha).sum())
-    chosen = np.flatnonzero((n >= min_docs) & (np.abs(r) >= min_ratio))
+    chosen, r = _chosen(cuts.cut(_ngram_counts(rows)), min_docs, min_ratio, alpha)
     table = np.full(1 << BITS, -1, dtype=np.int32)
     table[chosen] = np.arange(len(chosen))
 
     def features(column: pa.Array):
         cols, offsets = _distinct(column, table)
-        return cols, r[chosen][cols], offsets
+        return cols, r[cols], offsets
 
     x, y = collect_rows(rows, features)
     cuts.drop_all()
@@ -107,7 +113,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         table[:] = -1
         return {"table": table, "weights": np.zeros(0), "intercept": float(np.log((pos + 0.5) / (len(y) - pos + 0.5)))}
     w, b = fit_logistic(x, y, len(chosen), l2, balanced=True)
-    return {"table": table, "weights": w * r[chosen], "intercept": b}
+    return {"table": table, "weights": w * r, "intercept": b}
 
 
 def score_toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:

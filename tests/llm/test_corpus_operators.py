@@ -46,6 +46,15 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Cuts(spark)).count() == 0
 
 
+def test_components_settled_from_the_start_take_one_round(spark):
+    """Every table is a job of as many tasks as there are partitions, of which the driver keeps records."""
+    cuts = Cuts(spark)
+    stars = [(10 * i + j, 10 * i) for i in range(9) for j in range(1, 8)]
+    got = connected_components(spark.createDataFrame(stars, "a long, b long"), cuts).collect()
+    assert {(r.node, r.component) for r in got} == {(x, x // 10 * 10) for pair in stars for x in pair}
+    assert len(cuts.made) <= 5
+
+
 # mixing
 
 
@@ -551,6 +560,16 @@ def test_toxicity_edges(spark):
     assert O.toxicity(edge_docs(spark).limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_brings_only_chosen_ngrams_to_the_driver(spark, monkeypatch):
+    from tests.llm.test_text_operators import labelled_texts
+
+    rows, marks = labelled_texts(4)
+    frame, sizes = type(spark.range(0)), []
+    monkeypatch.setattr(frame, "toArrow", lambda self, f=frame.toArrow: (sizes.append((out := f(self)).num_rows), out)[1])
+    model = O.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert sum(sizes) == len(model["weights"]) == (model["table"] >= 0).sum() > 10
+
+
 # pipeline
 
 
